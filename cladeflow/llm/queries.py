@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeflow.llm import components, percentiles, topn
+from cladeflow.llm import components, neardup, percentiles, topn
 from cladeflow.session import stored, table
 
 PERCENTS = [0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
@@ -56,6 +56,18 @@ def p3_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _top_sites(spark, sf_dir).select(F.col("grp").cast("int").alias("gene_id"), "rank", F.col("item").cast("int").alias("site_1idx"), F.col("score").alias("lrt"), F.col("tie").alias("p_value"))
 
 
+def _near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "fasta_record").select("row_ord", "seq"), "row_ord", "seq")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _near_pairs(spark, sf_dir).select("row_a", "row_b")
+
+
+def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.same_record_classes(stored(_near_pairs(spark, sf_dir)), table(spark, sf_dir, "fasta_record"), "row_ord")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_group_sizes": p1_group_sizes,
@@ -64,6 +76,8 @@ QUERIES = {
     "p2_bounded_error": p2_bounded_error,
     "p3_found": p3_found,
     "p3_ranked": p3_ranked,
+    "p5_found": p5_found,
+    "p5_classes": p5_classes,
 }
 
 _P1 = """
