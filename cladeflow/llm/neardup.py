@@ -98,9 +98,8 @@ def _odd(sig: np.ndarray) -> np.ndarray:
     """(n, BITS / 64) parity bitmaps: each sample (bin, value) flips one bit."""
     place = (sig * _MIX + np.arange(BINS, dtype=np.uint64) * _MIX2) * _MIX
     place = (place >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64)
-    flips = np.zeros((len(sig), BITS), np.uint8)
-    np.add.at(flips, (np.arange(len(sig))[:, None], place), 1)
-    return np.packbits(flips & 1, axis=1, bitorder="little").view(np.uint64)
+    flips = np.bincount((np.arange(len(sig))[:, None] * BITS + place).ravel(), minlength=len(sig) * BITS) & 1
+    return np.packbits(flips.astype(np.uint8).reshape(-1, BITS), axis=1, bitorder="little").view(np.uint64)
 
 
 def odd_similarity(differing: np.ndarray) -> np.ndarray:
@@ -140,8 +139,18 @@ def _unpack(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(codes) if codes else np.empty(0, np.uint8)), np.array(lengths, np.int64)
 
 
-def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: rows worked on at a time, so that the letters' arrays stay in the processor's cache
+_LOT = 250
+
+
+def _lots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
+        for i in range(0, b.num_rows, _LOT):
+            yield b.slice(i, _LOT)
+
+
+def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in _lots(batches):
         codes, lengths = _letters(b.column(1))
         kmers, row = _kmers(codes, lengths)
         use = np.flatnonzero(np.bincount(row, minlength=b.num_rows))
@@ -151,7 +160,7 @@ def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _payload_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in _lots(batches):
         codes, lengths = _letters(b.column(1))
         kmers, row = _kmers(codes, lengths)
         odd = _odd(_minhash(kmers, row, b.num_rows))
@@ -159,10 +168,31 @@ def _payload_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(packed, pa.binary())], names=["id", "body"])
 
 
+_SLOTS = 20
+
+
+def _set_of(kmers: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+    """A record's substrings (each once) and their slots in a table of 2^_SLOTS; the
+    slots are None if two substrings share one."""
+    slots = (kmers * np.uint32(0x9E3779B1)) >> np.uint32(32 - _SLOTS)
+    order = np.arange(len(kmers), dtype=np.int32)
+    seen[slots] = order
+    if np.array_equal(seen[slots], order):
+        return kmers, slots
+    once = np.unique(kmers)
+    if len(once) == len(kmers):
+        return kmers, None
+    return _set_of(once, seen)
+
+
 def _verifier(least: float, slack: float):
+    """Pairs with their bodies -> pairs at or over `least`, with the exact similarity."""
     head = BITS // 8
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << _SLOTS, np.int32)
+        mark = np.zeros(1 << _SLOTS, np.uint64)
+        stamp = 0
         for b in batches:
             body_a, body_b = b.column(2).to_pylist(), b.column(3).to_pylist()
             odd = lambda x: np.frombuffer(b"".join(v[:head] for v in x), np.uint64).reshape(len(x), -1)
@@ -171,32 +201,33 @@ def _verifier(least: float, slack: float):
             slot: dict[bytes, int] = {}
             ia = [slot.setdefault(body_a[i], len(slot)) for i in at]
             ib = [slot.setdefault(body_b[i], len(slot)) for i in at]
-            kmers, row = _kmers(*_unpack([x[head:] for x in slot]))
-            # sets: distinct (record, substring), then substrings by number within the batch
-            both = np.unique(row.astype(np.uint64) << np.uint64(32) | kmers)
-            row = (both >> np.uint64(32)).astype(np.int64)
-            values, rank = np.unique(both.astype(np.uint32), return_inverse=True)
-            ends = np.searchsorted(row, np.arange(len(slot) + 1))
-            sets = [rank[ends[i] : ends[i + 1]] for i in range(len(slot))]
-            mark = np.zeros(len(values), bool)
+            packed = [x[head:] for x in slot]
+            sets = []
+            for i in range(0, len(packed), _LOT):
+                lot = packed[i : i + _LOT]
+                kmers, row = _kmers(*_unpack(lot))
+                ends = np.searchsorted(row, np.arange(len(lot) + 1))
+                sets += [_set_of(kmers[ends[j] : ends[j + 1]], seen) for j in range(len(lot))]
             sim = np.zeros(len(at))
             marked = -1
-            for k, (x, y) in enumerate(zip(ia, ib, strict=True)):
-                if x != marked:
-                    if marked >= 0:
-                        mark[sets[marked]] = False
-                    mark[sets[x]] = True
-                    marked = x
-                common = np.count_nonzero(mark[sets[y]])
-                whole = len(sets[x]) + len(sets[y]) - common
+            for k in np.argsort(ib, kind="stable").tolist():
+                (x, sx), (y, sy) = sets[ia[k]], sets[ib[k]]
+                if sx is None or sy is None:
+                    common = len(np.intersect1d(x, y, assume_unique=True))
+                else:
+                    if ib[k] != marked:
+                        marked, stamp = ib[k], stamp + 1
+                        mark[sy] = y | np.uint64(stamp << 32)
+                    common = np.count_nonzero(mark[sx] == (x | np.uint64(stamp << 32)))
+                whole = len(x) + len(y) - common
                 sim[k] = common / whole if whole else 0.0
-            ok = sim >= least
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at[ok])), b.column(1).take(pa.array(at[ok])), pa.array(sim[ok])], names=["row_a", "row_b", "similarity"])
+            ok = pa.array(at[sim >= least])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(ok), b.column(1).take(ok), pa.array(sim[sim >= least])], names=["row_a", "row_b", "similarity"])
 
     return work
 
 
-def near_duplicates(records: DataFrame, row_id: str, seq: str, least: float = 0.5, slack: float = 0.35) -> DataFrame:
+def near_duplicates(records: DataFrame, row_id: str, seq: str, least: float = 0.5, slack: float = 0.3) -> DataFrame:
     """row_a, row_b, similarity of the pairs whose sets of 16-letter substrings overlap by
     `least` or more (Jaccard); row_a < row_b.
 
@@ -213,7 +244,9 @@ def near_duplicates(records: DataFrame, row_id: str, seq: str, least: float = 0.
     rows = records.select(F.col(row_id).cast("long").alias("id"), F.col(seq).cast("string").alias("seq")).where("id is not null and seq is not null and length(seq) >= 16")
     bands = rows.mapInArrow(_band_rows, "key long, id long")
     other = bands.select("key", F.col("id").alias("row_b"))
-    pairs = bands.select("key", F.col("id").alias("row_a")).join(other, "key").where("row_a < row_b").select("row_a", "row_b").distinct()
+    pairs = bands.select("key", F.col("id").alias("row_a")).join(other, "key").where("row_a < row_b").select("row_a", "row_b")
+    # placed by row_a once, for the removal of repeats and for the join with row_a's body
+    pairs = pairs.repartition("row_a").distinct()
     body = rows.mapInArrow(_payload_rows, "id long, body binary").repartition("id")
     a, b = body.select(F.col("id").alias("row_a"), F.col("body").alias("body_a")), body.select(F.col("id").alias("row_b"), F.col("body").alias("body_b"))
     both = pairs.join(a, "row_a").join(b, "row_b").select("row_a", "row_b", "body_a", "body_b")
