@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeflow.llm import components, neardup, percentiles, topn
+from cladeflow.llm import components, langid, mixing, neardup, packing, percentiles, tokens, topn
 from cladeflow.session import stored, table
 
 PERCENTS = [0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
@@ -68,6 +68,54 @@ def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.same_record_classes(stored(_near_pairs(spark, sf_dir)), table(spark, sf_dir, "fasta_record"), "row_ord")
 
 
+def _sized_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.with_tokens(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "text")
+
+
+def p7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_sized_docs(spark, sf_dir), table(spark, sf_dir, "container_spec"))
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bins per capacity, against the fewest that the sizes allow."""
+    bins = p7_packing(spark, sf_dir).groupBy("spec_id", "bin_id").agg(F.sum("tokens").alias("held"), F.count("*").alias("pieces"))
+    spec = table(spark, sf_dir, "container_spec")
+    out = bins.groupBy("spec_id").agg(F.count("*").alias("bins"), F.sum("held").alias("tokens"), F.max("held").alias("fullest"), F.sum("pieces").alias("pieces")).join(spec, "spec_id")
+    return out.select("spec_id", "capacity_tokens", "bins", "pieces", "tokens", "fullest", F.ceil(F.col("tokens") / F.col("capacity_tokens")).alias("fewest"), F.round(F.col("tokens") / (F.col("bins") * F.col("capacity_tokens")), 5).alias("fill"))
+
+
+FRACTIONS = [0.25, 0.5, 1.0]
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, plans = mixing.plan_mix(_sized_docs(spark, sf_dir), table(spark, sf_dir, "mix_targets"), "doc_id", "source", "tokens", [1.0])
+    return mixing.draw(rows, plans[0]).select(F.col("id").alias("doc_id"), "source", F.col("size").alias("tokens"), "copies")
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares reached at nested budgets: fractions of the largest total the targets allow."""
+    rows, plans = mixing.plan_mix(_sized_docs(spark, sf_dir), table(spark, sf_dir, "mix_targets"), "doc_id", "source", "tokens", FRACTIONS)
+    parts = [mixing.mix_report(mixing.draw(rows, p), p).select(F.lit(f).alias("fraction"), "*") for f, p in zip(FRACTIONS, plans, strict=True)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "study_id")
+    return langid.languages(docs, "doc_id", "text", "lang", "source", "study_id")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.foreign_lines(_languages(spark, sf_dir))
+
+
+def p9_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _languages(spark, sf_dir).select("doc_id", "declared", "words", "lang", F.round("confidence", 6).alias("confidence"))
+
+
+def p9_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.segments(_languages(spark, sf_dir))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_group_sizes": p1_group_sizes,
@@ -78,6 +126,13 @@ QUERIES = {
     "p3_ranked": p3_ranked,
     "p5_found": p5_found,
     "p5_classes": p5_classes,
+    "p7_packing": p7_packing,
+    "p7_fill": p7_fill,
+    "p8_mix": p8_mix,
+    "p8_shares": p8_shares,
+    "p9_found": p9_found,
+    "p9_documents": p9_documents,
+    "p9_segments": p9_segments,
 }
 
 _P1 = """
