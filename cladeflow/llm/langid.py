@@ -181,10 +181,14 @@ def with_priors(scored: DataFrame, host_strength: float = 20.0, label_strength:
     return out.select(*scored.columns, prior.alias("prior"))
 
 
+#: a word counts in several overlapping features; its log likelihood is brought down by this
+TEMPER = 0.25
+
+
 def decide(scores: Column, prior: Column, weight: float) -> Column:
     """struct(lang, confidence): the language with the highest posterior. The text's log
-    likelihood counts fully, the evidence around it by `weight`."""
-    post = F.zip_with(scores, prior, lambda s, p: s.cast("double") + F.lit(weight) * p)
+    likelihood counts by TEMPER, the evidence around it by `weight`."""
+    post = F.zip_with(scores, prior, lambda s, p: s.cast("double") * F.lit(TEMPER) + F.lit(weight) * p)
     top = F.array_max(post)
     at = F.array_position(post, top)
     conf = F.lit(1.0) / F.aggregate(post, F.lit(0.0), lambda acc, x: acc + F.exp(x - top))
