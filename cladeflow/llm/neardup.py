@@ -245,8 +245,7 @@ def near_duplicates(records: DataFrame, row_id: str, seq: str, least: float = 0.
     bands = rows.mapInArrow(_band_rows, "key long, id long")
     other = bands.select("key", F.col("id").alias("row_b"))
     pairs = bands.select("key", F.col("id").alias("row_a")).join(other, "key").where("row_a < row_b").select("row_a", "row_b")
-    # placed by row_a once, for the removal of repeats and for the join with row_a's body
-    pairs = pairs.repartition("row_a").distinct()
+    pairs = pairs.distinct()
     body = rows.mapInArrow(_payload_rows, "id long, body binary").repartition("id")
     a, b = body.select(F.col("id").alias("row_a"), F.col("body").alias("body_a")), body.select(F.col("id").alias("row_b"), F.col("body").alias("body_b"))
     both = pairs.join(a, "row_a").join(b, "row_b").select("row_a", "row_b", "body_a", "body_b")
