@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cladeflow.operators.prefix_sums import running_sums
-from cladeflow.session import cut
+from cladeflow.session import stored
 
 #: fixed values: what counts as white space around a name
 BLANKS = " \t\n\r\x0b\x0c "
@@ -83,7 +83,7 @@ def orphan_cascade(tables: dict[str, DataFrame], keys: dict[str, str], fks: list
     reference of it finds no parent row; it inherits if every parent row of a
     reference is an orphan. Each round semi-joins the children with the parent keys
     whose rows have all become orphans, until a round finds no new row; cycles in
-    the graph end too. Orphans of a round are checkpointed. A row is reported once per
+    the graph end too. Orphans of a round are written to the shared folder. A row is reported once per
     reference, in the first round in which that reference fails. Null references
     are no case; `compare` maps a column name to how its values are compared.
     """
@@ -113,7 +113,7 @@ def orphan_cascade(tables: dict[str, DataFrame], keys: dict[str, str], fks: list
             now.setdefault(f.child, []).append(hit)
         fresh = {}
         for n, hits in now.items():
-            new = cut(reduce(DataFrame.unionByName, hits))
+            new = stored(reduce(DataFrame.unionByName, hits))
             if not new.isEmpty():
                 fresh[n] = new
                 gone[n] = gone[n].unionByName(new) if n in gone else new

@@ -45,20 +45,31 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder; survives the loss of executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def stored(df: DataFrame) -> DataFrame:
-    """The rows written as a Parquet table in the shared folder and read back:
-    smaller than a checkpoint, pruned by column, fixed once written."""
+    """Cut the lineage: the rows written as a Parquet table in the shared folder and
+    read back. It survives the loss of executors like a checkpoint, is smaller, is pruned by column,
+    and its size is known, where a checkpoint keeps the estimate of the plan it
+    came from, which grows without bound when a join is iterated."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._cladeflow_path = path
+    return back
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def forget(df: DataFrame) -> None:
+    """Delete a stored table that nothing will read again."""
+    at = (df.sparkSession, df._cladeflow_path)
+    if at in _written:
+        _written.remove(at)
+    _delete(*at)
 
 
 def drop_stored() -> None:
@@ -66,9 +77,7 @@ def drop_stored() -> None:
     while _written:
         spark, path = _written.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # the context may be gone already
             pass
 
