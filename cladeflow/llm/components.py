@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladeflow.session import cut
+from cladeflow.session import forget, stored
 
 
 def counting_pairs(edges: DataFrame, id1: str, id2: str, weight: str | None, least: float) -> DataFrame:
@@ -19,11 +19,12 @@ def counting_pairs(edges: DataFrame, id1: str, id2: str, weight: str | None, lea
 
 
 def _jump(parent: DataFrame) -> DataFrame:
-    """Pointer jumping: every v points to its root; parent: (v, u) with u < v."""
+    """Pointer jumping: every v points to its root; parent: stored (v, u) with u < v."""
     while True:
         up = parent.select(F.col("v").alias("w"), F.col("u").alias("uu"))
-        step = cut(parent.join(up, parent["u"] == up["w"], "left").select("v", F.coalesce("uu", "u").alias("u"), F.col("uu").isNotNull().alias("moved")))
-        parent = step.select("v", "u")
+        step = stored(parent.join(up, parent["u"] == up["w"], "left").select("v", F.coalesce("uu", "u").alias("u"), F.col("uu").isNotNull().alias("moved")))
+        forget(parent)
+        parent = step
         if step.where("moved").isEmpty():
             return parent
 
@@ -38,29 +39,31 @@ def linked_groups(edges: DataFrame, id1: str = "id1", id2: str = "id2", weight:
     than its distinct edges; (2) jumps pointers until every node points at a root;
     (3) contracts the edges onto the roots and drops loops and repeats. At least half
     of the nodes that still have edges vanish per round, so the rounds are logarithmic
-    and the work is dominated by the first. Every round is checkpointed; it ends when no
+    and the work is dominated by the first. Every round is written to the shared folder; it ends when no
     edge is left, that is, when no label would change. In the joins the side that may be
     skewed (edges at a hub, nodes of a giant group) is the one that adaptive skew
     handling splits; the other has one row per key. Empty input gives an empty result;
     repeated edges, either order, loops, null ids and null or NaN weights are harmless.
     """
-    pairs = cut(counting_pairs(edges, id1, id2, weight, least))
+    pairs = stored(counting_pairs(edges, id1, id2, weight, least))
     ids = pairs.select(F.col("lo").alias("id")).union(pairs.select("hi")).distinct()
-    nodes = cut(ids.repartitionByRange("id").sortWithinPartitions("id").select("id", F.monotonically_increasing_id().alias("v")))
+    nodes = stored(ids.repartitionByRange("id").sortWithinPartitions("id").select("id", F.monotonically_increasing_id().alias("v")))
     a, b = nodes.select(F.col("id").alias("lo"), F.col("v").alias("x")), nodes.select(F.col("id").alias("hi"), F.col("v").alias("y"))
-    e = cut(pairs.join(a, "lo").join(b, "hi").select("x", "y"))
+    e = stored(pairs.join(a, "lo").join(b, "hi").select("x", "y"))
+    forget(pairs)
     levels: list[DataFrame] = []
     while not e.isEmpty():
-        hooked = cut(e.groupBy(F.col("y").alias("v")).agg(F.min("x").alias("u")))
+        hooked = stored(e.groupBy(F.col("y").alias("v")).agg(F.min("x").alias("u")))
         level = _jump(hooked)
         levels.append(level)
         px, py = level.select(F.col("v").alias("x"), F.col("u").alias("rx")), level.select(F.col("v").alias("y"), F.col("u").alias("ry"))
         moved = e.join(px, "x", "left").join(py, "y", "left").select(F.coalesce("rx", "x").alias("x"), F.coalesce("ry", "y").alias("y"))
-        e = cut(moved.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
+        last, e = e, stored(moved.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
+        forget(last)
     label: DataFrame | None = None
     for level in reversed(levels):
         if label is None:
-            label = level
+            label = level.select("v", "u")
             continue
         top = label.select(F.col("v").alias("w"), F.col("u").alias("uu"))
         label = level.join(top, level["u"] == top["w"], "left").select("v", F.coalesce("uu", "u").alias("u")).unionByName(label)
