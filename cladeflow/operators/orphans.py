@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cladeflow.functions.times import micros, month
 from cladeflow.operators.prefix_sums import running_sums
 from cladeflow.session import stored
 
@@ -46,13 +47,13 @@ def references_at_load(records: DataFrame, name: str, loaded_at: str, withdrawn_
     by running_sums: a name that holds a third of all rows is spread over tasks.
     """
     end_of_time = F.lit(2**62)
-    r = records.select(loose_name(name).alias("k"), F.unix_micros(F.col(loaded_at).cast("timestamp")).alias("t0"), F.unix_micros(F.col(withdrawn_at).cast("timestamp")).alias("t1")).where("k is not null")
+    r = records.select(loose_name(name).alias("k"), micros(loaded_at).alias("t0"), micros(withdrawn_at).alias("t1")).where("k is not null")
     lives = F.col("t0").isNotNull() & (F.col("t1").isNull() | (F.col("t1") > F.col("t0")))
-    none = [F.lit(None).cast("string").alias("tab"), F.lit(None).cast("long").alias("row_id")]
+    none = [F.lit(None).cast("string").alias("tab"), F.lit(None).cast("long").alias("row_id"), F.lit(None).cast("string").alias("load_month")]
     starts = r.select("k", F.coalesce("t0", end_of_time + 1).alias("t"), F.lit(0).alias("kind"), F.when(lives, 1).otherwise(0).alias("up"), F.lit(1).alias("rec"), *none)
     ends = r.where(lives & F.col("t1").isNotNull()).select("k", F.col("t1").alias("t"), F.lit(0).alias("kind"), F.lit(-1).alias("up"), F.lit(0).alias("rec"), *none)
     probes = [
-        x.df.select(loose_name(x.key).alias("k"), F.coalesce(F.unix_micros(F.col(x.loaded_at).cast("timestamp")), end_of_time).alias("t"), F.lit(1).alias("kind"), F.lit(0).alias("up"), F.lit(0).alias("rec"), F.lit(x.tab).alias("tab"), F.col(x.row_id).cast("long").alias("row_id")).where("k is not null")
+        x.df.select(loose_name(x.key).alias("k"), F.coalesce(micros(x.loaded_at), end_of_time).alias("t"), F.lit(1).alias("kind"), F.lit(0).alias("up"), F.lit(0).alias("rec"), F.lit(x.tab).alias("tab"), F.col(x.row_id).cast("long").alias("row_id"), month(x.loaded_at).alias("load_month")).where("k is not null")
         for x in refs
     ]
     events = reduce(DataFrame.unionByName, [starts, ends, *probes])
@@ -60,7 +61,7 @@ def references_at_load(records: DataFrame, name: str, loaded_at: str, withdrawn_
     reason = F.when(F.col("rec_all") == 0, "missing").when(F.col("rec_all") > F.col("rec_run"), "late").otherwise("withdrawn")
     return line.where("kind = 1 and up_run <= 0").select(
         "tab",
-        F.when(F.col("t") < end_of_time, F.date_format(F.timestamp_micros("t"), "yyyy-MM")).alias("load_month"),
+        "load_month",
         "row_id",
         reason.alias("reason"),
     )

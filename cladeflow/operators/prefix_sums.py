@@ -16,19 +16,21 @@ from cladeflow.session import shuffle_parts, stored
 PART = "__part"
 
 
-def running_sums(df: DataFrame, group: list[str], order: list[str], sums: dict[str, Column], parts: int | None = None) -> DataFrame:
+def running_sums(df: DataFrame, group: list[str], order: list[str], sums: dict[str, Column], parts: int | None = None, kind: str = "long", keep_part: bool = False) -> DataFrame:
     """df with, for each entry of sums, `<name>_run` (inclusive running sum within
     the group along `order`) and `<name>_all` (the group's total).
 
     The rows are fixed in a stored table after the range sort, because both the
     running sums and the offsets must see the same partition boundaries. `order`
     should make rows distinct within a group, so that a range boundary can fall
-    anywhere. Null sort keys come first; an empty df gives an empty result.
+    anywhere. Null sort keys come first; an empty df gives an empty result. kind is
+    the type the values are summed in; keep_part leaves the number of the range
+    partition in the result, for suffix_min.
     """
     spark = df.sparkSession
     parts = parts or shuffle_parts(spark)
     names = list(sums)
-    ranged = df.select("*", *(sums[n].cast("long").alias(f"{n}__v") for n in names))
+    ranged = df.select("*", *(sums[n].cast(kind).alias(f"{n}__v") for n in names))
     ranged = ranged.repartitionByRange(parts, *group, *order).sortWithinPartitions(*group, *order)
     ranged = stored(ranged.withColumn(PART, F.spark_partition_id()))
     here = Window.partitionBy(PART, *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -40,7 +42,7 @@ def running_sums(df: DataFrame, group: list[str], order: list[str], sums: dict[s
     offsets = sub.select(
         F.col(PART).alias("__p"),
         *(F.col(g).alias(f"__g{k}") for k, g in enumerate(group)),
-        *(F.coalesce(F.sum(f"{n}__s").over(before), F.lit(0)).alias(f"{n}__o") for n in names),
+        *(F.coalesce(F.sum(f"{n}__s").over(before), F.lit(0).cast(kind)).alias(f"{n}__o") for n in names),
         *(F.sum(f"{n}__s").over(whole).alias(f"{n}__t") for n in names),
     )
     on = F.col(PART) == F.col("__p")
@@ -48,6 +50,21 @@ def running_sums(df: DataFrame, group: list[str], order: list[str], sums: dict[s
         on = on & F.col(g).eqNullSafe(F.col(f"__g{k}"))
     return local.join(offsets, on).select(
         *df.columns,
+        *([PART] if keep_part else []),
         *((F.col(f"{n}__l") + F.col(f"{n}__o")).alias(f"{n}_run") for n in names),
         *(F.col(f"{n}__t").alias(f"{n}_all") for n in names),
     )
+
+
+def suffix_min(df: DataFrame, group: list[str], order: list[str], value: str, out: str) -> DataFrame:
+    """df plus `out`: the least `value` of a row and all rows after it in its group. df
+    comes from running_sums(keep_part=True) over the same group and order."""
+    after = Window.partitionBy(PART, *group).orderBy(*order).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    sub = df.groupBy(PART, *group).agg(F.min(value).alias("__m"))
+    later = Window.partitionBy(*group).orderBy(PART).rowsBetween(1, Window.unboundedFollowing)
+    sub = sub.select(F.col(PART).alias("__p"), *(F.col(g).alias(f"__g{k}") for k, g in enumerate(group)), F.min("__m").over(later).alias("__later"))
+    on = F.col(PART) == F.col("__p")
+    for k, g in enumerate(group):
+        on = on & F.col(g).eqNullSafe(F.col(f"__g{k}"))
+    here = df.withColumn("__here", F.min(value).over(after)).join(sub, on)
+    return here.select(*df.columns, F.least("__here", "__later").alias(out))
