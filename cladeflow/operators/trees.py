@@ -108,7 +108,7 @@ def fitch(nodes: DataFrame, tips: DataFrame, levels: DataFrame) -> DataFrame:
     its set has it, else takes its least. Children are intersected and united as whole sets."""
     n = nodes.join(levels, "node").select("node", "parent", "level")
     top = n.agg(F.max("level")).first()[0]
-    bits = stored(tips.select("node", F.shiftleft(F.lit(1).cast("long"), F.col("state").cast("int")).alias("set")))
+    bits = stored(tips.select("node", F.expr("shiftleft(1L, cast(state as int))").alias("set")))
     have = n.join(bits, "node", "left")
     sets = stored(have.where("set is not null").select("node", "parent", "level", "set"))
     for lvl in range(top - 1 if top is not None else -1, -1, -1):
@@ -125,7 +125,7 @@ def fitch(nodes: DataFrame, tips: DataFrame, levels: DataFrame) -> DataFrame:
         p = done.where(F.col("level") == lvl - 1).select(F.col("node").alias("p"), F.col("state").alias("ps"))
         k = sets.where(F.col("level") == lvl)
         k = k.join(p, k["parent"] == p["p"], "left")
-        keeps = F.col("set").bitwiseAND(F.shiftleft(F.lit(1).cast("long"), F.col("ps"))) != 0
+        keeps = F.col("set").bitwiseAND(F.expr("shiftleft(1L, ps)")) != 0
         st = F.when(keeps, F.col("ps")).otherwise(least(F.col("set")))
         done = stored(done.unionByName(k.select("node", "parent", "level", st.alias("state"), (F.col("ps").isNotNull() & (st != F.col("ps"))).alias("changed"))))
     return done.select("node", "parent", "state", "changed")
