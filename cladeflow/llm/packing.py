@@ -106,10 +106,9 @@ def improve(sizes: np.ndarray, capacity: int, bins: list[list[int]]) -> list[lis
         for a in np.argsort(fill, kind="stable").tolist():
             if not held[a] or fill[a] >= capacity:
                 continue
-            tries = 0
-            # an emptying bin pays off; a bin that only trades is left after its documents' number of trades
-            while held[a] and tries <= 2 * len(held[a]) and step(a):
-                tries += 1
+            # every step takes at least one token out of the bin, so this ends
+            while held[a] and step(a):
+                pass
             if not held[a]:
                 emptied, open_bins = True, open_bins - 1
                 if open_bins <= bound:

@@ -27,8 +27,9 @@ def encoding(path: str):
 
 
 def with_tokens(df: DataFrame, text: str, out: str = "tokens", path: str = RANKS) -> DataFrame:
-    """df without its text column, with the number of tokens of the whole text (0 if null or empty)."""
-    kept = [c for c in df.columns if c != text]
+    """df without its text column, with the number of tokens of the whole text (0 if null
+    or empty); a column named `out` is replaced."""
+    kept = [c for c in df.columns if c not in (text, out)]
     schema = StructType([*(df.schema[c] for c in kept), StructField(out, LongType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
