@@ -6,7 +6,7 @@ which a large component replaces and a tiny one turns into a gap.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladeflow.functions import dates as dt
@@ -33,19 +33,20 @@ def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return al.long_form(aligned(spark, sf_dir), "taxon", "seq", "clade", "date")
 
 
-ACGT = F.col("state").isin(*"ACGT")
+def plain_base() -> Column:
+    return F.col("state").isin(*"ACGT")
 
 
 def consensus_smallest(s, d):
-    return al.consensus(sites(s, d), ACGT).select("site", "state", "n")
+    return al.consensus(sites(s, d), plain_base()).select("site", "state", "n")
 
 
 def consensus_first_seen(s, d):
-    return al.consensus(sites(s, d), ACGT, "first").select("site", "state", "n")
+    return al.consensus(sites(s, d), plain_base(), "first").select("site", "state", "n")
 
 
 def consensus_decayed(s, d):
-    return al.consensus(sites(s, d), ACGT, weight=F.exp(-0.1 * (F.col("date") - 2000))).select("site", "state", F.round("n", 6).alias("n"))
+    return al.consensus(sites(s, d), plain_base(), weight=F.exp(-0.1 * (F.col("date") - 2000))).select("site", "state", F.round("n", 6).alias("n"))
 
 
 def allele_freq(s, d):
@@ -146,12 +147,12 @@ def header_years(s, d):
 
 def mismatch_runs(s, d):
     x = sites(s, d)
-    return al.mismatch_runs(x, al.consensus(x, ACGT), 4).select("taxon", "first", "last", "length")
+    return al.mismatch_runs(x, al.consensus(x, plain_base()), 4).select("taxon", "first", "last", "length")
 
 
 def masked_sequences(s, d):
     x = sites(s, d)
-    runs = al.mismatch_runs(x, al.consensus(x, ACGT), 4)
+    runs = al.mismatch_runs(x, al.consensus(x, plain_base()), 4)
     return al.masked(aligned(s, d).select("taxon", "seq"), "taxon", "seq", runs).select("taxon", F.md5("seq").alias("digest"))
 
 

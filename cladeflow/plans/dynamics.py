@@ -12,14 +12,18 @@ from cladeflow.operators import screening as sc
 from cladeflow.operators import transmission as tr
 from cladeflow.operators import trees as te
 from cladeflow.operators.alignments import consensus
-from cladeflow.plans.alignments import ACGT, SITES, aligned, sites
+from cladeflow.plans.alignments import SITES, aligned, plain_base, sites
 from cladeflow.plans.networks import _COUNT, NEAR, _near, _pairs
 from cladeflow.session import stored, table
 
-DAY = micros("ts") / F.lit(86400e6) - 19723
 HEAD = r"^([^|_. ]*)"
 
 
+def _day():
+    """Days since the start of 2024 of an event."""
+    return micros("ts") / F.lit(86400e6) - 19723
+
+
 def r6(*names):
     return [F.round(n, 6).alias(n) for n in names]
 
@@ -73,7 +77,7 @@ def top_genes(s, d):
 
 def sliding_windows(s, d):
     """Counts and mean in windows of two days every half day; both ends belong to a window."""
-    e = table(s, d, "events").select("event_type", "value", DAY.alias("t"))
+    e = table(s, d, "events").select("event_type", "value", _day().alias("t"))
     first = F.greatest(F.lit(0), F.ceil((F.col("t") - 2) * 2)).cast("int")
     e = e.withColumn("w", F.explode(F.sequence(first, F.floor(F.col("t") * 2).cast("int"))))
     return e.groupBy("event_type", (F.col("w") / 2).alias("start")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
@@ -81,7 +85,7 @@ def sliding_windows(s, d):
 
 def gradient_profile(s, d):
     """Daily means, their central differences and the trapezoid under them."""
-    e = table(s, d, "events").groupBy("event_type", F.floor(DAY).alias("day")).agg(F.avg("value").alias("y"))
+    e = table(s, d, "events").groupBy("event_type", F.floor(_day()).alias("day")).agg(F.avg("value").alias("y"))
     w = Window.partitionBy("event_type").orderBy("day")
     x = e.withColumn("slope", F.coalesce((F.lead("y").over(w) - F.lag("y").over(w)) / (F.lead("day").over(w) - F.lag("day").over(w)), F.lit(0.0)))
     x = x.withColumn("area", F.coalesce((F.lead("y").over(w) + F.col("y")) / 2 * (F.lead("day").over(w) - F.col("day")), F.lit(0.0)))
@@ -90,7 +94,7 @@ def gradient_profile(s, d):
 
 def kernel_regression(s, d):
     """Gaussian-weighted mean of the value at sixty points in time, from hourly sums."""
-    h = table(s, d, "events").groupBy("event_type", F.floor(DAY * 24).alias("h")).agg(F.sum("value").alias("v"), F.count("*").alias("n"))
+    h = table(s, d, "events").groupBy("event_type", F.floor(_day() * 24).alias("h")).agg(F.sum("value").alias("v"), F.count("*").alias("n"))
     g = h.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(59))))
     k = F.exp(-0.5 * F.pow(((F.col("h") + 0.5) / 24 - F.col("g") / 2) / 1.5, 2))
     return g.groupBy("event_type", (F.col("g") / 2).alias("at")).agg(F.round(F.sum(k * F.col("v")) / (F.sum(k * F.col("n")) + 1e-8), 6).alias("fit"))
@@ -98,7 +102,7 @@ def kernel_regression(s, d):
 
 def stratified_anchors(s, d):
     """Per tenth of the time span and type the first event by value: a stratified pick."""
-    e = table(s, d, "events").select("event_id", "event_type", "value", DAY.alias("t"))
+    e = table(s, d, "events").select("event_id", "event_type", "value", _day().alias("t"))
     b = e.agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
     e = e.join(F.broadcast(b)).withColumn("bin", F.least(F.lit(9), F.floor((F.col("t") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 10)))
     return e.groupBy("bin", "event_type").agg(F.min(F.struct("value", "event_id")).alias("m")).select("bin", "event_type", F.col("m.event_id").alias("event_id"))
@@ -135,8 +139,8 @@ def phenotype_vector(s, d):
 def coselection_pairs(s, d):
     """Cosine over taxa of the sites' deviations from the consensus, with its t statistic."""
     x = sites(s, d)
-    c = consensus(x, ACGT).select("site", F.col("state").alias("c"))
-    dev = stored(x.where(ACGT).join(c, "site").where("state <> c").select("taxon", "site"))
+    c = consensus(x, plain_base()).select("site", F.col("state").alias("c"))
+    dev = stored(x.where(plain_base()).join(c, "site").where("state <> c").select("taxon", "site"))
     n = dev.groupBy("site").agg(F.count("*").alias("n"))
     p = dev.join(dev.select("taxon", F.col("site").alias("s2")), "taxon").where("site < s2").groupBy("site", "s2").agg(F.count("*").alias("shared"))
     p = p.join(n, "site").join(n.select(F.col("site").alias("s2"), F.col("n").alias("n2")), "s2")
@@ -177,7 +181,7 @@ def active_population(s, d):
 
 def reproduction_numbers(s, d):
     """Growth of the daily counts per type, as reproduction numbers of three models and a doubling time."""
-    c = table(s, d, "events").groupBy("event_type", F.floor(DAY).alias("day")).agg(F.log(F.count("*")).alias("y"))
+    c = table(s, d, "events").groupBy("event_type", F.floor(_day()).alias("day")).agg(F.log(F.count("*")).alias("y"))
     g = c.groupBy("event_type").agg((F.regr_slope("y", "day") * 365.25).alias("growth"))
     return g.select("event_type", *r6("growth"), F.round(tr.sir_r0(F.col("growth"), 0.02), 6).alias("sir"), F.round(tr.seir_r0(F.col("growth"), 0.01, 0.02), 6).alias("seir"), F.round(tr.gamma_r0(F.col("growth"), 0.02, 0.01), 6).alias("gamma"), F.round(F.try_divide(F.log(F.lit(2.0)), F.col("growth")), 6).alias("doubling"))
 
@@ -277,8 +281,8 @@ def triage_status(s, d):
 
 
 def _attention(s, d):
-    x = sites(s, d).where(ACGT).select("taxon", "site", "state")
-    c = sites(s, d).where(ACGT).groupBy("clade", "site", "state").agg(F.count("*").alias("n")).groupBy("clade", "site").agg(F.min(F.struct((-F.col("n")).alias("n"), "state")).alias("m")).select(F.col("clade").alias("channel"), F.col("site").alias("cs"), F.col("m.state").alias("c"))
+    x = sites(s, d).where(plain_base()).select("taxon", "site", "state")
+    c = sites(s, d).where(plain_base()).groupBy("clade", "site", "state").agg(F.count("*").alias("n")).groupBy("clade", "site").agg(F.min(F.struct((-F.col("n")).alias("n"), "state")).alias("m")).select(F.col("clade").alias("channel"), F.col("site").alias("cs"), F.col("m.state").alias("c"))
     sx = x.join(c, x["site"] == c["cs"]).select("taxon", "site", "channel", F.when(F.col("state") == F.col("c"), 1.0).otherwise(0.0).alias("score"))
     return rc.attention(sx, ["taxon", "site"])
 
@@ -299,7 +303,7 @@ def cumulative_momentum(s, d):
 
 
 def best_tracts(s, d):
-    x = rc.best_segments(_force(s, d), ["taxon", "channel"], "site", "force", 0.0)
+    x = rc.best_segments(_force(s, d), ["taxon", "channel"], "site", "force", 0.05)
     return x.select("taxon", "channel", *r6("gain"))
 
 
@@ -369,6 +373,6 @@ ORACLE = {
     "coalescent": "with o as (select o_orderpriority, 12000 - (o_orderdate::date - date '1970-01-01') tau, sum(case when o_totalprice > 150000 then -1 else 1 end)::bigint st, (count(*) filter (o_totalprice > 150000))::bigint ev from orders group by all), k as (select o_orderpriority, tau tau1, lead(tau) over w tau2, sum(st) over w k, lead(ev) over w events from o window w as (partition by o_orderpriority order by tau)) select o_orderpriority, tau1, tau2, k::bigint k, events from k where tau2 is not null",
     "site_attention": f"{_ATT} select taxon, channel, round(avg(attention), 6) mean, round(max(attention), 6) top from att group by all",
     "cumulative_momentum": f"{_FORCE}, m as (select taxon, channel, sum(force) over w mo, sum(force) over w - row_number() over w / count(*) over z * sum(force) over z br, sum(greatest(force, 0)) over (w rows between 49 preceding and current row) wi from fo window w as (partition by taxon, channel order by site), z as (partition by taxon, channel)) select taxon, channel, round(max(mo), 6) + 0e0 momentum, round(max(br), 6) + 0e0 bridge, round(max(wi), 6) + 0e0 \"window\" from m group by all",
-    "best_tracts": f"{_FORCE}, c as (select *, sum(force) over (partition by taxon, channel order by site) c from fo), g as (select taxon, channel, c - min(c - force) over (partition by taxon, channel order by site) g from c) select taxon, channel, round(max(g), 6) gain from g group by all having max(g) >= 0",
+    "best_tracts": f"{_FORCE}, c as (select *, sum(force) over (partition by taxon, channel order by site) c from fo), g as (select taxon, channel, c - min(c - force) over (partition by taxon, channel order by site) g from c) select taxon, channel, round(max(g), 6) gain from g group by all having max(g) >= 0.05e0",
     "tract_tests": f"with {SITES}, f as (select label clade, min(vec_id) t from embeddings group by 1), tt as (select vec_id child, h.t home, g.t donor from embeddings e join f h on e.label = h.clade join f g on g.clade = e.label + 1), x as (select child, donor, c.site between 16 and 31 s, c.state = o.state and c.state <> h.state don, c.state = h.state and c.state <> o.state hom from tt join v c on c.taxon = child join v h on h.taxon = home and h.site = c.site join v o on o.taxon = donor and o.site = c.site), q as (select child, donor, count(*) filter (s and don) a, count(*) filter (s and hom) b, count(*) filter (not s and don) c, count(*) filter (not s and hom) d from x group by all), k as (select *, unnest(range(a, least(a + b, a + c) + 1)) k from q) select child, donor, a, b, c, d, round(least(1e0, sum(exp(lgamma(a + b + 1) + lgamma(c + d + 1) + lgamma(a + c + 1) + lgamma(b + d + 1) - lgamma(a + b + c + d + 1) - lgamma(k + 1) - lgamma(a + b - k + 1) - lgamma(a + c - k + 1) - lgamma(d - a + k + 1)))), 6) p from k group by all",
 }

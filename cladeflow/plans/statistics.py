@@ -9,12 +9,9 @@ from cladeflow.functions.times import micros, month
 from cladeflow.operators import statistics as st
 from cladeflow.session import table
 
-P = F.lit(1.0) / (F.lit(1.0) + F.abs("value"))
-DAYS = (micros("ts") - F.lit(1704067200000000)) / F.lit(86400e6)
-
-
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").withColumn("p", P).withColumn("day", DAYS)
+    p = F.lit(1.0) / (F.lit(1.0) + F.abs("value"))
+    return table(spark, sf_dir, "events").withColumn("p", p).withColumn("day", (micros("ts") - F.lit(1704067200000000)) / F.lit(86400e6))
 
 
 def r6(*names: str):
