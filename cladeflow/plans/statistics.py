@@ -36,8 +36,8 @@ def cauchy_simes(s, d):
 
 
 def percentile_linear(s, d):
-    e = _events(s, d)
-    return e.groupBy("event_type").agg(*(F.round(F.percentile("value", q), 6).alias(f"p{int(q * 100)}") for q in (0.15, 0.5, 0.75, 0.99)))
+    names = {f"p{int(q * 100)}": q for q in (0.15, 0.5, 0.75, 0.99)}
+    return st.linear_percentiles(_events(s, d), ["event_type"], "value", names).select("event_type", *r6(*names))
 
 
 def ols_by_group(s, d):

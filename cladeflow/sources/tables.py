@@ -104,7 +104,7 @@ def geojson_points(df: DataFrame, lat: str, lon: str, *properties: str) -> DataF
 
 def graphml(edges: DataFrame, weight: str) -> DataFrame:
     """GraphML lines of an edge table (i, j): nodes, then edges, each a row of text with a sort key."""
-    nodes = edges.select(F.explode(F.array("i", "j")).cast("string").alias("n")).distinct()
+    nodes = edges.select(F.explode(F.array(F.col("i").cast("string"), F.col("j").cast("string"))).alias("n")).distinct()
     esc = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
     n = nodes.select(F.lit(1).alias("k"), F.format_string('<node id="%s"/>', esc(F.col("n"))).alias("value"))
     e = edges.select(F.lit(2).alias("k"), F.format_string('<edge source="%s" target="%s"><data key="w">%s</data></edge>', esc(F.col("i").cast("string")), esc(F.col("j").cast("string")), F.col(weight).cast("string")).alias("value"))
