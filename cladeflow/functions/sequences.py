@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import product
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: fixed values: nucleotide ambiguity codes and the bases they stand for
@@ -75,11 +75,18 @@ def reverse_complement(seq: Column) -> Column:
 
 
 def kmers(seq: Column, k: int) -> Column:
-    """All substrings of k letters of the ungapped sequence that hold only A, C, G, T."""
-    s = ungapped(seq)
-    n = F.length(s) - k + 1
-    each = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(s, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
-    return F.filter(each, lambda x: ~x.rlike("[^ACGT]"))
+    """All substrings of k letters of the ungapped sequence that hold only A, C, G, T. The
+    sequence is first cut at other letters, so that no substring needs a check."""
+    pieces = F.filter(F.split(ungapped(seq), "[^ACGT]+"), lambda x: F.length(x) >= k)
+    return F.flatten(F.transform(pieces, lambda s: F.transform(F.sequence(F.lit(1), F.length(s) - k + 1), lambda i: F.substring(s, i, F.lit(k)))))
+
+
+def kmer_rows(df: DataFrame, seq: str, k: int, *keep: str) -> DataFrame:
+    """keep and kmer, one row per substring as in kmers(): explodes instead of nested lambdas, so
+    that every step runs in generated code."""
+    pieces = df.select(*keep, F.explode(F.split(ungapped(F.col(seq)), "[^ACGT]+")).alias("__s")).where(F.length("__s") >= k)
+    at = pieces.select(*keep, "__s", F.explode(F.sequence(F.lit(1), F.length("__s") - k + 1)).alias("__i"))
+    return at.select(*keep, F.substring(F.col("__s"), F.col("__i"), F.lit(k)).alias("kmer"))
 
 
 def canonical(kmer: Column) -> Column:

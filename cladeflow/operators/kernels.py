@@ -132,13 +132,16 @@ def generalised_line(t: np.ndarray, y: np.ndarray, cov: np.ndarray) -> dict[str,
     """Line under a covariance: slope, intercept, standard error, log likelihood (restricted)."""
     n = len(t)
     x = np.c_[np.ones(n), t]
-    chol = np.linalg.cholesky(cov + 1e-10 * np.eye(n))
-    xs, ys = np.linalg.solve(chol, x), np.linalg.solve(chol, y)
+    # distances need not be tree-like: negative directions of the covariance are held just above zero
+    vals, vecs = np.linalg.eigh((cov + cov.T) / 2)
+    vals = np.maximum(vals, 1e-8 * max(vals.max(), 1e-12))
+    white = vecs.T / np.sqrt(vals)[:, None]
+    xs, ys = white @ x, white @ y
     xtx = xs.T @ xs
     beta = np.linalg.solve(xtx, xs.T @ ys)
     rss = float(((ys - xs @ beta) ** 2).sum())
     s2 = rss / max(n - 2, 1)
-    logdet = 2 * np.log(np.diag(chol)).sum()
+    logdet = np.log(vals).sum()
     reml = -0.5 * ((n - 2) * math.log(max(s2, 1e-300)) + logdet + np.linalg.slogdet(xtx)[1])
     return {"intercept": float(beta[0]), "slope": float(beta[1]), "se": math.sqrt(max(s2 * np.linalg.inv(xtx)[1, 1], 0)), "s2": s2, "reml": float(reml), "rss": rss}
 

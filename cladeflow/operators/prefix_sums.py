@@ -59,9 +59,11 @@ def running_sums(df: DataFrame, group: list[str], order: list[str], sums: dict[s
 def suffix_min(df: DataFrame, group: list[str], order: list[str], value: str, out: str) -> DataFrame:
     """df plus `out`: the least `value` of a row and all rows after it in its group. df
     comes from running_sums(keep_part=True) over the same group and order."""
-    after = Window.partitionBy(PART, *group).orderBy(*order).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # backwards with a growing frame: a frame that shrinks is evaluated anew for every row
+    back = [F.col(c).desc_nulls_last() for c in order]
+    after = Window.partitionBy(PART, *group).orderBy(*back).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sub = df.groupBy(PART, *group).agg(F.min(value).alias("__m"))
-    later = Window.partitionBy(*group).orderBy(PART).rowsBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy(*group).orderBy(F.desc(PART)).rowsBetween(Window.unboundedPreceding, -1)
     sub = sub.select(F.col(PART).alias("__p"), *(F.col(g).alias(f"__g{k}") for k, g in enumerate(group)), F.min("__m").over(later).alias("__later"))
     on = F.col(PART) == F.col("__p")
     for k, g in enumerate(group):

@@ -13,7 +13,7 @@ from cladeflow.functions import dates as dt
 from cladeflow.functions import sequences as sq
 from cladeflow.functions.times import micros
 from cladeflow.operators import alignments as al
-from cladeflow.session import table
+from cladeflow.session import spread, stored, table
 
 
 def aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,17 +100,23 @@ def letter_codes(s, d):
     return x.select("c", "n", sq.base_mask(F.col("c")).alias("mask"), sq.base_number(F.col("c")).alias("number"), sq.distance_code(F.col("c")).alias("code"))
 
 
+def _codon_rows(s, d):
+    """row_ord, last (whether the codon is the last whole one), codon."""
+    x = spread(table(s, d, "fasta_record").select("row_ord", sq.ungapped(F.col("seq")).alias("s")).where("length(s) > 2"))
+    n = F.floor(F.length("s") / 3).cast("int")
+    x = x.select("row_ord", "s", n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
+    return x.select("row_ord", (F.col("i") == F.col("n") - 1).alias("last"), F.substring(F.col("s"), F.col("i") * 3 + 1, F.lit(3)).alias("codon"))
+
+
 def codon_usage(s, d):
-    x = table(s, d, "fasta_record").where("length(seq) > 2").select(F.explode(sq.codons(sq.ungapped(F.col("seq")))).alias("codon"))
-    x = x.groupBy("codon").agg(F.count("*").alias("n"))
+    x = _codon_rows(s, d).groupBy("codon").agg(F.count("*").alias("n"))
     return x.select("codon", "n", sq.codon_token(F.col("codon")).alias("codon_tok"), sq.amino_token(F.col("codon")).alias("aa_tok"))
 
 
 def internal_stops(s, d):
     """Stop codons before the last codon, per record."""
-    x = table(s, d, "fasta_record").where("length(seq) > 2").select("row_ord", sq.codons(sq.ungapped(F.col("seq"))).alias("c"))
-    x = x.select("row_ord", F.size(F.filter(F.slice("c", 1, F.greatest(F.size("c") - 1, F.lit(0))), lambda k: k.isin("TAA", "TAG", "TGA"))).alias("stops"))
-    return x.where("stops > 0")
+    x = _codon_rows(s, d).where(~F.col("last") & F.col("codon").isin("TAA", "TAG", "TGA"))
+    return x.groupBy("row_ord").agg(F.count("*").cast("int").alias("stops"))
 
 
 def reverse_complements(s, d):
@@ -118,16 +124,30 @@ def reverse_complements(s, d):
 
 
 def canonical_kmers(s, d):
-    """Most frequent canonical 15-mers of all records."""
-    x = table(s, d, "fasta_record").where("length(seq) >= 15").select(F.explode(sq.kmers(F.col("seq"), 15)).alias("k"))
-    return x.groupBy(sq.canonical(F.col("k")).alias("kmer")).agg(F.count("*").alias("n")).where("n >= 20")
+    """Canonical 15-mers that occur at least twenty times in all records."""
+    x = sq.kmer_rows(spread(table(s, d, "fasta_record").select("seq")), "seq", 15)
+    return x.groupBy(sq.canonical(F.col("kmer")).alias("kmer")).agg(F.count("*").alias("n")).where("n >= 20")
 
 
 def kmer_sketch(s, d):
     """Bottom sketches: how many of the 64 least hashes of a record, and their sum."""
-    x = table(s, d, "fasta_record").where("length(seq) >= 15").select("row_ord", F.array_distinct(F.transform(sq.kmers(F.col("seq"), 15), lambda k: sq.kmer_hash(sq.canonical(k)))).alias("h"))
+    x = sq.kmer_rows(spread(table(s, d, "fasta_record").select("row_ord", "seq")), "seq", 15, "row_ord")
+    h = x.select("row_ord", sq.kmer_hash(sq.canonical(F.col("kmer"))).alias("h")).groupBy("row_ord").agg(F.collect_set("h").alias("h"))
     low = F.slice(F.array_sort("h"), 1, 64)
-    return x.select("row_ord", F.size(low).alias("size"), F.aggregate(low, F.lit(0).cast("long"), lambda a, b: a + b).alias("total"))
+    return h.select("row_ord", F.size(low).alias("size"), F.aggregate(low, F.lit(0).cast("long"), lambda a, b: a + b).alias("total"))
+
+
+def sketch_distances(s, d):
+    """Mash distances of records that share any of their 64 least hashes: exact through the shared hashes, no cross join."""
+    x = sq.kmer_rows(spread(table(s, d, "fasta_record").select("row_ord", "seq")), "seq", 15, "row_ord")
+    h = x.select("row_ord", sq.kmer_hash(sq.canonical(F.col("kmer"))).alias("h")).groupBy("row_ord").agg(F.slice(F.array_sort(F.collect_set("h")), 1, 64).alias("h"))
+    h = stored(h)
+    one = h.select("row_ord", F.explode("h").alias("k"))
+    shared = one.join(one.select(F.col("row_ord").alias("b"), "k"), "k").where("row_ord < b").groupBy(F.col("row_ord").alias("a"), "b").agg(F.count("*").alias("n")).where("n >= 16")
+    p = shared.join(h.select(F.col("row_ord").alias("a"), F.col("h").alias("ha")), "a").join(h.select(F.col("row_ord").alias("b"), F.col("h").alias("hb")), "b")
+    union = F.slice(F.array_sort(F.array_union("ha", "hb")), 1, 64)
+    j = F.size(F.array_intersect(F.array_intersect(union, F.col("ha")), F.col("hb"))) / F.size(union)
+    return p.select("a", "b", F.round(j, 6).alias("jaccard"), F.round(sq.mash_distance(j, 15), 6).alias("distance"))
 
 
 def order_midpoints(s, d):
@@ -161,7 +181,7 @@ def merged_tracts(s, d):
     return al.merge_intervals(e.withColumn("b", F.col("a") + 240), ["user_id"], "a", "b").select("user_id", "a", "b", "parts")
 
 
-QUERIES = {f.__name__: f for f in (consensus_smallest, consensus_first_seen, consensus_decayed, allele_freq, column_distance, informative_sites, variable_sites, coverage_envelope, haplotype_collapse, effective_length, missing_ratio, completeness_filter, letter_codes, codon_usage, internal_stops, reverse_complements, canonical_kmers, kmer_sketch, order_midpoints, start_of_day_text, header_years, mismatch_runs, masked_sequences, merged_tracts)}
+QUERIES = {f.__name__: f for f in (consensus_smallest, consensus_first_seen, consensus_decayed, allele_freq, column_distance, informative_sites, variable_sites, coverage_envelope, haplotype_collapse, effective_length, missing_ratio, completeness_filter, letter_codes, codon_usage, internal_stops, reverse_complements, canonical_kmers, kmer_sketch, sketch_distances, order_midpoints, start_of_day_text, header_years, mismatch_runs, masked_sequences, merged_tracts)}
 
 #: the alignment in SQL: taxon, clade, date, site, state
 SITES = """u as (select vec_id taxon, label clade, 2000 + (vec_id * 37 % 240) / 12e0 date, unnest(embedding)::double x, generate_subscripts(embedding, 1) - 1 site from embeddings),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cladeflow.operators.orphans import ForeignKey, References, loose_name, orphan_cascade, references_at_load
 from cladeflow.operators.timestamps import normalise_times, read_times
-from cladeflow.session import table
+from cladeflow.session import spread, table
 
 
 def _references(spark: SparkSession, sf_dir: str) -> list[References]:
@@ -47,7 +47,7 @@ def _times(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "meta").select(F.lit("meta").alias("tab"), F.col("meta_row").alias("row_id"), F.col("date").alias("value"), "zone_name", "loaded_at", F.lit(False).alias("is_header")),
         table(spark, sf_dir, "h5n1_ha_metadata").select(F.lit("h5n1_ha_metadata").alias("tab"), F.col("h5_row").alias("row_id"), F.col("date").alias("value"), "zone_name", "loaded_at", F.lit(False).alias("is_header")),
     ]
-    return reduce(DataFrame.unionByName, parts)
+    return spread(reduce(DataFrame.unionByName, parts))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from cladeflow.operators import kernels as kn
 from cladeflow.operators.sites import codon_threads, mutant_scan, patches, site_scores
 from cladeflow.plans.alignments import aligned, plain_base, sites
 from cladeflow.plans.networks import _near
-from cladeflow.session import stored, table
+from cladeflow.session import spread, stored, table
 
 
 def _run(kernel):
@@ -37,7 +37,7 @@ def codon_threading(s, d):
     """Every record placed on the codons of the longest clean record."""
     f = table(s, d, "fasta_record").select("row_ord", "seq")
     ref = f.where("length(seq) > 0 and not seq rlike '[^ACGTacgt]'").orderBy(F.desc(F.length("seq")), "row_ord").limit(1).collect()
-    return codon_threads(f, "row_ord", "seq", ref[0]["seq"] if ref else "")
+    return codon_threads(spread(f), "row_ord", "seq", ref[0]["seq"] if ref else "")
 
 
 def error_patches(s, d):

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import atexit
 import math
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -89,7 +92,34 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in the executors' Python workers, once per context,
+    wherever the driver was started from."""
+    sc = spark.sparkContext
+    if getattr(sc, "_cladeflow_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="cladeflow-code-")
+    archive = f"{folder}/cladeflow.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(archive)
+    sc._cladeflow_shipped = True
+    atexit.register(shutil.rmtree, folder, True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores, if a small file left it in fewer:
+    for steps whose work per row outweighs moving the row."""
+    spark = df.sparkSession
+    want = spark.sparkContext.defaultParallelism
+    have = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(want) if have < want else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
