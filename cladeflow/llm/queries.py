@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladeflow.llm import components, langid, mixing, neardup, packing, percentiles, tokens, topn
-from cladeflow.session import stored, table
+from cladeflow.session import spread, stored, table
 
 PERCENTS = [0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
 
@@ -57,7 +57,7 @@ def p3_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "fasta_record").select("row_ord", "seq"), "row_ord", "seq")
+    return neardup.near_duplicates(spread(table(spark, sf_dir, "fasta_record").select("row_ord", "seq")), "row_ord", "seq")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +69,7 @@ def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sized_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.with_tokens(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "text")
+    return tokens.with_tokens(spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")), "text")
 
 
 def p7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +100,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "study_id")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "study_id"))
     return langid.languages(docs, "doc_id", "text", "lang", "source", "study_id")
 
 
