@@ -9,6 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cladeflow.llm.components import linked_groups
+from cladeflow.session import stored
+
 K = 16
 #: MinHash samples of a record (one-permutation bins), of which the first
 #: BANDS * ROWS make the bands and all are folded into an odd sketch of BITS bits
@@ -252,16 +255,33 @@ def near_duplicates(records: DataFrame, row_id: str, seq: str, least: float = 0.
     return both.mapInArrow(_verifier(least, slack), "row_a long, row_b long, similarity double")
 
 
-def same_record_classes(pairs: DataFrame, all_rows: DataFrame, row_id: str) -> DataFrame:
-    """One row per record: row_id, class_id (smallest row linked to it directly or
-    indirectly, itself if none) and links (pairs it is in)."""
-    from cladeflow.llm.components import linked_groups
+def collapsed(records: DataFrame, row_id: str, seq: str) -> tuple[DataFrame, DataFrame]:
+    """(rep, seq, copies) for each distinct sequence - without gaps, in upper case - and
+    (id, rep) for every record that has one. Copies are brought together on the map side
+    first, so that a sequence delivered for a third of all records costs a row per task."""
+    rows = records.select(F.col(row_id).cast("long").alias("id"), F.upper(F.replace(F.col(seq).cast("string"), F.lit("-"), F.lit(""))).alias("seq")).where("id is not null and seq is not null").withColumn("h", F.sha2("seq", 256))
+    reps = stored(rows.groupBy("h").agg(F.min("id").alias("rep"), F.min("seq").alias("seq"), F.count("*").alias("copies")))
+    members = rows.select("id", "h").join(reps.select("h", "rep"), "h").select("id", "rep")
+    return reps.select("rep", "seq", "copies"), members
 
-    ids = pairs.select(F.format_string("%020d", "row_a").alias("a"), F.format_string("%020d", "row_b").alias("b"))
-    groups = linked_groups(ids, "a", "b", weight=None).select(F.col("record_id").cast("long").alias("id"), F.col("group_id").cast("long").alias("class_id"))
-    links = pairs.select(F.explode(F.array("row_a", "row_b")).alias("lid")).groupBy("lid").agg(F.count("*").alias("links"))
-    every = all_rows.select(F.col(row_id).cast("long").alias("row_id")).distinct()
-    got = every.join(groups, every["row_id"] == groups["id"], "left").join(links, F.col("row_id") == F.col("lid"), "left")
-    return got.select("row_id", F.coalesce("class_id", "row_id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
 
+def same_record_classes(records: DataFrame, row_id: str, seq: str, least: float = 0.5) -> DataFrame:
+    """One row per record: row_id, class_id (the smallest record linked to it directly or
+    indirectly, itself if none) and links (how many records it is alike).
 
+    Exact copies are collapsed first: pairs are sought between different sequences only and
+    copies follow by membership, so they are never expanded into pairs. Records that are
+    null, empty or without a usable substring stand alone."""
+    reps, members = collapsed(records, row_id, seq)
+    pairs = stored(near_duplicates(reps.select("rep", "seq"), "rep", "seq", least))
+    ids = pairs.select(F.format_string("%020d", "row_a").alias("a"), F.format_string("%020d", "row_b").alias("b"))
+    groups = linked_groups(ids, "a", "b", weight=None).select(F.col("record_id").cast("long").alias("rep"), F.col("group_id").cast("long").alias("class_id"))
+    size = reps.select(F.col("rep").alias("other"), "copies")
+    both = pairs.select(F.explode(F.array(F.struct(F.col("row_a").alias("rep"), F.col("row_b").alias("other")), F.struct(F.col("row_b").alias("rep"), F.col("row_a").alias("other")))).alias("x")).select("x.*")
+    near = both.join(size, "other").groupBy("rep").agg(F.sum("copies").alias("near"))
+    usable = F.col("seq").rlike(f"[ACGT]{{{K}}}")
+    one = reps.select("rep", usable.alias("usable"), "copies").join(groups, "rep", "left").join(near, "rep", "left")
+    one = one.select("rep", "usable", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("near", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    got = members.join(one, "rep").select("id", F.when(F.col("usable"), F.col("class_id")).alias("class_id"), F.when(F.col("usable"), F.col("links")).alias("links"))
+    every = records.select(F.col(row_id).cast("long").alias("row_id")).where("row_id is not null").distinct()
+    return every.join(got, every["row_id"] == got["id"], "left").select("row_id", F.coalesce("class_id", "row_id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))

@@ -65,7 +65,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.same_record_classes(stored(_near_pairs(spark, sf_dir)), table(spark, sf_dir, "fasta_record"), "row_ord")
+    return neardup.same_record_classes(spread(table(spark, sf_dir, "fasta_record").select("row_ord", "seq")), "row_ord", "seq")
 
 
 def _sized_docs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -158,7 +158,8 @@ def top_n(df: DataFrame, group: str, score: str, tie: str, item: str, n: int = 1
     the rest of a group after n outputs. More than fan_in runs are merged in rounds,
     so a task reads at most fan_in runs, each with n rows at most of a hot group.
     """
-    buckets = buckets or shuffle_parts(df.sparkSession)
+    # a merge holds its bucket as Python values, several times their size in a shuffle
+    buckets = buckets or 4 * shuffle_parts(df.sparkSession)
     items = df.select(F.col(group).cast("long").alias("grp"), F.col(score).cast("double").alias("score"), F.col(tie).cast("double").alias("tie"), F.col(item).cast("long").alias("item"))
     items = items.where("grp is not null and item is not null and score is not null and not isnan(score)")
     runs = stored(sorted_runs(items, n, buckets, run_rows))

@@ -83,7 +83,16 @@ def test_odd_sketch_estimates_similarity():
 
 def test_classes_and_empty(spark):
     base = "".join(random.Random(1).choices("ACGT", k=200))
-    df = spark.createDataFrame([(1, base), (2, base), (3, base + "ACGTAC"), (4, "ACGT"), (5, None)], "rid long, seq string")
-    got = {(r["row_id"], r["class_id"], r["links"]) for r in nd.same_record_classes(nd.near_duplicates(df, "rid", "seq"), df, "rid").collect()}
-    assert got == {(1, 1, 2), (2, 1, 2), (3, 1, 2), (4, 4, 0), (5, 5, 0)}
+    df = spark.createDataFrame([(1, base), (2, base), (3, base + "ACGTAC"), (4, "ACGT"), (5, None), (6, "ACGT"), (7, "NN"), (None, base)], "rid long, seq string")
+    got = {(r["row_id"], r["class_id"], r["links"]) for r in nd.same_record_classes(df, "rid", "seq").collect()}
+    assert got == {(1, 1, 2), (2, 1, 2), (3, 1, 2), (4, 4, 0), (5, 5, 0), (6, 6, 0), (7, 7, 0)}
     assert nd.near_duplicates(df.limit(0), "rid", "seq").count() == 0
+    assert nd.same_record_classes(df.limit(0), "rid", "seq").count() == 0
+
+
+def test_a_sequence_delivered_for_a_third_of_all_records(spark):
+    rnd = random.Random(8)
+    hot = "".join(rnd.choices("ACGT", k=120))
+    rows = [(i, hot if i % 3 == 0 else "".join(rnd.choices("ACGT", k=120))) for i in range(3000)]
+    got = {r["row_id"]: (r["class_id"], r["links"]) for r in nd.same_record_classes(spark.createDataFrame(rows, "rid long, seq string"), "rid", "seq").collect()}
+    assert all(got[i] == ((0, 999) if i % 3 == 0 else (i, 0)) for i in range(3000))
