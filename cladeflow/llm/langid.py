@@ -43,14 +43,14 @@ def declared_language(c: Column) -> Column:
     return out
 
 
+def word_of(token: str) -> str | None:
+    """A white-space token as a natural-language word: no record names, numbers, sequences, trees."""
+    t = token.strip(_EDGE)
+    return t if t and _WORD.fullmatch(t) and not _BASES.fullmatch(t) else None
+
+
 def words_of(line: str) -> list[str]:
-    """The natural-language words of a line: no record names, numbers, sequences, trees."""
-    out = []
-    for t in line.split():
-        t = t.strip(_EDGE)
-        if t and _WORD.fullmatch(t) and not _BASES.fullmatch(t):
-            out.append(t)
-    return out
+    return [w for w in map(word_of, line.split()) if w]
 
 
 def features(word: str) -> list[int]:
@@ -62,21 +62,42 @@ def features(word: str) -> list[int]:
 
 
 class Scorer:
-    """Log likelihood of a line per language: the sum over its words."""
+    """Log likelihood of a line per language: the sum over its words. What a token is and
+    weighs is worked out once and kept; the store is emptied when it has grown large."""
 
     def __init__(self, table: np.ndarray):
-        self.table, self.known = table, {}
-
-    def word(self, w: str) -> np.ndarray:
-        got = self.known.get(w)
-        if got is None:
-            if len(self.known) > 200_000:
-                self.known.clear()
-            got = self.known[w] = self.table[features(w)].sum(axis=0)
-        return got
-
-    def line(self, words: list[str]) -> np.ndarray:
-        return np.sum([self.word(w) for w in words], axis=0)
+        self.table = table
+        self.clear()
+
+    def clear(self) -> None:
+        self.row: dict[str, int] = {}
+        self.used = 0
+        self.weights = np.zeros((1024, len(LANGUAGES)), np.float32)
+
+    def _add(self, token: str) -> int:
+        w = word_of(token)
+        if w is None:
+            self.row[token] = -1
+            return -1
+        if self.used == len(self.weights):
+            self.weights = np.concatenate([self.weights, np.zeros_like(self.weights)])
+        k = self.row[token] = self.used
+        self.weights[k] = self.table[features(w)].sum(axis=0)
+        self.used += 1
+        return k
+
+    def line(self, line: str) -> tuple[int, np.ndarray | None]:
+        """(words, log likelihoods), (0, None) for a line without words."""
+        if len(self.row) > 200_000:
+            self.clear()
+        at = []
+        for t in line.split():
+            k = self.row.get(t)
+            if k is None:
+                k = self._add(t)
+            if k >= 0:
+                at.append(k)
+        return (len(at), self.weights[at].sum(axis=0)) if at else (0, None)
 
 
 def _count(counted: np.ndarray) -> np.ndarray:
@@ -99,16 +120,22 @@ def fit(docs: DataFrame, key: str, text: str, label: str, bound: int = FIT_DOCS,
         given = table
 
         def count(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:
-            n = np.zeros((CELLS, len(LANGUAGES)))
+            seen: dict[str, list[int]] = {}
             scorer = Scorer(given) if given is not None else None
             for b in batches:
                 for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                     for line in text.split("\n"):
-                        words = words_of(line)
-                        if words:
-                            k = LANGUAGES.index(lang) if scorer is None else int(scorer.line(words).argmax())
-                            for w in words:
-                                np.add.at(n, (features(w), k), 1)
+                        k = LANGUAGES.index(lang)
+                        if scorer is not None:
+                            found, scores = scorer.line(line)
+                            if not found:
+                                continue
+                            k = int(scores.argmax())
+                        for w in words_of(line):
+                            seen.setdefault(w, [0] * len(LANGUAGES))[k] += 1
+            n = np.zeros((CELLS, len(LANGUAGES)))
+            for w, c in seen.items():
+                np.add.at(n, features(w), c)
             used = np.flatnonzero(n.any(axis=1))
             yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *(pa.array(n[used, k]) for k in range(len(LANGUAGES)))], names=["cell", *LANGUAGES])
 
@@ -136,11 +163,10 @@ def score(docs: DataFrame, table: np.ndarray) -> DataFrame:
                 total, n, lines = np.zeros(len(LANGUAGES), np.float32), 0, []
                 if isinstance(text, str):
                     for i, line in enumerate(text.split("\n")):
-                        words = words_of(line)
-                        if words:
-                            s = scorer.line(words)
-                            total, n = total + s, n + len(words)
-                            lines.append({"line_no": i, "words": len(words), "scores": s.tolist()})
+                        found, s = scorer.line(line)
+                        if found:
+                            total, n = total + s, n + found
+                            lines.append({"line_no": i, "words": found, "scores": s.tolist()})
                 rows.append((n, LANGUAGES[int(total.argmax())] if n else None, total.tolist(), lines))
             out = pd.DataFrame(rows, columns=["words", "best", "scores", "lines"])
             yield pd.concat([f[["doc_id", "label", "source", "host"]].reset_index(drop=True), out], axis=1)
