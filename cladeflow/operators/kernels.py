@@ -451,3 +451,97 @@ def binary_segments(x: np.ndarray, least: float, min_len: int = 5) -> list[tuple
         if n:
             out.append((a, b - 1, float((c[b] - c[a]) / n)))
     return sorted(out)
+
+
+def best_root(nodes: list[tuple], when: dict[str, float], most: int = 60) -> tuple[list[tuple], float, float]:
+    """The branch (of at most `most` longest ones) whose middle as root leaves the least residuals of tip
+    depth on date, among roots with a positive rate if there are any: (tree, rate, residual sum)."""
+    adj: dict[int, list[tuple[int, float]]] = {x[0]: [] for x in nodes}
+    name = {x[0]: x[3] for x in nodes}
+    branches = []
+    for v, p, length, _ in nodes:
+        if p is not None:
+            adj[v].append((p, length))
+            adj[p].append((v, length))
+            branches.append((length, v, p))
+    best = None
+    for length, v, p in sorted(branches, key=lambda b: (-b[0], b[1]))[:most]:
+        root = max(adj) + 1
+        out = [(root, None, 0.0, None), (v, root, length / 2, name[v]), (p, root, length / 2, name[p])]
+        todo = [(v, p), (p, v)]
+        while todo:
+            x, came = todo.pop()
+            for w, le in adj[x]:
+                if w != came:
+                    out.append((w, x, le, name[w]))
+                    todo.append((w, x))
+        depth = {k: d for k, d in root_to_tip(out).items() if k in when}
+        t, y = np.array([when[k] for k in depth]), np.array(list(depth.values()))
+        if len(t) < 3 or np.ptp(t) == 0:
+            continue
+        rate, icpt = np.polyfit(t, y, 1)
+        rss = float(((y - icpt - rate * t) ** 2).sum())
+        key = (rate <= 0, rss)
+        if best is None or key < best[0]:
+            best = (key, out, float(rate), rss)
+    return (best[1], best[2], best[3]) if best else (nodes, float("nan"), float("nan"))
+
+
+def node_dates(nodes: list[tuple], when: dict[str, float], rate: float, floor: float = 1e-4) -> dict[int, float]:
+    """Dates of all nodes by weighted least squares of branch lengths on rate times elapsed time, tips
+    with a date held fixed; a node is never dated after its earliest child."""
+    index = {x[0]: k for k, x in enumerate(nodes)}
+    a, b = [], []
+    for v, p, length, name in nodes:
+        row = np.zeros(len(nodes))
+        if p is not None:
+            w = 1 / math.sqrt(length + floor)
+            row[index[v]], row[index[p]] = rate * w, -rate * w
+            a.append(row)
+            b.append(length * w)
+        if name in when:
+            row = np.zeros(len(nodes))
+            row[index[v]] = 1e4
+            a.append(row)
+            b.append(1e4 * when[name])
+    t = np.linalg.lstsq(np.array(a), np.array(b), rcond=None)[0] if a else np.zeros(len(nodes))
+    kids: dict = {}
+    for v, p, *_ in nodes:
+        kids.setdefault(p, []).append(v)
+    order, todo = [], list(kids.get(None, []))
+    while todo:
+        v = todo.pop()
+        order.append(v)
+        todo += kids.get(v, [])
+    out = {x[0]: float(t[index[x[0]]]) for x in nodes}
+    for v in reversed(order):
+        if v in kids:
+            out[v] = min(out[v], *(out[k] for k in kids[v]))
+    return out
+
+
+def modularity_groups(w: np.ndarray) -> np.ndarray:
+    """Greedy modularity: the pair of groups whose union gains most is joined until none gains; labels from 0 by size."""
+    m2 = w.sum()
+    n = len(w)
+    if m2 <= 0:
+        return np.arange(n)
+    e, live = w / m2, [[i] for i in range(n)]
+    a = e.sum(axis=1)
+    while len(live) > 1:
+        gain = 2 * (e - a[:, None] * a[None, :])
+        np.fill_diagonal(gain, -np.inf)
+        i, j = divmod(int(gain.argmax()), len(live))
+        if gain[i, j] <= 1e-12:
+            break
+        i, j = min(i, j), max(i, j)
+        e[i] += e[j]
+        e[:, i] += e[:, j]
+        keep = [k for k in range(len(live)) if k != j]
+        live[i] += live[j]
+        e, live = e[np.ix_(keep, keep)], [live[k] for k in keep]
+        a = e.sum(axis=1)
+    out = np.empty(n, int)
+    for k, g in enumerate(sorted(live, key=lambda g: (-len(g), min(g)))):
+        out[g] = k
+    return out

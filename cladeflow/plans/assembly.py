@@ -11,7 +11,7 @@ from cladeflow.operators import graphs as gr
 from cladeflow.operators import kernels as kn
 from cladeflow.operators.alignments import allele_frequencies, padded
 from cladeflow.plans.alignments import aligned, plain_base, sites
-from cladeflow.plans.dynamics import _force
+from cladeflow.plans.dynamics import _force, coselection_pairs
 from cladeflow.plans.networks import _COUNT, NEAR, _near
 from cladeflow.session import stored, table
 from cladeflow.sources.tables import geojson_points
@@ -98,8 +98,64 @@ def tree_rotations(s, d):
     return dg.per_group(aligned(s, d), "clade", rot, "taxon long, factor double")
 
 
-QUERIES = {f.__name__: f for f in (padded_records, near_pair_rarity, trait_match, cluster_dossiers, location_geojson, epicentres, changepoints, tree_rotations)}
+def dated_trees(s, d):
+    """Per clade the joined tree at its best root, with the rate and the date of the root."""
+    def tree(f: pd.DataFrame, dist: np.ndarray) -> pd.DataFrame:
+        when = dict(zip(f["taxon"].astype(str), f["date"], strict=True))
+        nodes, rate, rss = kn.best_root(kn.neighbour_joining(dist, list(when)), when)
+        at = kn.node_dates(nodes, when, max(rate, 1e-4)) if rate == rate else {}
+        root = next((v for v, p, *_ in nodes if p is None), None)
+        return pd.DataFrame([{"rate": rate, "rss": rss, "root": at.get(root), "newick": kn.newick_text(nodes)}])
+
+    return dg.per_group(aligned(s, d), "clade", tree, "rate double, rss double, root double, newick string")
+
+
+def coselection_sectors(s, d):
+    """Sites in groups by greedy modularity of the co-selection network; one network of sites is one task's matrix."""
+    e = coselection_pairs(s, d).select(F.lit(0).alias("one"), "a", "b", "sim")
+
+    def sectors(f: pd.DataFrame) -> pd.DataFrame:
+        sites_ = np.unique(np.r_[f["a"], f["b"]])
+        w = np.zeros((len(sites_), len(sites_)))
+        i, j = np.searchsorted(sites_, f["a"]), np.searchsorted(sites_, f["b"])
+        w[i, j] = w[j, i] = f["sim"]
+        return pd.DataFrame({"site": sites_, "sector": kn.modularity_groups(w)})
+
+    return e.groupBy("one").applyInPandas(sectors, "site int, sector int")
+
+
+BELOW = "conv(substr(md5(cast({} as string)), 1, 7), 16, 10)"
+
+
+def gene_split(s, d):
+    """Four fifths of the genes for fitting, the rest held out, by a hash of the gene; rows follow their gene."""
+    part = F.when(F.expr(BELOW.format("gene_id")).cast("long") % 100 < 80, "fit").otherwise("held out")
+    genes = table(s, d, "orthomam_gene_selection").select("gene_id", part.alias("part"))
+    x = table(s, d, "orthomam_site_selection").select("gene_id", "lrt").join(genes, "gene_id")
+    return x.groupBy("part").agg(F.count("*").alias("rows"), F.count_distinct("gene_id").alias("genes"))
+
+
+def stratified_sites(s, d):
+    """Sites drawn with more weight to strong signals: all above ten, then a half, a fifth, a tenth, a twentieth."""
+    share = F.when(F.col("lrt") >= 10, 100).when(F.col("lrt") >= 4, 50).when(F.col("lrt") >= 1, 20).when(F.col("lrt") > 0, 10).otherwise(5)
+    x = table(s, d, "orthomam_site_selection").where("gene_id is not null and lrt is not null and not isnan(lrt)").withColumn("share", share)
+    h = F.expr(BELOW.format("concat(gene_id, ':', site_1idx)")).cast("long") % 100
+    return x.where(h < F.col("share")).groupBy("share").agg(F.count("*").alias("rows"), F.round(F.avg("lrt"), 6).alias("mean"))
+
+
+def reported_genes(s, d):
+    """The report as SQL text over views: named genes that are no controls, with how many of their sites pass."""
+    table(s, d, "orthomam_gene_selection").createOrReplaceTempView("v_genes")
+    table(s, d, "orthomam_site_selection").createOrReplaceTempView("v_sites")
+    return s.sql("select g.gene_id, g.gene_symbol, count(*) as rows, sum(case when s.q_value <= 0.1 then 1 else 0 end) as passed from v_genes g join v_sites s on g.gene_id = s.gene_id where g.gene_symbol is not null and g.gene_symbol not like 'K%' group by g.gene_id, g.gene_symbol")
+
+
+QUERIES = {f.__name__: f for f in (padded_records, near_pair_rarity, trait_match, cluster_dossiers, location_geojson, epicentres, changepoints, tree_rotations, dated_trees, coselection_sectors, gene_split, stratified_sites, reported_genes)}
+_BELOW = "('0x' || substr(md5(({})::varchar), 1, 7))::bigint % 100"
 ORACLE = {
+    "gene_split": f"with g as (select gene_id, case when {_BELOW.format('gene_id')} < 80 then 'fit' else 'held out' end part from orthomam_gene_selection) select part, count(*) \"rows\", count(distinct gene_id) genes from orthomam_site_selection join g using (gene_id) group by 1",
+    "stratified_sites": f"with x as (select *, case when lrt >= 10 then 100 when lrt >= 4 then 50 when lrt >= 1 then 20 when lrt > 0 then 10 else 5 end share from orthomam_site_selection where gene_id is not null and lrt is not null and not isnan(lrt)) select share, count(*) \"rows\", round(avg(lrt), 6) mean from x where {_BELOW.format("gene_id || ':' || site_1idx")} < share group by 1",
+    "reported_genes": "select g.gene_id, g.gene_symbol, count(*) \"rows\", sum(case when s.q_value <= 0.1e0 then 1 else 0 end)::bigint passed from orthomam_gene_selection g join orthomam_site_selection s using (gene_id) where g.gene_symbol is not null and g.gene_symbol not like 'K%' group by all",
     "padded_records": "select row_ord, (select max(length(seq)) from fasta_record)::int width, ((select max(length(seq)) from fasta_record) - length(coalesce(seq, '')))::int filled from fasta_record",
     "near_pair_rarity": f"with {_COUNT.format('')}, p as (select i, j from n where diff / tot <= {NEAR}e0), f as (select site, state, greatest(count(*) / sum(count(*)) over (partition by site), 1e-4) f from v group by site, state), r as (select taxon, site, state, f from v join f using (site, state) where f < 0.2e0), s as (select p.i, p.j, count(*) shared, sum(-ln(a.f)) nats from p join r a on a.taxon = p.i join r b on b.taxon = p.j and a.site = b.site and a.state = b.state group by all) select i, j, coalesce(shared, 0) shared, round(coalesce(nats, 0), 6) nats from p left join s using (i, j)",
     "trait_match": "with w as (select row_ord, unnest(string_split(name, '_')) w from fasta_record where name is not null), h(host, trait) as (values ('Duck', 'waterfowl'), ('gull', 'shore'), ('CHICKEN', 'poultry'), ('turk', 'poultry')), m as (select row_ord, case when w = host then 0 when lower(w) = lower(host) then 1 else 2 end how, host, trait from w join h on contains(lower(w), lower(host))) select row_ord, how::int how, trait from (select *, row_number() over (partition by row_ord order by how, host, trait) r from m) where r = 1",

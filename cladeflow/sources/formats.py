@@ -154,3 +154,13 @@ def read_files(spark: SparkSession, path: str, parse: Callable[[str], list[tuple
                 yield rows
 
     return files.mapInPandas(work, f"path string, ord long, {schema}")
+
+
+def clock_xml(rows: list[tuple[str, str, float]], newick_text: str, rate: float) -> str:
+    """A starting document for a sampler: dated taxa, alignment, starting tree and clock rate. Rows of one
+    analysis, which fits the driver."""
+    from xml.sax.saxutils import escape, quoteattr
+
+    taxa = "\n".join(f"  <taxon id={quoteattr(n)}><date value=\"{t:.6f}\" direction=\"forwards\" units=\"years\"/></taxon>" for n, _, t in rows)
+    seqs = "\n".join(f"  <sequence><taxon idref={quoteattr(n)}/>{escape(s)}</sequence>" for n, s, _ in rows)
+    return f'<?xml version="1.0"?>\n<beast>\n<taxa id="taxa">\n{taxa}\n</taxa>\n<alignment id="alignment" dataType="nucleotide">\n{seqs}\n</alignment>\n<newick id="startingTree">{escape(newick_text)}</newick>\n<strictClockBranchRates id="branchRates"><rate><parameter id="clock.rate" value="{rate:.8g}"/></rate></strictClockBranchRates>\n</beast>\n'

@@ -215,3 +215,23 @@ def test_components_and_bisection(spark):
     assert sorted(map(sorted, parts.values())) == [[1], [2]]
     assert {r["node"]: r["degree"] for r in degrees(df).collect()}[100] == 6
     assert components(df.limit(0)).count() == 0
+
+
+def test_best_root_and_node_dates():
+    nodes = parse_newick("(((a:1,b:2):1,c:3):1,d:5);")
+    nodes = [(v, p, le or 0.0, n) for v, p, le, n in nodes]
+    when = {k: 2000 + v for k, v in kn.root_to_tip(nodes).items()}
+    again, rate, rss = kn.best_root([x for x in kn.reroot_midpoint(nodes)], when)
+    assert rate > 0
+    at = kn.node_dates(nodes, when, 1.0)
+    assert at[0] == pytest.approx(2000, abs=1e-3)
+    assert all(at[p] <= at[v] for v, p, *_ in nodes if p is not None)
+
+
+def test_modularity_groups():
+    w = np.zeros((8, 8))
+    w[:4, :4] = w[4:, 4:] = 1
+    w[3, 4] = w[4, 3] = 0.2
+    np.fill_diagonal(w, 0)
+    assert kn.modularity_groups(w).tolist() == [0] * 4 + [1] * 4
+    assert kn.modularity_groups(np.zeros((3, 3))).tolist() == [0, 1, 2]

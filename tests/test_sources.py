@@ -81,3 +81,8 @@ def test_mutations_cigars_and_text_sinks(spark):
     assert got[1]["geometry"] is None
     e = spark.createDataFrame([("a&b", "c", 1.5)], "i string, j string, w double")
     assert '<node id="a&amp;b"/>' in [r["value"] for r in tb.graphml(e, "w").collect()]
+
+
+def test_clock_xml_reads_back():
+    doc = fm.clock_xml([("a&b", "ACGT", 2001.5), ("c", "AC-T", 2002.25)], "(a:1,c:2);", 1e-3)
+    assert fm.beast_xml(doc) == [("a&b", "ACGT", 2001.5), ("c", "AC-T", 2002.25)]
