@@ -33,7 +33,7 @@ class References:
     loaded_at: str
 
 
-def references_at_load(records: DataFrame, name: str, loaded_at: str, withdrawn_at: str, refs: list[References], parts: int | None = None) -> DataFrame:
+def references_at_load(records: DataFrame, name: str, loaded_at: str, withdrawn_at: str, refs: list[References], parts: int | None = None, compare=loose_name, row_type: str = "long") -> DataFrame:
     """Judge every reference at the moment it was loaded.
 
     Result: tab, load_month (`YYYY-MM`), row_id, reason; one row per reference that
@@ -42,18 +42,19 @@ def references_at_load(records: DataFrame, name: str, loaded_at: str, withdrawn_
     references are no case. A record without loaded_at exists but is never in order
     and counts as later than any time; a reference without loaded_at is judged after
     everything with a time and has a null month. Repeated rows are judged each.
+    `compare` maps a column name to how its names are compared.
 
     Record starts, withdrawals and references become one timeline per name, summed
     by running_sums: a name that holds a third of all rows is spread over tasks.
     """
     end_of_time = F.lit(2**62)
-    r = records.select(loose_name(name).alias("k"), micros(loaded_at).alias("t0"), micros(withdrawn_at).alias("t1")).where("k is not null")
+    r = records.select(compare(name).alias("k"), micros(loaded_at).alias("t0"), micros(withdrawn_at).alias("t1")).where("k is not null")
     lives = F.col("t0").isNotNull() & (F.col("t1").isNull() | (F.col("t1") > F.col("t0")))
-    none = [F.lit(None).cast("string").alias("tab"), F.lit(None).cast("long").alias("row_id"), F.lit(None).cast("string").alias("load_month")]
+    none = [F.lit(None).cast("string").alias("tab"), F.lit(None).cast(row_type).alias("row_id"), F.lit(None).cast("string").alias("load_month")]
     starts = r.select("k", F.coalesce("t0", end_of_time + 1).alias("t"), F.lit(0).alias("kind"), F.when(lives, 1).otherwise(0).alias("up"), F.lit(1).alias("rec"), *none)
     ends = r.where(lives & F.col("t1").isNotNull()).select("k", F.col("t1").alias("t"), F.lit(0).alias("kind"), F.lit(-1).alias("up"), F.lit(0).alias("rec"), *none)
     probes = [
-        x.df.select(loose_name(x.key).alias("k"), F.coalesce(micros(x.loaded_at), end_of_time).alias("t"), F.lit(1).alias("kind"), F.lit(0).alias("up"), F.lit(0).alias("rec"), F.lit(x.tab).alias("tab"), F.col(x.row_id).cast("long").alias("row_id"), month(x.loaded_at).alias("load_month")).where("k is not null")
+        x.df.select(compare(x.key).alias("k"), F.coalesce(micros(x.loaded_at), end_of_time).alias("t"), F.lit(1).alias("kind"), F.lit(0).alias("up"), F.lit(0).alias("rec"), F.lit(x.tab).alias("tab"), F.col(x.row_id).cast(row_type).alias("row_id"), month(x.loaded_at).alias("load_month")).where("k is not null")
         for x in refs
     ]
     events = reduce(DataFrame.unionByName, [starts, ends, *probes])
@@ -69,13 +70,24 @@ def references_at_load(records: DataFrame, name: str, loaded_at: str, withdrawn_
 
 @dataclass(frozen=True)
 class ForeignKey:
+    """A reference; `also` names further (parent, column) pairs of which any may hold the row."""
+
     child: str
     column: str
     parent: str
     parent_column: str
+    also: tuple[tuple[str, str], ...] = ()
+
+    @property
+    def parents(self) -> tuple[tuple[str, str], ...]:
+        return ((self.parent, self.parent_column), *self.also)
+
+    @property
+    def label(self) -> str:
+        return f"{self.child}.{self.column}->{'|'.join(p for p, _ in self.parents)}"
 
 
-def orphan_cascade(tables: dict[str, DataFrame], keys: dict[str, str], fks: list[ForeignKey], compare=F.col, max_rounds: int = 1000) -> DataFrame:
+def orphan_cascade(tables: dict[str, DataFrame], keys: dict[str, str], fks: list[ForeignKey], compare=F.col, max_rounds: int = 1000, times: dict[str, tuple[str, str | None]] | None = None) -> DataFrame:
     """Direct and inherited orphans over a foreign-key graph, by fixpoint.
 
     tables: name -> rows; keys: name -> the column that names its rows. Result: tab,
@@ -83,45 +95,81 @@ def orphan_cascade(tables: dict[str, DataFrame], keys: dict[str, str], fks: list
     `inherited`), depth (0 for direct). A row is a direct orphan if a non-null
     reference of it finds no parent row; it inherits if every parent row of a
     reference is an orphan. Each round semi-joins the children with the parent keys
-    whose rows have all become orphans, until a round finds no new row; cycles in
+    of which rows have become orphans, until a round finds no new row; cycles in
     the graph end too. Orphans of a round are written to the shared folder. A row is reported once per
     reference, in the first round in which that reference fails. Null references
     are no case; `compare` maps a column name to how its values are compared.
+
+    times: name -> the columns of arrival and withdrawal (None: never). With it every
+    reference is judged at the moment its row arrived, by references_at_load: only
+    parent rows that had arrived and were not withdrawn then count, and the result
+    also has load_month and reason (`missing`, `late`, `withdrawn`; null if inherited).
     """
-    key_of = {n: tables[n].select(F.col(keys[n]).cast("string").alias("row_id"), *(compare(c).alias(f"c_{c}") for c in sorted({f.column for f in fks if f.child == n} | {f.parent_column for f in fks if f.parent == n}))) for n in tables}
+    def rows_of(n: str) -> DataFrame:
+        wanted = sorted({f.column for f in fks if f.child == n} | {c for f in fks for p, c in f.parents if p == n})
+        at = [F.lit(None).cast("timestamp_ntz").alias(a) if c is None else F.col(c).alias(a) for a, c in zip(("t0", "t1"), times[n], strict=True)] if times else []
+        return tables[n].select(F.col(keys[n]).cast("string").alias("row_id"), *(compare(c).alias(f"c_{c}") for c in wanted), *at)
+
+    key_of = {n: rows_of(n) for n in tables}
+    at = ["t0", "t1"] if times else []
     found: list[DataFrame] = []
     fresh: dict[str, DataFrame] = {}
     gone: dict[str, DataFrame] = {}
+
+    def parent_rows(ps: tuple[tuple[str, str], ...], alive: bool) -> DataFrame:
+        out = []
+        for p, c in ps:
+            rows = key_of[p].where(F.col(f"c_{c}").isNotNull())
+            if alive and p in gone:
+                rows = rows.join(gone[p].select("row_id").distinct(), "row_id", "left_anti")
+            out.append(rows.select(F.col(f"c_{c}").alias("pk"), *at))
+        return reduce(DataFrame.unionByName, out)
+
+    def failing(rows: DataFrame, children: list[tuple[ForeignKey, DataFrame]]) -> DataFrame:
+        """label, row_id of the references that no parent row serves."""
+        if times:
+            refs = [References(f.label, child, "row_id", f"c_{f.column}", "t0") for f, child in children]
+            return references_at_load(rows, "pk", "t0", "t1", refs, compare=F.col, row_type="string").withColumnRenamed("tab", "fk")
+        parents = rows.select("pk").distinct()
+        return reduce(DataFrame.unionByName, [child.join(parents, child[f"c_{f.column}"] == parents["pk"], "left_anti").select(F.lit(f.label).alias("fk"), "row_id") for f, child in children])
+
     for depth in range(max_rounds):
-        now: dict[str, list[DataFrame]] = {}
+        by_parents: dict[tuple, list[ForeignKey]] = {}
         for f in fks:
-            child = key_of[f.child].where(F.col(f"c_{f.column}").isNotNull())
-            if depth == 0:
-                parents = key_of[f.parent].select(F.col(f"c_{f.parent_column}").alias("pk")).where("pk is not null").distinct()
-                hit = child.join(parents, child[f"c_{f.column}"] == parents["pk"], "left_anti")
-            elif f.parent in fresh:
-                touched = key_of[f.parent].join(fresh[f.parent].select("row_id").distinct(), "row_id", "left_semi").select(F.col(f"c_{f.parent_column}").alias("pk")).where("pk is not null").distinct()
-                rows = key_of[f.parent].withColumnRenamed(f"c_{f.parent_column}", "pk").join(touched, "pk", "left_semi")
-                alive = rows.join(gone[f.parent].select("row_id").distinct(), "row_id", "left_anti").select("pk").distinct()
-                dead = touched.join(alive, "pk", "left_anti")
-                hit = child.join(dead, child[f"c_{f.column}"] == dead["pk"], "left_semi")
-            else:
-                continue
-            label = f"{f.child}.{f.column}->{f.parent}"
-            hit = hit.select("row_id", F.lit(label).alias("fk"), F.lit("direct" if depth == 0 else "inherited").alias("kind"), F.lit(depth).alias("depth"))
-            if f.child in gone:
-                hit = hit.join(gone[f.child].where(F.col("fk") == label).select("row_id"), "row_id", "left_anti")
-            now.setdefault(f.child, []).append(hit)
+            if depth == 0 or any(p in fresh for p, _ in f.parents):
+                by_parents.setdefault(f.parents, []).append(f)
+        now: dict[str, list[DataFrame]] = {}
+        for ps, group in by_parents.items():
+            rows, children = parent_rows(ps, depth > 0), []
+            if depth:
+                hurt = [key_of[p].join(fresh[p].select("row_id").distinct(), "row_id", "left_semi").select(F.col(f"c_{c}").alias("pk")) for p, c in ps if p in fresh]
+                touched = stored(reduce(DataFrame.unionByName, hurt).where("pk is not null").distinct())
+                rows = rows.join(touched, "pk", "left_semi")
+            for f in group:
+                child = key_of[f.child].where(F.col(f"c_{f.column}").isNotNull())
+                if depth:
+                    child = child.join(touched, child[f"c_{f.column}"] == touched["pk"], "left_semi")
+                    if f.child in gone:
+                        child = child.join(gone[f.child].where(F.col("fk") == f.label).select("row_id"), "row_id", "left_anti")
+                children.append((f, child))
+            hits = failing(rows, children)
+            if depth and times:
+                hits = hits.withColumn("reason", F.lit(None).cast("string"))
+            if len({f.child for f in group}) > 1:
+                hits = stored(hits)
+            for n in {f.child for f in group}:
+                now.setdefault(n, []).append(hits.where(F.col("fk").isin([f.label for f in group if f.child == n])))
         fresh = {}
         for n, hits in now.items():
-            new = stored(reduce(DataFrame.unionByName, hits))
+            new = reduce(DataFrame.unionByName, hits).withColumns({"kind": F.lit("inherited" if depth else "direct"), "depth": F.lit(depth)})
+            new = stored(new)
             if not new.isEmpty():
                 fresh[n] = new
                 gone[n] = gone[n].unionByName(new) if n in gone else new
-                found.append(new.select(F.lit(n).alias("tab"), "row_id", "fk", "kind", "depth"))
+                found.append(new.select(F.lit(n).alias("tab"), "row_id", "fk", "kind", "depth", *(["load_month", "reason"] if times else [])))
         if not fresh:
             break
     if not found:
         spark = next(iter(tables.values())).sparkSession
-        return spark.createDataFrame([], "tab string, row_id string, fk string, kind string, depth int")
+        return spark.createDataFrame([], "tab string, row_id string, fk string, kind string, depth int" + ", load_month string, reason string" * bool(times))
     return reduce(DataFrame.unionByName, found)

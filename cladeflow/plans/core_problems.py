@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cladeflow.operators.orphans import ForeignKey, References, loose_name, orphan_cascade, references_at_load
 from cladeflow.operators.timestamps import normalise_times, read_times
-from cladeflow.session import spread, table
+from cladeflow.session import spread, stored, table
 
 
 def _references(spark: SparkSession, sf_dir: str) -> list[References]:
@@ -29,15 +29,21 @@ def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metadata rows without a record, and the pair links that hang on them."""
+    """Metadata rows without a record in order when they were loaded, and the pair links that hang on
+    them, by table and month. A record's metadata is in meta or in h5n1_ha_metadata, so a link
+    is in order if either holds a row of its id. Repeated rows count each."""
     tables = {
-        "fasta_record": table(spark, sf_dir, "fasta_record").select("row_ord", "name"),
-        "meta": table(spark, sf_dir, "meta").select("meta_row", "id"),
-        "supported_edges": table(spark, sf_dir, "supported_edges").select(F.xxhash64("id1", "id2", "distance", "delta_t", "bayes_factor", "q_value", "loaded_at").alias("edge_row"), "id1", "id2"),
+        "fasta_record": table(spark, sf_dir, "fasta_record").select("row_ord", "name", "loaded_at", "withdrawn_at"),
+        "meta": table(spark, sf_dir, "meta").select("meta_row", "id", "loaded_at"),
+        "h5n1_ha_metadata": table(spark, sf_dir, "h5n1_ha_metadata").select("h5_row", "taxon", "loaded_at"),
+        # the numbers of the rows are fixed by the stored table
+        "supported_edges": stored(table(spark, sf_dir, "supported_edges").select(F.monotonically_increasing_id().alias("edge_row"), "id1", "id2", "loaded_at")),
     }
-    fks = [ForeignKey("meta", "id", "fasta_record", "name"), ForeignKey("supported_edges", "id1", "meta", "id"), ForeignKey("supported_edges", "id2", "meta", "id")]
-    found = orphan_cascade(tables, {"fasta_record": "row_ord", "meta": "meta_row", "supported_edges": "edge_row"}, fks, compare=loose_name)
-    return found.groupBy("tab", "fk", "kind", "depth").agg(F.countDistinct("row_id").alias("orphans"))
+    either = (("h5n1_ha_metadata", "taxon"),)
+    fks = [ForeignKey("meta", "id", "fasta_record", "name"), ForeignKey("h5n1_ha_metadata", "taxon", "fasta_record", "name"), ForeignKey("supported_edges", "id1", "meta", "id", either), ForeignKey("supported_edges", "id2", "meta", "id", either)]
+    times = {"fasta_record": ("loaded_at", "withdrawn_at"), **dict.fromkeys(("meta", "h5n1_ha_metadata", "supported_edges"), ("loaded_at", None))}
+    found = orphan_cascade(tables, {"fasta_record": "row_ord", "meta": "meta_row", "h5n1_ha_metadata": "h5_row", "supported_edges": "edge_row"}, fks, compare=loose_name, times=times)
+    return found.groupBy("tab", "load_month", "fk", "kind", "depth", "reason").agg(F.count("*").alias("orphans"))
 
 
 def _times(spark: SparkSession, sf_dir: str) -> DataFrame:
