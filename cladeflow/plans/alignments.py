@@ -6,7 +6,7 @@ which a large component replaces and a tiny one turns into a gap.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cladeflow.functions import dates as dt
@@ -129,25 +129,38 @@ def canonical_kmers(s, d):
     return x.groupBy(sq.canonical(F.col("kmer")).alias("kmer")).agg(F.count("*").alias("n")).where("n >= 20")
 
 
-def kmer_sketch(s, d):
-    """Bottom sketches: how many of the 64 least hashes of a record, and their sum."""
+#: fixed value: hashes in a sketch
+SKETCH = 1024
+
+
+def _sketches(s, d):
+    """row_ord, h: the least hashes of a record's canonical 15-mers, ascending."""
     x = sq.kmer_rows(spread(table(s, d, "fasta_record").select("row_ord", "seq")), "seq", 15, "row_ord")
     h = x.select("row_ord", sq.kmer_hash(sq.canonical(F.col("kmer"))).alias("h")).groupBy("row_ord").agg(F.collect_set("h").alias("h"))
-    low = F.slice(F.array_sort("h"), 1, 64)
-    return h.select("row_ord", F.size(low).alias("size"), F.aggregate(low, F.lit(0).cast("long"), lambda a, b: a + b).alias("total"))
+    return h.select("row_ord", F.slice(F.array_sort("h"), 1, SKETCH).alias("h"))
+
+
+def kmer_sketch(s, d):
+    """Bottom sketches: how many of the 1024 least hashes of a record, and their sum."""
+    low = F.col("h")
+    return _sketches(s, d).select("row_ord", F.size(low).alias("size"), F.aggregate(low, F.lit(0).cast("long"), lambda a, b: a + b).alias("total"))
 
 
 def sketch_distances(s, d):
-    """Mash distances of records that share any of their 64 least hashes: exact through the shared hashes, no cross join."""
-    x = sq.kmer_rows(spread(table(s, d, "fasta_record").select("row_ord", "seq")), "seq", 15, "row_ord")
-    h = x.select("row_ord", sq.kmer_hash(sq.canonical(F.col("kmer"))).alias("h")).groupBy("row_ord").agg(F.slice(F.array_sort(F.collect_set("h")), 1, 64).alias("h"))
-    h = stored(h)
-    one = h.select("row_ord", F.explode("h").alias("k"))
-    shared = one.join(one.select(F.col("row_ord").alias("b"), "k"), "k").where("row_ord < b").groupBy(F.col("row_ord").alias("a"), "b").agg(F.count("*").alias("n")).where("n >= 16")
-    p = shared.join(h.select(F.col("row_ord").alias("a"), F.col("h").alias("ha")), "a").join(h.select(F.col("row_ord").alias("b"), F.col("h").alias("hb")), "b")
-    union = F.slice(F.array_sort(F.array_union("ha", "hb")), 1, 64)
-    j = F.size(F.array_intersect(F.array_intersect(union, F.col("ha")), F.col("hb"))) / F.size(union)
-    return p.select("a", "b", F.round(j, 6).alias("jaccard"), F.round(sq.mash_distance(j, 15), 6).alias("distance"))
+    """Mash distances of records that share any of their 1024 least hashes: exact through the shared hashes, no cross join.
+
+    Of the joint hashes as many of the least count as the larger sketch holds. The i-th shared hash is
+    at place (place in a) + (place in b) - i of them, so no sketch has to travel with a pair."""
+    h = stored(_sketches(s, d))
+    one = h.select("row_ord", F.size("h").alias("n"), F.posexplode("h").alias("p", "k"))
+    x = one.select(F.col("row_ord").alias("a"), F.col("n").alias("na"), F.col("p").alias("pa"), "k").join(one.select(F.col("row_ord").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"), "k"), "k").where("a < b")
+    x = x.select("a", "b", (F.col("pa") + F.col("pb")).cast("short").alias("at"), F.col("na").cast("short").alias("na"), F.col("nb").cast("short").alias("nb"))
+    # places rise with the hash in both sketches, so their sums are in its order; a pair has at most SKETCH rows
+    i = F.row_number().over(Window.partitionBy("a", "b").orderBy("at"))
+    most = F.greatest("na", "nb").cast("int")
+    g = x.withColumn("inside", (F.col("at") + 2 - i <= most).cast("int")).groupBy("a", "b").agg(F.max(most).alias("most"), F.max(F.col("na").cast("int") + F.col("nb")).alias("both"), F.count("*").alias("n"), F.sum("inside").alias("inside"))
+    j = F.col("inside") / F.least(F.col("most"), F.col("both") - F.col("n"))
+    return g.select("a", "b", F.round(j, 6).alias("jaccard"), F.round(sq.mash_distance(j, 15), 6).alias("distance"))
 
 
 def order_midpoints(s, d):
