@@ -12,8 +12,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cladeflow.functions.sequences import CODE_ORDER, IUPAC
 
@@ -243,6 +245,49 @@ def nearest_anchor(queries: DataFrame, anchors: DataFrame, taxon: str, seq: str,
     return queries.select(F.col(taxon).cast("long").alias("t"), F.col(seq).alias("s")).mapInPandas(work, "query long, anchor long, distance double")
 
 
+def anchor_evidence(records: DataFrame, anchors: DataFrame, taxon: str, seq: str, date: str, limit: int = 4096, block: int = 256) -> DataFrame:
+    """records plus nn_anchor, nn, nn_date (the nearest anchor, its screening distance and date) and
+    left_d, right_d, halves_differ, halves_gap: how much farther the nearest anchor of the other half
+    is in the left and in the right half, whether the two anchors differ, and the years between them.
+
+    Distances that cannot be scored count as 1; ties go to the least anchor; a record that is
+    an anchor itself finds itself. Anchors as in nearest_anchor; those without a date or sequence are left
+    out. A task holds the distances of `block` records at a time. Works on streams too."""
+    rows = anchors.select(F.col(taxon).cast("long").alias("t"), F.col(seq).alias("s"), F.col(date).cast("double").alias("d")).where("s is not null and d is not null").orderBy("t").limit(limit + 1).collect()
+    if not rows:
+        raise ValueError("no dated anchors")
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} anchors")
+    ids, dates, codes = np.array([r["t"] for r in rows], np.int64), np.array([r["d"] for r in rows]), code_matrix([r["s"] for r in rows])
+    width = codes.shape[1]
+
+    def to_anchors(q: np.ndarray, a: np.ndarray) -> np.ndarray:
+        d = KERNELS["tn93_screen"](meeting_counts(q, a)) if a.shape[1] else np.full((len(q), len(a)), np.nan)
+        return np.where(np.isnan(d), 1.0, d)
+
+    def evidence(seqs: list[str | None]) -> list[np.ndarray]:
+        q = code_matrix([(x or "")[:width] for x in seqs])
+        q = np.pad(q, ((0, 0), (0, width - q.shape[1])), constant_values=len(CODE_ORDER) - 1)
+        at, half = np.arange(len(q)), width // 2
+        whole, left, right = to_anchors(q, codes), to_anchors(q[:, :half], codes[:, :half]), to_anchors(q[:, half:], codes[:, half:])
+        k, kl, kr = (m.argmin(axis=1) for m in (whole, left, right))
+        return [ids[k], whole[at, k], dates[k], left[at, kr] - left[at, kl], right[at, kl] - right[at, kr], kl != kr, np.abs(dates[kl] - dates[kr])]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, block):
+                part = b.slice(k, block)
+                got = evidence(part.column(seq).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns, *map(pa.array, got)], [*part.schema.names, *EVIDENCE])
+
+    kinds = ", ".join(f"{n} {k}" for n, k in EVIDENCE.items())
+    return records.mapInArrow(work, StructType([*records.schema.fields, *StructType.fromDDL(kinds).fields]))
+
+
+#: what anchor_evidence adds
+EVIDENCE = {"nn_anchor": "long", "nn": "double", "nn_date": "double", "left_d": "double", "right_d": "double", "halves_differ": "boolean", "halves_gap": "double"}
+
+
 def affinity(d: Column, sigma: Column) -> Column:
     """Radial basis affinity of a distance."""
     return F.exp(-(d * d) / (2 * sigma * sigma))

@@ -14,7 +14,8 @@ from cladeflow.operators import trees as te
 from cladeflow.operators.alignments import consensus
 from cladeflow.plans.alignments import SITES, aligned, plain_base, sites
 from cladeflow.plans.networks import _COUNT, NEAR, _near, _pairs
-from cladeflow.session import stored, table
+from cladeflow.session import spread, stored, table
+from cladeflow.streaming import screen as ss
 
 HEAD = r"^([^|_. ]*)"
 
@@ -265,16 +266,15 @@ def _screened(s, d):
 
 
 def screening_model(s, d):
+    """Records, clock and the anchors that calibrated it."""
     x = stored(_screened(s, d))
-    return x, sc.calibrate(x, "date", "d")
+    anchors = stored(sc.draw_anchors(x, "taxon", "date"))
+    return x, sc.calibrate(anchors, "date", "d"), anchors
 
 
 def triage_status(s, d):
-    x, m = screening_model(s, d)
-    nn = x.select("taxon", "d").withColumn("nn", F.col("d"))
-    y = x.join(nn.select("taxon", "nn"), "taxon")
-    st = sc.status(m, F.col("date"), F.col("n_missing") / F.col("length"), F.col("n_missing"), F.col("d"), F.col("nn") / 4, F.col("date"), F.lit(0.0), F.lit(0.0), F.lit(False), F.lit(0.0), F.col("length"))
-    return y.select("taxon", st.alias("status"), F.round(sc.predicted_date(F.col("d"), m), 4).alias("predicted"), F.round(sc.divergence_z(F.col("d"), F.col("date"), m), 4).alias("z"))
+    x, m, anchors = screening_model(s, d)
+    return ss.screen(spread(x), m, anchors, "taxon", "d", "date", "seq").select("taxon", "status", F.round("predicted_date", 4).alias("predicted"), F.round("z", 4).alias("z"))
 
 
 # recombination
@@ -317,7 +317,7 @@ def tract_tests(s, d):
 
 
 def landmark_prior(s, d):
-    x, _ = screening_model(s, d)
+    x = _screened(s, d)
     return x.where("d is not null").select("taxon", F.round(rc.prior(F.col("d")), 6).alias("log_prior"))
 
 

@@ -28,12 +28,12 @@ def stream_event_windows(s, d):
 
 def stream_triage(s, d):
     """Every taxon screened as it arrives, the clock calibrated beforehand."""
-    x, m = screening_model(s, d)
-    x = x.select("taxon", "date", "seq", "d", (F.col("d") / 4).alias("nn"), F.col("date").alias("nn_date"))
+    x, m, anchors = screening_model(s, d)
+    x = x.select("taxon", "date", "seq", "d")
     path = f"{_at(s)}-in"
     x.write.parquet(path)
     stream = s.readStream.schema(x.schema).parquet(path)
-    out = ss.run_to_table(ss.screen(stream, m, "d", "date", "seq", "nn", "nn_date"), _at(s))
+    out = ss.run_to_table(ss.screen(stream, m, anchors, "taxon", "d", "date", "seq"), _at(s))
     return out.select("taxon", "status", F.round("z", 4).alias("z"))
 
 

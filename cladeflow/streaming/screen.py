@@ -8,17 +8,18 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeflow.operators.distances import nearest_anchor
+from cladeflow.operators.distances import anchor_evidence, nearest_anchor
 from cladeflow.operators.screening import ClockModel, divergence_z, predicted_date, status
 from cladeflow.session import stored
 
 
-def screen(records: DataFrame, m: ClockModel, divergence: str, date: str, seq: str, nn: str, nn_date: str) -> DataFrame:
-    """records plus status, predicted_date, z. Stateless, so the same call serves a table and a stream: a
-    stream's result over all batches equals the table's."""
+def screen(records: DataFrame, m: ClockModel, anchors: DataFrame, taxon: str, divergence: str, date: str, seq: str) -> DataFrame:
+    """records plus the evidence of their nearest anchors, status, predicted_date, z. anchors: taxon, date, seq, fixed
+    for the run. Stateless, so the same call serves a table and a stream: a stream's result over all batches equals the table's."""
+    x = anchor_evidence(records, anchors, taxon, seq, date)
     missing = F.length(F.regexp_replace(F.upper(seq), "[ACGTU]", ""))
-    st = status(m, F.col(date), F.try_divide(missing, F.length(seq)), missing, F.col(divergence), F.col(nn), F.col(nn_date), F.lit(0.0), F.lit(0.0), F.lit(False), F.lit(0.0), F.length(seq))
-    return records.withColumn("status", st).withColumn("predicted_date", predicted_date(F.col(divergence), m)).withColumn("z", divergence_z(F.col(divergence), F.col(date), m))
+    st = status(m, F.col(date), F.try_divide(missing, F.length(seq)), missing, F.col(divergence), F.col("nn"), F.col("nn_date"), F.col("left_d"), F.col("right_d"), F.col("halves_differ"), F.col("halves_gap"), F.length(seq))
+    return x.withColumn("status", st).withColumn("predicted_date", predicted_date(F.col(divergence), m)).withColumn("z", divergence_z(F.col(divergence), F.col(date), m))
 
 
 def nearest_in_stream(records: DataFrame, anchors: DataFrame, taxon: str, seq: str) -> DataFrame:
