@@ -204,7 +204,7 @@ def broken_line(t: np.ndarray, y: np.ndarray) -> dict[str, float]:
     return best
 
 
-def wild_bootstrap(t: np.ndarray, y: np.ndarray, times: int = 200, seed: int = 42) -> tuple[float, float]:
+def wild_bootstrap(t: np.ndarray, y: np.ndarray, times: int = 2000, seed: int = 42) -> tuple[float, float]:
     """95 % interval of the zero crossing by sign-flipped residuals."""
     rng = np.random.default_rng(seed)
     x = np.c_[np.ones(len(t)), t]

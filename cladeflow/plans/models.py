@@ -12,6 +12,10 @@ from cladeflow.plans.networks import _near
 from cladeflow.session import spread, stored, table
 
 
+#: fixed value: label shuffles of the reference
+SHUFFLES = 1000
+
+
 def _run(kernel):
     def query(s, d):
         return dg.per_group(aligned(s, d), "clade", kernel, dg.SCHEMAS[kernel])
@@ -21,7 +25,7 @@ def _run(kernel):
 
 def permuted_migration(s, d):
     a = aligned(s, d).select(F.col("taxon").alias("node"), F.col("clade").alias("label"))
-    return dg.permutation_excess(stored(_near(s, d)), a, 50)
+    return dg.permutation_excess(stored(_near(s, d)), a, SHUFFLES)
 
 
 def active_population_draws(s, d):
