@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,10 @@ from cladeflow.session import stored
 K = 16
 #: MinHash samples of a record (one-permutation bins), of which the first
 #: BANDS * ROWS make the bands and all are folded into an odd sketch of BITS bits
-BINS, BANDS, ROWS, BITS = 128, 20, 2, 256
+BINS, BANDS, ROWS, BITS = 128, 32, 2, 256
+#: a key shared by at most RARE records makes their pairs candidates at once, a commoner one
+#: counts half; the pairs of a key held by more than HOT records are spread over tasks
+RARE, HOT = 16, 2048
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xC2B2AE3D27D4EB4F)
 _CODE = np.full(256, 4, np.uint8)
@@ -89,12 +93,12 @@ def _minhash(kmers: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
 
 
 def _bands(sig: np.ndarray) -> np.ndarray:
-    """One 64-bit key per band, the band's number mixed in."""
+    """One key of 48 bits per band, the band's number mixed in."""
     key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * _MIX2, (len(sig), BANDS)).copy()
     for j in range(ROWS):
         key = (key ^ sig[:, j : BANDS * ROWS : ROWS]) * _MIX
         key ^= key >> np.uint64(32)
-    return key.view(np.int64)
+    return (key >> np.uint64(16)).view(np.int64)
 
 
 def _odd(sig: np.ndarray) -> np.ndarray:
@@ -152,17 +156,11 @@ def _lots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield b.slice(i, _LOT)
 
 
-def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in _lots(batches):
-        codes, lengths = _letters(b.column(1))
-        kmers, row = _kmers(codes, lengths)
-        use = np.flatnonzero(np.bincount(row, minlength=b.num_rows))
-        keys = _bands(_minhash(kmers, row, b.num_rows)[use])
-        ids = b.column(0).to_numpy(zero_copy_only=False)[use]
-        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(ids, BANDS))], names=["key", "id"])
+_HEAD = BITS // 8
 
 
 def _payload_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, seq -> id, body: the odd sketch and the packed letters."""
     for b in _lots(batches):
         codes, lengths = _letters(b.column(1))
         kmers, row = _kmers(codes, lengths)
@@ -171,6 +169,103 @@ def _payload_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(packed, pa.binary())], names=["id", "body"])
 
 
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """ids, substrings and their rows of lots of bodies."""
+    for b in _lots(batches):
+        codes, lengths = _unpack([x[_HEAD:] for x in b.column(1).to_pylist()])
+        yield b.column(0).to_numpy(zero_copy_only=False), *_kmers(codes, lengths)
+
+
+def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for ids, kmers, row in _unpacked(batches):
+        use = np.flatnonzero(np.bincount(row, minlength=len(ids)))
+        keys = _bands(_minhash(kmers, row, len(ids))[use])
+        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(ids[use], BANDS))], names=["key", "id"])
+
+
+def _prefix_rows(least: float):
+    """The keys of the exact way: of a record's n substrings, in the order of their hashes,
+    the first n - ceil(least n) + 1. Two records at or over `least` share one of them."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, kmers, row in _unpacked(batches):
+            keys, owners = [], []
+            ends = np.searchsorted(row, np.arange(len(ids) + 1))
+            for i in range(len(ids)):
+                one = np.unique(kmers[ends[i] : ends[i + 1]])
+                if len(one):
+                    # an odd factor permutes the 32-bit numbers
+                    h = np.sort(one * np.uint32(0x9E3779B1))[: len(one) - math.ceil(least * len(one) - 1e-9) + 1]
+                    keys.append(h.astype(np.int64))
+                    owners.append(np.full(len(h), ids[i]))
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(owners))], names=["key", "id"])
+
+    return work
+
+
+def _pairer(rare: int, hot: int):
+    """key, id in the order of both -> the pairs of each key's records and what the key counts: 2
+    if rare, else 1. Keys held by more than `hot` records are passed over; at most `hot` rows of a
+    key and a batch are held."""
+    names = ["row_a", "row_b", "weight"]
+
+    def pairs(key: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        n = np.diff(np.r_[first, len(key)])
+        later = np.repeat(first + n, n) - np.arange(len(key)) - 1
+        size = np.repeat(n, n)
+        at = np.flatnonzero((later > 0) & (size <= hot))
+        d, out, held = 1, [], 0
+        while len(at):
+            a, b = ids[at], ids[at + d]
+            ok = a < b
+            out.append((a[ok], b[ok], np.where(size[at][ok] <= rare, 2, 1).astype(np.int32)))
+            held += len(a)
+            d += 1
+            at = at[later[at] >= d]
+            if held > 500_000 or not len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=names)
+                out, held = [], 0
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, passed = np.empty(0, np.int64), np.empty(0, np.int64), None
+        for b in batches:
+            k, i = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            if passed is not None:
+                go = k != passed
+                k, i = k[go], i[go]
+            if not len(k):
+                continue
+            key, ids, passed = np.concatenate([key, k]), np.concatenate([ids, i]), None
+            whole = int(np.searchsorted(key, key[-1]))
+            if whole:
+                yield from pairs(key[:whole], ids[:whole])
+            key, ids = key[whole:], ids[whole:]
+            if len(key) > hot:
+                passed, key, ids = key[-1], key[:0], ids[:0]
+        if len(key):
+            yield from pairs(key, ids)
+
+    return work
+
+
+def candidates(keys: DataFrame, least_weight: int, rare: int = RARE, hot: int = HOT) -> DataFrame:
+    """row_a, row_b of the records that share a rare key or `least_weight` common ones (key, id).
+
+    The keys are shuffled once. A key's pairs are made where its rows lie; those of a key that
+    more than `hot` records hold are made in cells of two blocks of at most about `hot`
+    records each, spread over the tasks, so that no group is paired in one task."""
+    e = keys.repartition("key")
+    cold = e.sortWithinPartitions("key", "id").mapInArrow(_pairer(rare, hot), "row_a long, row_b long, weight int")
+    many = e.groupBy("key").agg(F.count("id").alias("n")).where(F.col("n") > hot).hint("shuffle_hash")
+    crowd = e.join(many, "key").withColumn("blocks", F.ceil(F.col("n") / hot).cast("long")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    cell = crowd.select("key", "id", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j")).select("key", "id", "block", F.least("block", "j").alias("lo"), F.greatest("block", "j").alias("hi"))
+    a, b = cell.withColumnsRenamed({"id": "row_a", "block": "block_a"}), cell.withColumnsRenamed({"id": "row_b", "block": "block_b"})
+    met = a.join(b, ["key", "lo", "hi"]).where("row_a < row_b and (lo = hi or block_a <> block_b)").select("row_a", "row_b", F.lit(1).alias("weight"))
+    return cold.unionByName(met).groupBy("row_a", "row_b").agg(F.sum("weight").alias("w")).where(F.col("w") >= least_weight).select("row_a", "row_b")
+
+
 _SLOTS = 20
 
 
@@ -188,9 +283,9 @@ def _set_of(kmers: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return _set_of(once, seen)
 
 
-def _verifier(least: float, slack: float):
+def _verifier(least: float, slack: float | None):
     """Pairs with their bodies -> pairs at or over `least`, with the exact similarity."""
-    head = BITS // 8
+    head = _HEAD
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(1 << _SLOTS, np.int32)
@@ -199,8 +294,10 @@ def _verifier(least: float, slack: float):
         for b in batches:
             body_a, body_b = b.column(2).to_pylist(), b.column(3).to_pylist()
             odd = lambda x: np.frombuffer(b"".join(v[:head] for v in x), np.uint64).reshape(len(x), -1)
-            near = odd_similarity(np.bitwise_count(odd(body_a) ^ odd(body_b)).sum(axis=1)) >= least - slack
-            at = np.flatnonzero(near)
+            if slack is None:
+                at = np.arange(b.num_rows)
+            else:
+                at = np.flatnonzero(odd_similarity(np.bitwise_count(odd(body_a) ^ odd(body_b)).sum(axis=1)) >= least - slack)
             slot: dict[bytes, int] = {}
             ia = [slot.setdefault(body_a[i], len(slot)) for i in at]
             ib = [slot.setdefault(body_b[i], len(slot)) for i in at]
@@ -230,58 +327,77 @@ def _verifier(least: float, slack: float):
     return work
 
 
-def near_duplicates(records: DataFrame, row_id: str, seq: str, least: float = 0.5, slack: float = 0.3) -> DataFrame:
-    """row_a, row_b, similarity of the pairs whose sets of 16-letter substrings overlap by
-    `least` or more (Jaccard); row_a < row_b.
+def contents(records: DataFrame, row_id: str, seq: str) -> tuple[DataFrame, DataFrame]:
+    """(id, seq) of the records that hold a usable substring, and (id, rep) of those delivered
+    more than once - alike without gaps and in any case - rep being the least id of the copies.
 
-    Gaps are taken out, case is ignored, substrings with letters other than A, C, G, T
-    left out; null and empty sequences and those without a substring are in no pair.
-    row_id is a unique integer. MinHash bands give candidates; pairs that agree in
-    several bands count once. The XOR population count of the two odd sketches then
-    estimates the similarity; pairs whose estimate lies `slack` (over three standard
-    errors) below `least` go no further, the others are computed exactly from the
-    two-bit packed sequences. With 20 bands of 2 rows a pair at 0.5 is a candidate with
-    probability 0.997, at 0.6 with 0.9999. A record's body is shuffled once and
-    used by both joins (one exchange); bands carry only a key and a number.
-    """
-    rows = records.select(F.col(row_id).cast("long").alias("id"), F.col(seq).cast("string").alias("seq")).where("id is not null and seq is not null and length(seq) >= 16")
-    bands = rows.mapInArrow(_band_rows, "key long, id long")
-    other = bands.select("key", F.col("id").alias("row_b"))
-    pairs = bands.select("key", F.col("id").alias("row_a")).join(other, "key").where("row_a < row_b").select("row_a", "row_b")
-    pairs = pairs.distinct()
+    Copies meet by a digest of 16 bytes, first within each task, so that a sequence
+    delivered for a third of all records costs a row per task; the second pass joins ids with
+    the repeated digests only, a join whose large side is split where it is skewed."""
+    rows = records.select(F.col(row_id).cast("long").alias("id"), F.col(seq).cast("string").alias("seq")).where("id is not null and seq is not null")
+    plain = F.upper(F.replace("seq", F.lit("-"), F.lit("")))
+    rows = rows.where(plain.rlike(f"[ACGT]{{{K}}}"))
+    digest = rows.select("id", F.unhex(F.md5(plain.cast("binary"))).alias("h"))
+    again = stored(digest.groupBy("h").agg(F.min("id").alias("rep"), F.count("id").alias("n")).where("n > 1").select("h", "rep"))
+    return rows, stored(digest.join(again, "h").select("id", "rep"))
+
+
+def representative_pairs(rows: DataFrame, copies: DataFrame, least: float, slack: float | None, exact: bool) -> DataFrame:
+    """row_a, row_b, similarity of the different contents that are alike; see near_duplicates."""
     body = rows.mapInArrow(_payload_rows, "id long, body binary").repartition("id")
+    once = body.join(copies.where("id <> rep").select("id"), "id", "left_anti").select("id", "body")
+    keys = once.mapInArrow(_prefix_rows(least) if exact else _band_rows, "key long, id long")
+    pairs = candidates(keys, 1 if exact else 2)
     a, b = body.select(F.col("id").alias("row_a"), F.col("body").alias("body_a")), body.select(F.col("id").alias("row_b"), F.col("body").alias("body_b"))
     both = pairs.join(a, "row_a").join(b, "row_b").select("row_a", "row_b", "body_a", "body_b")
-    return both.mapInArrow(_verifier(least, slack), "row_a long, row_b long, similarity double")
-
+    return both.mapInArrow(_verifier(least, None if exact else slack), "row_a long, row_b long, similarity double")
 
-def collapsed(records: DataFrame, row_id: str, seq: str) -> tuple[DataFrame, DataFrame]:
-    """(rep, seq, copies) for each distinct sequence - without gaps, in upper case - and
-    (id, rep) for every record that has one. Copies are brought together on the map side
-    first, so that a sequence delivered for a third of all records costs a row per task."""
-    rows = records.select(F.col(row_id).cast("long").alias("id"), F.upper(F.replace(F.col(seq).cast("string"), F.lit("-"), F.lit(""))).alias("seq")).where("id is not null and seq is not null").withColumn("h", F.sha2("seq", 256))
-    reps = stored(rows.groupBy("h").agg(F.min("id").alias("rep"), F.min("seq").alias("seq"), F.count("*").alias("copies")))
-    members = rows.select("id", "h").join(reps.select("h", "rep"), "h").select("id", "rep")
-    return reps.select("rep", "seq", "copies"), members
 
+def near_duplicates(records: DataFrame, row_id: str, seq: str, least: float = 0.5, slack: float | None = 0.4, exact: bool = False) -> DataFrame:
+    """row_a, row_b, similarity of the pairs whose sets of 16-letter substrings overlap by
+    `least` or more (Jaccard); row_a < row_b.
 
-def same_record_classes(records: DataFrame, row_id: str, seq: str, least: float = 0.5) -> DataFrame:
+    Gaps are taken out, case is ignored, substrings with letters other than A, C, G, T
+    left out; null and empty sequences and those without a substring are in no pair.
+    row_id is a unique integer. Copies are collapsed first and follow by membership at the end.
+    MinHash bands give candidates: a pair is one if it shares a band that at most RARE
+    records hold, or two bands. The XOR population count of the two odd sketches then
+    estimates the similarity; pairs whose estimate lies `slack` (over four standard
+    errors; None: no such filter) below `least` go no further, the others are computed exactly
+    from the two-bit packed sequences. With 32 bands of 2 rows a pair at 0.5 shares no band
+    with probability 0.0001, at 0.6 with 6e-7.
+
+    exact: no pair can be missed. The keys are then not bands but the first part of each
+    record's substrings in one order of all substrings, of which two records at or over `least`
+    must share one (about n (1 - least) keys a record instead of 32), and no sketch filters.
+
+    A record's body is shuffled once, by its id, and read from there for the keys and for both
+    sides of the pairs; keys carry only a number. Hashing a body twice, for the sketch and for the
+    bands, costs less than carrying 32 keys through that shuffle."""
+    rows, copies = contents(records, row_id, seq)
+    pairs = representative_pairs(rows, copies, least, slack, exact)
+    a, b = copies.select(F.col("rep").alias("row_a"), F.col("id").alias("of_a")), copies.select(F.col("rep").alias("row_b"), F.col("id").alias("of_b"))
+    full = pairs.join(a, "row_a", "left").join(b, "row_b", "left").select(F.coalesce("of_a", "row_a").alias("x"), F.coalesce("of_b", "row_b").alias("y"), "similarity")
+    full = full.select(F.least("x", "y").alias("row_a"), F.greatest("x", "y").alias("row_b"), "similarity")
+    same = a.join(b, F.col("row_a") == F.col("row_b")).where("of_a < of_b").select(F.col("of_a").alias("row_a"), F.col("of_b").alias("row_b"), F.lit(1.0).alias("similarity"))
+    return full.unionByName(same)
+
+
+def same_record_classes(records: DataFrame, row_id: str, seq: str, least: float = 0.5, exact: bool = False) -> DataFrame:
     """One row per record: row_id, class_id (the smallest record linked to it directly or
     indirectly, itself if none) and links (how many records it is alike).
 
     Exact copies are collapsed first: pairs are sought between different sequences only and
     copies follow by membership, so they are never expanded into pairs. Records that are
     null, empty or without a usable substring stand alone."""
-    reps, members = collapsed(records, row_id, seq)
-    pairs = stored(near_duplicates(reps.select("rep", "seq"), "rep", "seq", least))
+    rows, copies = contents(records, row_id, seq)
+    pairs = stored(representative_pairs(rows, copies, least, 0.4, exact))
     ids = pairs.select(F.format_string("%020d", "row_a").alias("a"), F.format_string("%020d", "row_b").alias("b"))
     groups = linked_groups(ids, "a", "b", weight=None).select(F.col("record_id").cast("long").alias("rep"), F.col("group_id").cast("long").alias("class_id"))
-    size = reps.select(F.col("rep").alias("other"), "copies")
+    held = copies.groupBy("rep").agg(F.count("id").alias("copies"))
     both = pairs.select(F.explode(F.array(F.struct(F.col("row_a").alias("rep"), F.col("row_b").alias("other")), F.struct(F.col("row_b").alias("rep"), F.col("row_a").alias("other")))).alias("x")).select("x.*")
-    near = both.join(size, "other").groupBy("rep").agg(F.sum("copies").alias("near"))
-    usable = F.col("seq").rlike(f"[ACGT]{{{K}}}")
-    one = reps.select("rep", usable.alias("usable"), "copies").join(groups, "rep", "left").join(near, "rep", "left")
-    one = one.select("rep", "usable", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("near", F.lit(0)) + F.col("copies") - 1).alias("links"))
-    got = members.join(one, "rep").select("id", F.when(F.col("usable"), F.col("class_id")).alias("class_id"), F.when(F.col("usable"), F.col("links")).alias("links"))
+    near = both.join(held.withColumnRenamed("rep", "other"), "other", "left").groupBy("rep").agg(F.sum(F.coalesce("copies", F.lit(1))).alias("near"))
+    one = groups.join(near, "rep", "full").join(held, "rep", "full").select("rep", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("near", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("links"))
     every = records.select(F.col(row_id).cast("long").alias("row_id")).where("row_id is not null").distinct()
-    return every.join(got, every["row_id"] == got["id"], "left").select("row_id", F.coalesce("class_id", "row_id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    got = every.join(copies, every["row_id"] == copies["id"], "left").select("row_id", F.coalesce("rep", "row_id").alias("rep"))
+    return got.join(one, "rep", "left").select("row_id", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
