@@ -16,10 +16,12 @@ from cladeflow.session import stored
 K = 16
 #: MinHash samples of a record (one-permutation bins), of which the first
 #: BANDS * ROWS make the bands and all are folded into an odd sketch of BITS bits
-BINS, BANDS, ROWS, BITS = 128, 32, 2, 256
+BINS, BANDS, ROWS, BITS = 128, 30, 2, 256
 #: a key shared by at most RARE records makes their pairs candidates at once, a commoner one
 #: counts half; the pairs of a key held by more than HOT records are spread over tasks
 RARE, HOT = 16, 2048
+#: how far an estimate may lie below the threshold: over four standard errors (0.08 at 0.5)
+SLACK = 0.35
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xC2B2AE3D27D4EB4F)
 _CODE = np.full(256, 4, np.uint8)
@@ -116,34 +118,65 @@ def odd_similarity(differing: np.ndarray) -> np.ndarray:
     return 1 + BITS / 4 * np.log(x) / BINS
 
 
-def _pack(codes: np.ndarray, lengths: np.ndarray) -> list[bytes]:
-    """Each row as bytes: letter count, other letters' count and places, two bits a letter."""
-    out, at = [], 0
-    for n in lengths.tolist():
-        c = codes[at : at + n]
-        at += n
-        bad = np.flatnonzero(c > 3).astype(np.uint32)
-        two = np.zeros(-(-n // 4) * 4, np.uint8)
-        two[:n] = c & 3
-        q = two.reshape(-1, 4)
-        out.append(np.array([n, len(bad)], np.uint32).tobytes() + bad.tobytes() + (q[:, 0] | q[:, 1] << 2 | q[:, 2] << 4 | q[:, 3] << 6).tobytes())
-    return out
-
-
+#: a body: the odd sketch, the numbers of letters and of other letters, the places of those,
+#: two bits a letter
+_ODD = BITS // 8
+_HEAD = _ODD + 8
 _SHIFTS = np.array([0, 2, 4, 6], np.uint8)
 
 
-def _unpack(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    codes, lengths = [], []
-    for p in packed:
-        n, k = np.frombuffer(p, np.uint32, 2)
-        c = ((np.frombuffer(p, np.uint8, offset=8 + 4 * int(k))[:, None] >> _SHIFTS) & 3).ravel()[:n]
-        if k:
-            c = c.copy()
-            c[np.frombuffer(p, np.uint32, int(k), 8)] = 4
-        codes.append(c)
-        lengths.append(int(n))
-    return (np.concatenate(codes) if codes else np.empty(0, np.uint8)), np.array(lengths, np.int64)
+def _places(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start[i], start[i] + 1, ... (count[i] of them) for all i, in one array."""
+    ends = np.cumsum(count)
+    return np.repeat(start - ends + count, count) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _pack(odd: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Each row as one body."""
+    lengths = lengths.astype(np.int64)
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    first = np.cumsum(lengths) - lengths
+    other = np.flatnonzero(codes > 3)
+    others = np.bincount(row[other], minlength=len(lengths))
+    quads = -(-lengths // 4)
+    two = np.zeros(4 * int(quads.sum()), np.uint8)
+    two[_places(4 * (np.cumsum(quads) - quads), lengths)] = codes & 3
+    q = two.reshape(-1, 4)
+    ends = np.cumsum(_HEAD + 4 * others + quads)
+    at = ends - (_HEAD + 4 * others + quads)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+    head = np.concatenate([odd.view(np.uint8).reshape(len(lengths), _ODD), np.stack([lengths, others], axis=1).astype(np.uint32).view(np.uint8).reshape(len(lengths), 8)], axis=1)
+    out[at[:, None] + np.arange(_HEAD)] = head
+    out[_places(at + _HEAD, 4 * others)] = (other - first[row[other]]).astype(np.uint32).view(np.uint8)
+    out[_places(at + _HEAD + 4 * others, quads)] = q[:, 0] | q[:, 1] << 2 | q[:, 2] << 4 | q[:, 3] << 6
+    return pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(np.r_[0, ends].astype(np.int64).tobytes()), pa.py_buffer(out.tobytes())]).cast(pa.binary())
+
+
+def _raw(bodies: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a binary column and where each row starts."""
+    bodies = bodies.cast(pa.large_binary())
+    offsets = np.frombuffer(bodies.buffers()[1], np.int64, len(bodies) + 1, bodies.offset * 8)
+    return np.frombuffer(bodies.buffers()[2] or b"", np.uint8), offsets[:-1]
+
+
+def _odd_of(bodies: pa.Array) -> np.ndarray:
+    data, at = _raw(bodies)
+    return np.ascontiguousarray(data[at[:, None] + np.arange(_ODD)]).view(np.uint64)
+
+
+def _unpack(bodies: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and lengths of the rows, as _letters gives them."""
+    if not len(bodies):
+        return np.empty(0, np.uint8), np.empty(0, np.int64)
+    data, at = _raw(bodies)
+    lengths, others = np.ascontiguousarray(data[at[:, None] + np.arange(_ODD, _HEAD)]).view(np.uint32).astype(np.int64).T
+    quads = -(-lengths // 4)
+    four = (data[_places(at + _HEAD + 4 * others, quads)][:, None] >> _SHIFTS) & 3
+    codes = four.ravel()[_places(4 * (np.cumsum(quads) - quads), lengths)]
+    if others.any():
+        place = data[_places(at + _HEAD, 4 * others)].view(np.uint32)
+        codes[np.repeat(np.cumsum(lengths) - lengths, others) + place] = 4
+    return codes, lengths
 
 
 #: rows worked on at a time, so that the letters' arrays stay in the processor's cache
@@ -156,24 +189,19 @@ def _lots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield b.slice(i, _LOT)
 
 
-_HEAD = BITS // 8
-
-
 def _payload_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """id, seq -> id, body: the odd sketch and the packed letters."""
     for b in _lots(batches):
         codes, lengths = _letters(b.column(1))
         kmers, row = _kmers(codes, lengths)
         odd = _odd(_minhash(kmers, row, b.num_rows))
-        packed = [o.tobytes() + p for o, p in zip(odd, _pack(codes, lengths), strict=True)]
-        yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(packed, pa.binary())], names=["id", "body"])
+        yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), _pack(odd, codes, lengths)], names=["id", "body"])
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """ids, substrings and their rows of lots of bodies."""
     for b in _lots(batches):
-        codes, lengths = _unpack([x[_HEAD:] for x in b.column(1).to_pylist()])
-        yield b.column(0).to_numpy(zero_copy_only=False), *_kmers(codes, lengths)
+        yield b.column(0).to_numpy(zero_copy_only=False), *_kmers(*_unpack(b.column(1)))
 
 
 def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +233,7 @@ def _prefix_rows(least: float):
 
 
 def _pairer(rare: int, hot: int):
-    """key, id in the order of both -> the pairs of each key's records and what the key counts: 2
+    """key, id in the order of keys -> the pairs of each key's records and what the key counts: 2
     if rare, else 1. Keys held by more than `hot` records are passed over; at most `hot` rows of a
     key and a batch are held."""
     names = ["row_a", "row_b", "weight"]
@@ -219,8 +247,8 @@ def _pairer(rare: int, hot: int):
         d, out, held = 1, [], 0
         while len(at):
             a, b = ids[at], ids[at + d]
-            ok = a < b
-            out.append((a[ok], b[ok], np.where(size[at][ok] <= rare, 2, 1).astype(np.int32)))
+            ok = a != b
+            out.append((np.minimum(a, b)[ok], np.maximum(a, b)[ok], np.where(size[at][ok] <= rare, 2, 1).astype(np.int32)))
             held += len(a)
             d += 1
             at = at[later[at] >= d]
@@ -256,8 +284,9 @@ def candidates(keys: DataFrame, least_weight: int, rare: int = RARE, hot: int =
     The keys are shuffled once. A key's pairs are made where its rows lie; those of a key that
     more than `hot` records hold are made in cells of two blocks of at most about `hot`
     records each, spread over the tasks, so that no group is paired in one task."""
-    e = keys.repartition("key")
-    cold = e.sortWithinPartitions("key", "id").mapInArrow(_pairer(rare, hot), "row_a long, row_b long, weight int")
+    # the filters that the joins infer are stated here, so that all readers share one shuffle
+    e = keys.where("key is not null and id is not null").repartition("key")
+    cold = e.sortWithinPartitions("key").mapInArrow(_pairer(rare, hot), "row_a long, row_b long, weight int")
     many = e.groupBy("key").agg(F.count("id").alias("n")).where(F.col("n") > hot).hint("shuffle_hash")
     crowd = e.join(many, "key").withColumn("blocks", F.ceil(F.col("n") / hot).cast("long")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     cell = crowd.select("key", "id", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j")).select("key", "id", "block", F.least("block", "j").alias("lo"), F.greatest("block", "j").alias("hi"))
@@ -285,26 +314,23 @@ def _set_of(kmers: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def _verifier(least: float, slack: float | None):
     """Pairs with their bodies -> pairs at or over `least`, with the exact similarity."""
-    head = _HEAD
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(1 << _SLOTS, np.int32)
         mark = np.zeros(1 << _SLOTS, np.uint64)
         stamp = 0
         for b in batches:
-            body_a, body_b = b.column(2).to_pylist(), b.column(3).to_pylist()
-            odd = lambda x: np.frombuffer(b"".join(v[:head] for v in x), np.uint64).reshape(len(x), -1)
-            if slack is None:
-                at = np.arange(b.num_rows)
-            else:
-                at = np.flatnonzero(odd_similarity(np.bitwise_count(odd(body_a) ^ odd(body_b)).sum(axis=1)) >= least - slack)
-            slot: dict[bytes, int] = {}
-            ia = [slot.setdefault(body_a[i], len(slot)) for i in at]
-            ib = [slot.setdefault(body_b[i], len(slot)) for i in at]
-            packed = [x[head:] for x in slot]
+            at = np.arange(b.num_rows)
+            if slack is not None:
+                differing = np.bitwise_count(_odd_of(b.column(2)) ^ _odd_of(b.column(3))).sum(axis=1)
+                at = np.flatnonzero(odd_similarity(differing) >= least - slack)
+            ids = np.concatenate([b.column(k).to_numpy(zero_copy_only=False)[at] for k in (0, 1)])
+            _, first, slot = np.unique(ids, return_index=True, return_inverse=True)
+            ia, ib = slot[: len(at)], slot[len(at) :]
+            bodies = pa.concat_arrays([b.column(2).take(pa.array(at)), b.column(3).take(pa.array(at))]).take(pa.array(first))
             sets = []
-            for i in range(0, len(packed), _LOT):
-                lot = packed[i : i + _LOT]
+            for i in range(0, len(bodies), _LOT):
+                lot = bodies.slice(i, _LOT)
                 kmers, row = _kmers(*_unpack(lot))
                 ends = np.searchsorted(row, np.arange(len(lot) + 1))
                 sets += [_set_of(kmers[ends[j] : ends[j + 1]], seen) for j in range(len(lot))]
@@ -344,16 +370,16 @@ def contents(records: DataFrame, row_id: str, seq: str) -> tuple[DataFrame, Data
 
 def representative_pairs(rows: DataFrame, copies: DataFrame, least: float, slack: float | None, exact: bool) -> DataFrame:
     """row_a, row_b, similarity of the different contents that are alike; see near_duplicates."""
-    body = rows.mapInArrow(_payload_rows, "id long, body binary").repartition("id")
-    once = body.join(copies.where("id <> rep").select("id"), "id", "left_anti").select("id", "body")
-    keys = once.mapInArrow(_prefix_rows(least) if exact else _band_rows, "key long, id long")
+    body = rows.mapInArrow(_payload_rows, "id long, body binary").where("id is not null")
+    body = body.join(copies.where("id <> rep").select("id"), "id", "left_anti").select("id", "body").repartition("id")
+    keys = body.mapInArrow(_prefix_rows(least) if exact else _band_rows, "key long, id long")
     pairs = candidates(keys, 1 if exact else 2)
     a, b = body.select(F.col("id").alias("row_a"), F.col("body").alias("body_a")), body.select(F.col("id").alias("row_b"), F.col("body").alias("body_b"))
     both = pairs.join(a, "row_a").join(b, "row_b").select("row_a", "row_b", "body_a", "body_b")
     return both.mapInArrow(_verifier(least, None if exact else slack), "row_a long, row_b long, similarity double")
 
 
-def near_duplicates(records: DataFrame, row_id: str, seq: str, least: float = 0.5, slack: float | None = 0.4, exact: bool = False) -> DataFrame:
+def near_duplicates(records: DataFrame, row_id: str, seq: str, least: float = 0.5, slack: float | None = SLACK, exact: bool = False) -> DataFrame:
     """row_a, row_b, similarity of the pairs whose sets of 16-letter substrings overlap by
     `least` or more (Jaccard); row_a < row_b.
 
@@ -364,16 +390,16 @@ def near_duplicates(records: DataFrame, row_id: str, seq: str, least: float = 0.
     records hold, or two bands. The XOR population count of the two odd sketches then
     estimates the similarity; pairs whose estimate lies `slack` (over four standard
     errors; None: no such filter) below `least` go no further, the others are computed exactly
-    from the two-bit packed sequences. With 32 bands of 2 rows a pair at 0.5 shares no band
-    with probability 0.0001, at 0.6 with 6e-7.
+    from the two-bit packed sequences. With 30 bands of 2 rows a pair at 0.5 shares no band
+    with probability 0.0002, at 0.55 with 0.00002, at 0.6 with 2e-6.
 
     exact: no pair can be missed. The keys are then not bands but the first part of each
     record's substrings in one order of all substrings, of which two records at or over `least`
-    must share one (about n (1 - least) keys a record instead of 32), and no sketch filters.
+    must share one (about n (1 - least) keys a record instead of 30), and no sketch filters.
 
     A record's body is shuffled once, by its id, and read from there for the keys and for both
     sides of the pairs; keys carry only a number. Hashing a body twice, for the sketch and for the
-    bands, costs less than carrying 32 keys through that shuffle."""
+    bands, costs less than carrying 30 keys through that shuffle."""
     rows, copies = contents(records, row_id, seq)
     pairs = representative_pairs(rows, copies, least, slack, exact)
     a, b = copies.select(F.col("rep").alias("row_a"), F.col("id").alias("of_a")), copies.select(F.col("rep").alias("row_b"), F.col("id").alias("of_b"))
@@ -391,7 +417,7 @@ def same_record_classes(records: DataFrame, row_id: str, seq: str, least: float
     copies follow by membership, so they are never expanded into pairs. Records that are
     null, empty or without a usable substring stand alone."""
     rows, copies = contents(records, row_id, seq)
-    pairs = stored(representative_pairs(rows, copies, least, 0.4, exact))
+    pairs = stored(representative_pairs(rows, copies, least, SLACK, exact))
     ids = pairs.select(F.format_string("%020d", "row_a").alias("a"), F.format_string("%020d", "row_b").alias("b"))
     groups = linked_groups(ids, "a", "b", weight=None).select(F.col("record_id").cast("long").alias("rep"), F.col("group_id").cast("long").alias("class_id"))
     held = copies.groupBy("rep").agg(F.count("id").alias("copies"))

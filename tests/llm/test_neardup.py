@@ -71,7 +71,12 @@ def test_kmers_and_packing_round_trip():
     seqs = ["".join(rnd.choice("ACGTacgtN-RY") for _ in range(rnd.randrange(0, 200))) for _ in range(60)] + ["", "A" * 40]
     codes, lengths = nd._letters(pa.array([*seqs, None]))
     assert lengths.tolist() == [len(s.replace("-", "")) for s in seqs] + [0]
-    again = nd._unpack(nd._pack(codes, lengths))
+    odd = np.arange(len(lengths) * 4, dtype=np.uint64).reshape(-1, 4)
+    bodies = nd._pack(odd, codes, lengths)
+    assert (nd._odd_of(bodies) == odd).all()
+    again = nd._unpack(bodies)
+    assert [len(x) for x in nd._unpack(bodies[:0])] == [0, 0]
+    assert (nd._unpack(bodies[5:9])[1] == lengths[5:9]).all()
     assert (again[0] == codes).all()
     assert (again[1] == lengths).all()
     kmers, row = nd._kmers(codes, lengths)
