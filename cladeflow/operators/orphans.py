@@ -104,7 +104,10 @@ def orphan_cascade(tables: dict[str, DataFrame], keys: dict[str, str], fks: list
     reference is judged at the moment its row arrived, by references_at_load: only
     parent rows that had arrived and were not withdrawn then count, and the result
     also has load_month and reason (`missing`, `late`, `withdrawn`; null if inherited).
+    The direct level is this judgement; the further ones pass it on. A graph that is still passing
+    orphans on after max_rounds raises an error instead of stopping short.
     """
+
     def rows_of(n: str) -> DataFrame:
         wanted = sorted({f.column for f in fks if f.child == n} | {c for f in fks for p, c in f.parents if p == n})
         at = [F.lit(None).cast("timestamp_ntz").alias(a) if c is None else F.col(c).alias(a) for a, c in zip(("t0", "t1"), times[n], strict=True)] if times else []
@@ -169,6 +172,8 @@ def orphan_cascade(tables: dict[str, DataFrame], keys: dict[str, str], fks: list
                 found.append(new.select(F.lit(n).alias("tab"), "row_id", "fk", "kind", "depth", *(["load_month", "reason"] if times else [])))
         if not fresh:
             break
+    else:
+        raise RuntimeError(f"orphans are still passed on after {max_rounds} rounds")
     if not found:
         spark = next(iter(tables.values())).sparkSession
         return spark.createDataFrame([], "tab string, row_id string, fk string, kind string, depth int" + ", load_month string, reason string" * bool(times))

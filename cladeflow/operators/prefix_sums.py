@@ -70,3 +70,26 @@ def suffix_min(df: DataFrame, group: list[str], order: list[str], value: str, ou
         on = on & F.col(g).eqNullSafe(F.col(f"__g{k}"))
     here = df.withColumn("__here", F.min(value).over(after)).join(sub, on)
     return here.select(*df.columns, F.least("__here", "__later").alias(out))
+
+
+def known_around(df: DataFrame, group: list[str], order: list[str], value: str, before: str, after: str, parts: int | None = None) -> DataFrame:
+    """df plus the last non-null `value` of the rows before and the first of those after a row in
+    its group along `order` (null if there is none). No group is gathered in a task: range
+    partitions look inside themselves, and one row per (partition, group) is looked up across."""
+    ranged = df.repartitionByRange(parts or shuffle_parts(df.sparkSession), *group, *order).sortWithinPartitions(*group, *order)
+    ranged = stored(ranged.withColumn(PART, F.spark_partition_id()))
+    here = Window.partitionBy(PART, *group).orderBy(*order)
+    down, up = here.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(PART, *group).orderBy(*(F.col(c).desc_nulls_last() for c in order)).rowsBetween(Window.unboundedPreceding, -1)
+    local = ranged.withColumns({before: F.last(value, ignorenulls=True).over(down), after: F.last(value, ignorenulls=True).over(up)})
+    known = ranged.where(F.col(value).isNotNull())
+    place = F.struct(*order, F.col(value).alias("__v"))
+    ends = known.groupBy(PART, *group).agg(F.min(place).alias("__lo"), F.max(place).alias("__hi"))
+    whole = ranged.select(PART, *group).distinct()
+    on = F.col(PART) == F.col("__p")
+    for k, g in enumerate(group):
+        on = on & F.col(g).eqNullSafe(F.col(f"__g{k}"))
+    ends = ends.select(F.col(PART).alias("__p"), *(F.col(g).alias(f"__g{k}") for k, g in enumerate(group)), "__lo", "__hi")
+    across = Window.partitionBy(*group).orderBy(PART)
+    sub = whole.join(ends, on, "left").select(PART, *group, F.last("__hi.__v", ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("__known_b"), F.first("__lo.__v", ignorenulls=True).over(across.rowsBetween(1, Window.unboundedFollowing)).alias("__known_a"))
+    sub = sub.select(F.col(PART).alias("__p"), *(F.col(g).alias(f"__g{k}") for k, g in enumerate(group)), "__known_b", "__known_a")
+    return local.join(sub, on).select(*df.columns, F.coalesce(before, "__known_b").alias(before), F.coalesce(after, "__known_a").alias(after))

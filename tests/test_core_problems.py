@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from cladeflow.operators.orphans import ForeignKey, References, loose_name, orphan_cascade, references_at_load
-from cladeflow.operators.prefix_sums import running_sums, suffix_min
+from cladeflow.operators.prefix_sums import known_around, running_sums, suffix_min
 from cladeflow.operators.timestamps import estimate_offsets, normalise_times, read_times
 from cladeflow.plans.core_problems import p4_cascade
 
@@ -101,20 +101,53 @@ def test_read_times_nulls_long_texts_and_clashing_names(spark):
     day = 1577836800000000
     assert got == {1: (None, None), 2: (None, None), 3: (day, None), 4: (None, None), 5: (None, day + 36000000000), 6: (day, None)}
     assert read_times(df.limit(0), "v", "z").count() == 0
+    full = normalise_times(df.withColumns({"loaded_at": F.lit(None).cast("timestamp_ntz"), "src": F.lit("a")}), "v", "loaded_at", ["src"], "z", order="id")
+    assert {r["id"]: (r["utc_us"], r["how"]) for r in full.collect()} == {1: (None, None), 2: (None, None), 3: (day, "moment"), 4: (None, None), 5: (None, "estimated"), 6: (day, "moment")}
+    assert full.limit(0).count() == 0
 
 
 def test_offset_is_found_from_ingestion(spark):
-    """A laboratory five hours west in January, four in June; rows arrive within the hour."""
+    """A laboratory five hours west until the tenth of March, four from then on; another at +05:45, in the same
+    table; rows arrive within a quarter of an hour. The change is found inside the month."""
     rows = []
-    for m, off in ((1, -5), (6, -4)):
-        for i in range(60):
-            loaded = datetime(2024, m, 3) + timedelta(hours=7 * i)
-            rows.append(("lab", f"{loaded + timedelta(hours=off) - timedelta(minutes=10 + i % 15):%Y-%m-%d %H:%M:%S}", loaded))
-    df = spark.createDataFrame(rows, "src string, v string, loaded_at timestamp_ntz")
-    hist = estimate_offsets(read_times(df, "v"), ["src"], "loaded_at", max_lag_hours=0.5).orderBy("month").collect()
-    assert [(r["offset_min"], r["violations"]) for r in hist] == [(-300, 0.0), (-240, 0.0)]
-    got = normalise_times(df, "v", "loaded_at", ["src"], max_lag_hours=0.5).where("est_utc_us is not null and utc_us is null")
-    assert got.count() == len(rows)
+    for i in range(240):
+        loaded = datetime(2024, 3, 1, 6) + timedelta(hours=2 * i)
+        for src, off in (("west", -5 if loaded < datetime(2024, 3, 10, 5) else -4), ("east", 5.75)):
+            rows.append((src, f"{loaded + timedelta(hours=off) - timedelta(minutes=i % 15):%Y-%m-%d %H:%M:%S}", loaded, int((loaded - timedelta(minutes=i % 15) - datetime(1970, 1, 1)).total_seconds()) * 1_000_000))
+    df = spark.createDataFrame(rows, "src string, v string, loaded_at timestamp_ntz, true_us long")
+    hist = estimate_offsets(read_times(df, "v"), ["src"], "loaded_at", max_lag_hours=0.25).collect()
+    found = {src: {(datetime(1970, 1, 1) + timedelta(microseconds=r["day"])).day: r["offset_min"] for r in hist if r["src"] == src} for src in ("west", "east")}
+    assert set(found["east"].values()) == {345}
+    assert {d: o for d, o in found["west"].items() if d < 10} == dict.fromkeys(range(1, 10), -300) and {o for d, o in found["west"].items() if d > 10} == {-240}
+    got = normalise_times(df, "v", "loaded_at", ["src"], max_lag_hours=0.25)
+    assert got.where("utc_us is not null or how <> 'estimated'").count() == 0
+    assert got.where("src = 'east' and est_utc_us <> true_us or est_utc_us is null").count() == 0
+    assert got.where("src = 'west' and est_utc_us <> true_us").count() <= 4
+
+
+def test_offset_is_found_from_the_sequence(spark):
+    """Rows arrive years later, but in the order in which they were written, every other with its offset."""
+    rows = []
+    for i in range(200):
+        at = datetime(2015, 5, 1) + timedelta(minutes=10 * i)
+        local = at + timedelta(hours=9)
+        rows.append((i, "lab", f"{local:%Y-%m-%dT%H:%M:%S}" + ("+09:00" if i % 2 else ""), datetime(2024, 1, 1), int((at - datetime(1970, 1, 1)).total_seconds()) * 1_000_000))
+    # the same rows in no order tell nothing
+    rows += [((i * 7919) % 200, "mixed", *r[2:]) for i, r in enumerate(rows)]
+    df = spark.createDataFrame(rows, "n int, src string, v string, loaded_at timestamp_ntz, true_us long")
+    got = normalise_times(df, "v", "loaded_at", ["src"], order="n").where("how = 'estimated'")
+    assert got.where("src = 'lab' and est_utc_us = true_us").count() == 100
+    assert got.where("src = 'mixed' and est_utc_us is not null").count() == 0
+
+
+def test_known_around_against_a_loop(spark):
+    rnd = random.Random(6)
+    rows = [(g, i, rnd.randrange(100) if rnd.random() < 0.3 else None) for g in ("a", "b", None) for i in range(120 if g else 15)]
+    got = {(r["g"], r["i"]): (r["b"], r["f"]) for r in known_around(spark.createDataFrame(rows, "g string, i int, v int"), ["g"], ["i"], "v", "b", "f", parts=7).collect()}
+    for g, i, _ in rows:
+        line = [v for h, _, v in rows if h == g]
+        back, front = [v for v in line[:i] if v is not None], [v for v in line[i + 1 :] if v is not None]
+        assert got[g, i] == (back[-1] if back else None, front[0] if front else None)
 
 
 def test_offset_stays_open_without_evidence(spark):
