@@ -10,7 +10,8 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -52,14 +53,23 @@ def stored(df: DataFrame) -> DataFrame:
     """Cut the lineage: the rows written as a Parquet table in the shared folder and
     read back. It survives the loss of executors like a checkpoint, is smaller, is pruned by column,
     and its size is known, where a checkpoint keeps the estimate of the plan it
-    came from, which grows without bound when a join is iterated."""
+    came from, which grows without bound when a join is iterated. It stays until forget(),
+    drop_stored() or the end of the process."""
+    return counted(df)[0]
+
+
+def counted(df: DataFrame, **sums: Column) -> tuple[DataFrame, dict[str, int]]:
+    """stored(df), and sums over its rows taken while they are written (0 for none): whether anything
+    is left to do costs no job of its own."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    seen = Observation()
+    rows = df.observe(seen, *(F.sum(c).alias(n) for n, c in sums.items())) if sums else df
+    rows.write.option("compression", "zstd").parquet(path)
     _written.append((spark, path))
     back = spark.read.schema(df.schema).parquet(path)
     back._cladeflow_path = path
-    return back
+    return back, {n: v or 0 for n, v in seen.get.items()} if sums else {}
 
 
 def _delete(spark: SparkSession, path: str) -> None:
