@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cladeflow.session import stored
+from cladeflow.session import spread, stored
 
 #: fixed values: the languages told apart, with the codes and English names that name them
 LANGUAGES = ("de", "en", "es", "fr", "nl", "pt")
@@ -107,14 +107,19 @@ def _count(counted: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, key: str, text: str, label: str, bound: int = FIT_DOCS, rounds: int = 2) -> np.ndarray:
-    """Naive Bayes table (CELLS x languages) from at most `bound` documents whose label
-    names a language, the first by the hash of their key, whole texts. After the first
+    """Naive Bayes table (CELLS x languages) from about `bound` documents at most whose label
+    names a language, those with a key hash below a threshold, whole texts. After the first
     round each line of the sample counts for the language that the table finds, so that wrong
     labels and lines in other languages drop out. Features are counted on the executors;
     the driver gets at most CELLS rows of sums."""
     lang = declared_language(F.col(label))
     sample = docs.select(F.col(key).alias("k"), F.col(text).alias("text"), lang.alias("lang")).where("lang is not null and text is not null")
-    sample = sample.orderBy(F.xxhash64("k"), "k").limit(bound).select("lang", "text").repartition(8)
+    # a threshold needs no sort and leaves the sample spread over the cluster
+    labelled = sample.count()
+    share = min(1.0, bound / max(labelled, 1))
+    if share < 1:
+        sample = sample.where(F.shiftrightunsigned(F.xxhash64("k"), 1) < F.lit(int(share * (2**63 - 1))))
+    sample = spread(sample.select("lang", "text"))
     table: np.ndarray | None = None
     for _ in range(rounds):
         given = table

@@ -29,6 +29,7 @@ class Share:
     prefix: int = 0  # unsigned hash threshold found so far
     bits: int = 0
     taken: int = 0  # size below the threshold
+    stated: float = 0.0  # the share as the targets state it, of sources without records too
 
 
 def shares_of(targets: DataFrame) -> list[Share]:
@@ -36,7 +37,7 @@ def shares_of(targets: DataFrame) -> list[Share]:
     Sources that are null, shares that are null or not positive and repeats below one are left out."""
     rows = targets.select(loose_source("source").alias("s"), F.col("target_share").cast("double").alias("t"), F.col("max_repeats").cast("int").alias("r")).where("s is not null and t > 0 and not isnan(t) and r >= 1").groupBy("s").agg(F.sum("t").alias("t"), F.max("r").alias("r")).orderBy("s").collect()
     whole = sum(x["t"] for x in rows)
-    return [Share(x["s"], x["t"] / whole, x["r"]) for x in rows]
+    return [Share(x["s"], x["t"] / whole, x["r"], stated=x["t"] / whole) for x in rows]
 
 
 def sized(docs: DataFrame, key: str, source: str, size: str, shares: list[Share]) -> DataFrame:
@@ -52,7 +53,7 @@ def _unsigned_top(h: str, bits: int) -> Column:
 
 def reachable(shares: list[Share]) -> float:
     """The largest total size at which every source can still give its share."""
-    return min((s.available * s.repeats / s.target for s in shares), default=0.0)
+    return min((s.available * s.repeats / s.target for s in shares if s.available), default=0.0)
 
 
 def thresholds(rows: DataFrame, shares: list[Share], totals: list[float]) -> list[list[Share]]:
@@ -71,7 +72,7 @@ def thresholds(rows: DataFrame, shares: list[Share], totals: list[float]) -> lis
             want = min(s.target * total, s.available * s.repeats)
             copies = min(int(want // s.available), s.repeats) if s.available else 0
             rest = want - copies * s.available if copies < s.repeats else 0.0
-            plan.append(Share(s.source, s.target, s.repeats, s.available, copies, rest))
+            plan.append(Share(s.source, s.target, s.repeats, s.available, copies, rest, stated=s.stated))
         plans.append(plan)
     bits = 0
     open_ = {(p, k) for p, plan in enumerate(plans) for k, s in enumerate(plan) if s.rest > 0}
@@ -127,26 +128,26 @@ def draw(rows: DataFrame, plan: list[Share]) -> DataFrame:
 
 def plan_mix(docs: DataFrame, targets: DataFrame, key: str, source: str, size: str, fractions: list[float]) -> tuple[DataFrame, list[list[Share]]]:
     """The rows that can be drawn and one plan per fraction of the largest reachable total.
-    A source without records makes the reachable total zero: it is left out of the
-    mix and the other shares are brought to sum one."""
+    A source without records would make the reachable total zero: its target becomes 0 and
+    those of the others are brought to sum one; `stated` keeps what was asked for."""
     shares = shares_of(targets)
     rows = sized(docs, key, source, size, shares)
     have = {x["source"]: x["n"] for x in rows.groupBy("source").agg(F.sum("size").alias("n")).collect()}
     for s in shares:
         s.available = have.get(s.source, 0)
-    shares = [s for s in shares if s.available]
-    whole = sum(s.target for s in shares)
+    whole = sum(s.target for s in shares if s.available)
     for s in shares:
-        s.target /= whole
+        s.target = s.target / whole if s.available else 0.0
     most = reachable(shares)
     return rows, thresholds(rows, shares, [f * most for f in fractions])
 
 
 def mix_report(drawn: DataFrame, plan: list[Share]) -> DataFrame:
-    """Per source: target and actual share, records, total size, most copies of one record."""
+    """Per source of the targets, those without records too: the share stated, the share aimed at,
+    the actual one, records, total size, most copies of one record."""
     spark = drawn.sparkSession
-    want = spark.createDataFrame([(s.source, s.target, s.repeats, s.available) for s in plan], "source string, target_share double, max_repeats int, available long")
+    want = spark.createDataFrame([(s.source, s.stated, s.target, s.repeats, s.available) for s in plan], "source string, target_share double, aimed_share double, max_repeats int, available long")
     got = drawn.groupBy("source").agg(F.count("*").alias("records"), F.sum(F.col("size") * F.col("copies")).alias("total"), F.max("copies").alias("most_copies"))
     whole = got.agg(F.sum("total").alias("whole"))
     out = want.join(got, "source", "left").join(F.broadcast(whole))
-    return out.select("source", "target_share", (F.coalesce("total", F.lit(0)) / F.col("whole")).alias("actual_share"), "max_repeats", F.coalesce("most_copies", F.lit(0)).alias("most_copies"), F.coalesce("records", F.lit(0)).alias("records"), F.coalesce("total", F.lit(0)).alias("total"), "available")
+    return out.select("source", "target_share", "aimed_share", F.coalesce(F.try_divide("total", "whole"), F.lit(0.0)).alias("actual_share"), "max_repeats", F.coalesce("most_copies", F.lit(0)).alias("most_copies"), F.coalesce("records", F.lit(0)).alias("records"), F.coalesce("total", F.lit(0)).alias("total"), "available")

@@ -116,8 +116,10 @@ def improve(sizes: np.ndarray, capacity: int, bins: list[list[int]]) -> list[lis
     return [x for x in held if x]
 
 
-def pack_shard(pdf: pd.DataFrame, loose_bins: int) -> pd.DataFrame:
-    """One shard's pieces with their bins; the emptiest bins are marked loose."""
+def pack_shard(pdf: pd.DataFrame, loose_rows: int) -> pd.DataFrame:
+    """One shard's pieces with their bins, the same in whatever order they come; the emptiest bins
+    that have room, up to loose_rows pieces (but one bin at least, unless 0), are marked loose."""
+    pdf = pdf.sort_values(["doc_id", "piece_no"], kind="stable", ignore_index=True)
     sizes = pdf["tokens"].to_numpy(np.int64)
     capacity = int(pdf["capacity"].iloc[0])
     bins = improve(sizes, capacity, _best_fit(sizes, capacity))
@@ -125,17 +127,20 @@ def pack_shard(pdf: pd.DataFrame, loose_bins: int) -> pd.DataFrame:
     for b, x in enumerate(bins):
         number[x] = b
     fill = np.bincount(number, sizes, minlength=len(bins))
-    order = np.argsort(fill, kind="stable")[:loose_bins]
+    order = np.argsort(fill, kind="stable")
+    order = order[fill[order] < capacity]
+    held = np.cumsum(np.bincount(number, minlength=len(bins))[order])
     loose = np.zeros(len(bins), bool)
-    loose[order[fill[order] < capacity]] = True
+    if loose_rows:
+        loose[order[: max(1, int((held <= loose_rows).sum()))]] = True
     return pdf.assign(bin=number, loose=loose[number])
 
 
-def _packer(loose_bins: int):
-    return lambda pdf: pack_shard(pdf, loose_bins)
+def _packer(loose_rows: int):
+    return lambda pdf: pack_shard(pdf, loose_rows)
 
 
-def pack(docs: DataFrame, specs: DataFrame, shard_rows: int = 10_000, fan_in: int = 16, loose_bins: int = 64) -> DataFrame:
+def pack(docs: DataFrame, specs: DataFrame, shard_rows: int = 10_000, fan_in: int = 16) -> DataFrame:
     """spec_id, bin_id, doc_id, piece_no, token_start, tokens: every document with tokens
     in bins of each capacity.
 
@@ -144,9 +149,11 @@ def pack(docs: DataFrame, specs: DataFrame, shard_rows: int = 10_000, fan_in: in
     packed like a document. Documents with null, zero or negative tokens and specs with null or
     non-positive capacity are left out. Pieces are packed in shards of about shard_rows by the hash of the document
     (the number of shards follows the number of documents), best fit first and then by
-    local search. Then the loose_bins emptiest bins of fan_in neighbouring shards are
+    local search. Then the emptiest bins of fan_in neighbouring shards are
     opened and packed together, and so on until one shard is left, so that space left over
-    at the shards' ends is used. A task holds one shard, whatever the size distribution.
+    at the shards' ends is used. A shard opens bins of shard_rows / fan_in pieces in all, one
+    bin at least, so a task holds about shard_rows pieces, or fan_in bins where single bins hold
+    more pieces than that. The result does not depend on the order of the rows.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("tokens").cast("long").alias("tokens")).where("tokens > 0")
     s = specs.select(F.col("spec_id").cast("int").alias("spec_id"), F.col("capacity_tokens").cast("long").alias("capacity")).where("capacity > 0")
@@ -167,7 +174,7 @@ def pack(docs: DataFrame, specs: DataFrame, shard_rows: int = 10_000, fan_in: in
     level = 0
     while True:
         last = shards <= 1
-        packed = items.groupBy("spec_id", "shard").applyInPandas(_packer(0 if last else loose_bins), PIECES)
+        packed = items.groupBy("spec_id", "shard").applyInPandas(_packer(0 if last else shard_rows // fan_in), PIECES)
         if not last:
             packed = stored(packed)
         bin_id = F.concat_ws("-", F.lit(f"l{level}"), "shard", "bin").alias("bin_id")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladeflow.session import shuffle_parts, stored
+from cladeflow.session import counted, shuffle_parts, stored
 
 RUN = "bucket int, run long, grp array<long>, score array<double>, tie array<double>, item array<long>"
 _ARROW = pa.schema([("bucket", pa.int32()), ("run", pa.int64()), ("grp", pa.list_(pa.int64())), ("score", pa.list_(pa.float64())), ("tie", pa.list_(pa.float64())), ("item", pa.list_(pa.int64()))])
@@ -148,21 +148,36 @@ def sorted_runs(items: DataFrame, n: int, buckets: int, run_rows: int) -> DataFr
     return items.mapInArrow(work, RUN)
 
 
-def top_n(df: DataFrame, group: str, score: str, tie: str, item: str, n: int = 10, buckets: int | None = None, run_rows: int = 200_000, fan_in: int = 256) -> DataFrame:
+def _rebucketed(buckets: int):
+    """Packed runs cut into more buckets, in place."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                cols = [b.column(c)[r].values.to_numpy(zero_copy_only=False) for c in ("grp", "score", "tie", "item")]
+                yield from _packed(cols, buckets, b.column("run")[r].as_py())
+
+    return work
+
+
+def top_n(df: DataFrame, group: str, score: str, tie: str, item: str, n: int = 10, buckets: int | None = None, run_rows: int = 200_000, fan_in: int = 256, bucket_rows: int = 200_000) -> DataFrame:
     """grp, rank, item, score, tie: the n rows of each group with the highest score, by
     tie ascending (null and NaN last), then item ascending. n or fewer rows: all.
 
     Rows with null group, null item or null or NaN score are left out. group and item
     are integers. Bucketed runs, each ordered by group and score, are stored in the
     shared folder; a task merges the runs of its bucket with a loser tree and seeks past
-    the rest of a group after n outputs. More than fan_in runs are merged in rounds,
+    the rest of a group after n outputs. If the rows that the runs kept are more than bucket_rows
+    to a bucket, however many groups there are, the runs are first cut into more buckets, so a
+    merge holds about bucket_rows rows. More than fan_in runs are merged in rounds,
     so a task reads at most fan_in runs, each with n rows at most of a hot group.
     """
-    # a merge holds its bucket as Python values, several times their size in a shuffle
     buckets = buckets or 4 * shuffle_parts(df.sparkSession)
     items = df.select(F.col(group).cast("long").alias("grp"), F.col(score).cast("double").alias("score"), F.col(tie).cast("double").alias("tie"), F.col(item).cast("long").alias("item"))
     items = items.where("grp is not null and item is not null and score is not null and not isnan(score)")
-    runs = stored(sorted_runs(items, n, buckets, run_rows))
+    runs, kept = counted(sorted_runs(items, n, buckets, run_rows), rows=F.size("grp"))
+    if kept["rows"] > bucket_rows * buckets:
+        runs = stored(runs.mapInArrow(_rebucketed(-(-kept["rows"] // bucket_rows)), RUN))
 
     def lists(t: pa.Table) -> list[list[list]]:
         return [[t.column(c)[r].values.to_pylist() for c in ("grp", "score", "tie", "item")] for r in range(t.num_rows)]

@@ -36,7 +36,7 @@ def test_packing_is_whole_and_tight(spark):
     df = spark.createDataFrame([(k, v, 9) for k, v in docs.items()], "doc_id long, tokens long, bin long")
     specs = spark.createDataFrame([(1, 512), (2, 1024), (3, None), (4, 0)], "spec_id int, capacity_tokens int")
     for shard in (10_000, 200):
-        got = packing.pack(df, specs, shard_rows=shard, fan_in=4, loose_bins=8).collect()
+        got = packing.pack(df, specs, shard_rows=shard, fan_in=4).collect()
         for bins, fewest in check_packing(got, docs, {1: 512, 2: 1024}):
             assert bins <= fewest * 1.03 + 2
 
@@ -115,3 +115,30 @@ def test_tokens_of_whole_texts(spark):
     assert got[3] == 2
     assert got[4] == len(tokens.encoding(tokens.RANKS).encode_ordinary(long))
     assert df.where(F.lit(False)).transform(lambda d: tokens.with_tokens(d, "text")).count() == 0
+
+
+def test_a_source_without_records_stays_in_the_report(spark):
+    docs = spark.createDataFrame([(i, "a" if i % 2 else "b", 10) for i in range(400)], "doc_id long, source string, tokens long")
+    t = spark.createDataFrame([("a", 0.5, 1), ("b", 0.3, 1), ("zzz", 0.2, 1)], "source string, target_share double, max_repeats int")
+    rows, plans = mixing.plan_mix(docs, t, "doc_id", "source", "tokens", [1.0])
+    got = {r["source"]: r for r in mixing.mix_report(mixing.draw(rows, plans[0]), plans[0]).collect()}
+    assert {k: round(r["target_share"], 9) for k, r in got.items()} == {"a": 0.5, "b": 0.3, "zzz": 0.2}
+    assert got["zzz"]["actual_share"] == 0.0 and got["zzz"]["records"] == 0
+    assert abs(got["a"]["actual_share"] - 0.625) < 0.01 and abs(got["a"]["aimed_share"] - 0.625) < 1e-9
+
+
+def test_packing_ignores_the_order_of_rows(spark):
+    rnd = random.Random(5)
+    docs = [(i, rnd.randrange(1, 300)) for i in range(900)]
+    specs = spark.createDataFrame([(1, 512), (2, 20_000)], "spec_id int, capacity_tokens int")
+    pack = lambda rows: {tuple(r) for r in packing.pack(spark.createDataFrame(rows, "doc_id long, tokens long").repartition(3), specs, shard_rows=100, fan_in=4).collect()}
+    assert pack(docs) == pack(docs[::-1])
+
+
+def test_a_shard_opens_few_rows():
+    import pandas as pd
+
+    sizes = pd.DataFrame({"doc_id": range(4000), "piece_no": 0, "tokens": [1 + i % 90 for i in range(4000)], "capacity": 32_768})
+    out = packing.pack_shard(sizes, 300)
+    bins = out[out["loose"]].groupby("bin").size()
+    assert len(bins) == 1 or bins.sum() <= 300

@@ -51,3 +51,11 @@ def test_empty_and_repeats(spark):
 def test_latest(spark):
     df = spark.createDataFrame([(1, "2024-01-01", 5.0), (1, "2024-01-02", None), (2, None, 1.0), (2, "2023-01-01", 0.5), (3, "2024-01-01", 1.0), (3, "2024-01-01", 1.0)], "k int, t string, v double")
     assert {(r["k"], r["v"]) for r in latest(df, ["k"], "t", ["v"]).collect()} == {(1, None), (2, 0.5), (3, 1.0)}
+
+
+def test_runs_are_cut_into_more_buckets(spark):
+    rows = [(g, float((g * 7 + i * 13) % 50), float(i % 3), i) for g in range(300) for i in range(8)]
+    df = spark.createDataFrame(rows, "g long, s double, t double, i long")
+    few = {tuple(r) for r in top_n(df, "g", "s", "t", "i", 3, buckets=2).collect()}
+    many = {tuple(r) for r in top_n(df, "g", "s", "t", "i", 3, buckets=2, bucket_rows=50).collect()}
+    assert few == many and len(few) == 900
