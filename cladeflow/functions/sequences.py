@@ -16,7 +16,7 @@ _AMINO = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
 AMINO_ORDER = "ACDEFGHIKLMNPQRSTVWY"
 CODON_AMINO = dict(zip(("".join(c) for c in product("TCAG", repeat=3)), _AMINO, strict=True))
 SENSE = sorted(c for c, a in CODON_AMINO.items() if a != "*")
-_COMPLEMENT = ("ACGTURYSWKMBDHVN", "TGCAAYRSWMKVHDBN")
+COMPLEMENT = ("ACGTURYSWKMBDHVN", "TGCAAYRSWMKVHDBN")
 
 
 def _map(pairs: dict[str, int]) -> Column:
@@ -71,7 +71,7 @@ def ungapped(seq: Column) -> Column:
 
 
 def reverse_complement(seq: Column) -> Column:
-    return F.reverse(F.translate(F.upper(seq), *_COMPLEMENT))
+    return F.reverse(F.translate(F.upper(seq), *COMPLEMENT))
 
 
 def kmers(seq: Column, k: int) -> Column:

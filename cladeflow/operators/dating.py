@@ -21,13 +21,19 @@ MOST = 5000
 
 
 def distance_matrix(seqs: list[str]) -> np.ndarray:
-    """Share of differing sites, symmetric, zero diagonal."""
+    """Screening distances (see distances.tamura_nei_screen), symmetric, zero diagonal; NaN for pairs with too few
+    shared sites, which say nothing and must not be taken for a distance of 1."""
     codes = ds.code_matrix([s or "" for s in seqs])
-    d = ds.KERNELS["hamming"](ds.meeting_counts(codes, codes))
+    d = ds.KERNELS["tn93_screen"](ds.meeting_counts(codes, codes)) if codes.shape[1] else np.full((len(seqs), len(seqs)), np.nan)
     np.fill_diagonal(d, 0.0)
     return d
 
 
+def filled(d: np.ndarray) -> np.ndarray:
+    """The same with unscored pairs as the largest distance, at least 1: for kernels that need every pair."""
+    return np.where(np.isnan(d), max(1.0, np.nanmax(d, initial=0.0)), d)
+
+
 def per_group(df: DataFrame, group: str, kernel: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame], schema: str, most: int = MOST) -> DataFrame:
     """kernel(rows ordered by taxon, their distances) for each group; columns taxon, date, seq. Rows without sequence are left out."""
     def run(f: pd.DataFrame) -> pd.DataFrame:
@@ -49,6 +55,8 @@ def _root_distance(f: pd.DataFrame, d: np.ndarray) -> np.ndarray:
 def clock_models(f: pd.DataFrame, d: np.ndarray) -> pd.DataFrame:
     """Rows model, rss, aicc, rate, origin, detail; the first row has the least AICc."""
     t, y = f["date"].to_numpy(float), _root_distance(f, d)
+    known = np.isfinite(y)
+    t, y, d = t[known], y[known], filled(d[np.ix_(known, known)])
     n = len(t)
     if n < 5 or np.ptp(t) == 0:
         return pd.DataFrame(columns=["model", "rss", "aicc", "rate", "origin", "detail"])
@@ -72,6 +80,7 @@ def clock_models(f: pd.DataFrame, d: np.ndarray) -> pd.DataFrame:
 
 def bootstrap_origin(f: pd.DataFrame, d: np.ndarray) -> pd.DataFrame:
     t, y = f["date"].to_numpy(float), _root_distance(f, d)
+    t, y = t[np.isfinite(y)], y[np.isfinite(y)]
     low, high = kn.wild_bootstrap(t, y) if len(t) > 2 and np.ptp(t) > 0 else (None, None)
     return pd.DataFrame([{"low": low, "high": high}])
 
@@ -81,30 +90,31 @@ def community(f: pd.DataFrame, d: np.ndarray) -> pd.DataFrame:
 
 
 def coordinates(f: pd.DataFrame, d: np.ndarray) -> pd.DataFrame:
-    x, _ = kn.classical_mds(d)
+    x, _ = kn.classical_mds(filled(d))
     return pd.DataFrame({"taxon": f["taxon"], **{f"x{k}": x[:, k] for k in range(4)}})
 
 
 def metric_report(f: pd.DataFrame, d: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame([kn.metricity(d)])
+    return pd.DataFrame([kn.metricity(filled(d))])
 
 
 def clusters(f: pd.DataFrame, d: np.ndarray) -> pd.DataFrame:
+    d = filled(d)
     label, _ = kn.spectral_clusters(np.exp(-(d**2) / (2 * kn.adaptive_sigma(d) ** 2))) if len(f) > 2 else (np.zeros(len(f), int), 1)
     return pd.DataFrame({"taxon": f["taxon"], "cluster": label})
 
 
 def leaders(f: pd.DataFrame, d: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame({"taxon": f["taxon"], "bin": kn.leader_bins(1 - d, 0.8)})
+    return pd.DataFrame({"taxon": f["taxon"], "bin": kn.leader_bins(1 - filled(d), 0.8)})
 
 
 def landmarks(f: pd.DataFrame, d: np.ndarray) -> pd.DataFrame:
-    p = kn.farthest_points(d, 8)
+    p = kn.farthest_points(filled(d), 8)
     return pd.DataFrame({"taxon": f["taxon"].iloc[p], "pick": range(len(p))})
 
 
 def joined_tree(f: pd.DataFrame, d: np.ndarray) -> pd.DataFrame:
-    nodes = kn.reroot_midpoint(kn.neighbour_joining(d, [str(t) for t in f["taxon"]]))
+    nodes = kn.reroot_midpoint(kn.neighbour_joining(filled(d), [str(t) for t in f["taxon"]]))
     depth = kn.root_to_tip(nodes)
     when = dict(zip(f["taxon"].astype(str), f["date"], strict=True))
     t, y = np.array([when[k] for k in depth]), np.array(list(depth.values()))

@@ -166,7 +166,7 @@ def power_line(t: np.ndarray, y: np.ndarray) -> dict[str, float]:
     """y = a + b (t - t0)^c with the exponent by golden section, from several starts t0 before the first sample."""
     span = max(t.max() - t.min(), 1e-9)
     best: dict[str, float] = {}
-    for back in (0.05, 0.2, 0.5, 1.0, 2.0):
+    for back in np.geomspace(0.01, 20.0, 28):
         u = (t - t.min()) / span + back
 
         def rss(c: float, u=u) -> tuple[float, np.ndarray]:
@@ -217,49 +217,81 @@ def wild_bootstrap(t: np.ndarray, y: np.ndarray, times: int = 2000, seed: int =
     return (float(np.percentile(at, 2.5)), float(np.percentile(at, 97.5))) if ok.any() else (math.nan, math.nan)
 
 
-def community_clock(t: np.ndarray, d: np.ndarray, pairs: np.ndarray, least_rate: float = 1e-3) -> dict:
+#: fixed values: tiers of communities
+PAIR, SINGLE, OPEN = "Contemporaneous Acute Dyad", "Singleton Node", "Indeterminate"
+ACTIVE, EMERGENT = "Active Outbreak Chain", "Emergent Seed Cluster"
+EXTINCT, STATIONARY = "Endemic Extinct Lineage", "Stationary Chronic Compartment"
+#: fixed values: rates and shares of explained variance that separate the tiers, years that count as recent
+TIER_RATE, TIER_R2, FLAT_R2, RECENT_ORIGIN, RECENT_BOUND, LONG_SPAN = 1e-3, 0.15, 0.02, 6.0, 4.0, 5.0
+
+
+def effective_size(pairs: np.ndarray, decay: float = 100.0) -> float:
+    """n^2 over the sum of exp(-decay d), between 1 and n; pairs without a distance add nothing."""
+    n = len(pairs)
+    if n <= 2:
+        return float(n)
+    total = np.exp(-decay * pairs[np.isfinite(pairs)]).sum()
+    return float(np.clip(n * n / total, 1, n)) if total > 0 else float(n)
+
+
+def origin_set(rate: float, d0: float, se: float, se0: float, t_ref: float, df: float, level: float = 0.975) -> tuple[float, float, str]:
+    """Confidence set of the time at which a line reaches zero, and its state: bounded (OK), or open because
+    the rate is not told from zero."""
+    if df < 1 or abs(rate) < 1e-12:
+        return math.nan, math.nan, "UNIDENTIFIABLE_RATE"
+    q = t_quantile(level, df)
+    g = (q * se / rate) ** 2
+    if g >= 1:
+        return -math.inf, math.inf, "RATE_UNIDENTIFIABLE_G_GE_1"
+    c = d0 / rate
+    disc = c * c - (1 - g) * (d0 * d0 - (q * se0) ** 2) / rate**2
+    if not disc >= 0:
+        return -math.inf, math.inf, "COMPLEX_ROOTS"
+    half = math.sqrt(disc)
+    return t_ref - (c + half) / (1 - g), t_ref - (c - half) / (1 - g), "OK"
+
+
+def community_clock(t: np.ndarray, d: np.ndarray, pairs: np.ndarray) -> dict:
     """Clock of one community: divergence from its earliest sample, effective size from the pair distances,
-    open-ended confidence set of the origin, and its activity tier."""
+    confidence set of the origin, and its activity tier.
+
+    Taxa without a distance to the earliest sample (NaN) are left out of the line. Without a line the origin is
+    the earliest sample and the tier open; so is the origin of a line that does not rise. An upper bound
+    is not later than the earliest sample. Active and emergent need a bounded set of the origin."""
     n = len(t)
-    out = {"n": n, "n_eff": None, "rate": None, "se": None, "r2": None, "origin": None, "low": None, "high": None, "state": "OK", "tier": "STATIONARY"}
+    first = float(t.min()) if n else None
+    out = {"n": n, "n_eff": float(n), "rate": 0.0, "se": 0.0, "r2": 0.0, "origin": first, "low": first, "high": first, "state": "OK", "tier": OPEN}
     if n < 3:
-        return out | {"state": "TOO_SMALL"}
+        return out | {"state": "TOO_SMALL", "tier": PAIR if n == 2 else SINGLE}
     ok = np.isfinite(d)
     if not ok.any():
         return out | {"state": "REGRESSION_FAILED"}
-    t, d = t[ok], d[ok]
-    n = len(t)
-    stt = float(((t - t.mean()) ** 2).sum())
+    x, y = t[ok], d[ok]
+    stt = float(((x - x.mean()) ** 2).sum())
     if stt < 1e-12:
         return out | {"state": "ZERO_TIME_VAR"}
-    eff = float(np.clip(n * n / max(np.exp(-100 * pairs).sum(), 1e-12), 1, n))
+    eff = effective_size(pairs)
     df = max(eff - 2, 1)
-    rate = float(((t - t.mean()) * (d - d.mean())).sum() / stt)
-    tss = float(((d - d.mean()) ** 2).sum())
-    rss = max(tss - rate * rate * stt, 0)
-    s2 = rss / df
-    se, se0 = math.sqrt(s2 / stt), math.sqrt(s2 / eff)
-    r2 = 1 - rss / tss if tss > 0 else 0.0
-    origin = min(t.mean() - d.mean() / rate, t.min()) if rate > 1e-12 else None
-    low, high = -math.inf, math.inf
-    if rate != 0:
-        q = t_quantile(0.975, df)
-        g = (q * se / rate) ** 2
-        c = d.mean() / rate
-        disc = c * c - (1 - g) * (d.mean() ** 2 - (q * se0) ** 2) / rate**2
-        if g < 1 and disc >= 0:
-            low, high = t.mean() - (c + math.sqrt(disc)) / (1 - g), t.mean() - (c - math.sqrt(disc)) / (1 - g)
-    recent = (origin is not None and origin >= t.max() - 6) or high >= t.max() - 4
-    span = t.max() - t.min()
-    if rate >= least_rate and r2 >= 0.15 and recent:
-        tier = "ACTIVE"
-    elif rate >= least_rate / 2 and recent:
-        tier = "EMERGENT"
-    elif rate <= 0 or (span > 5 and r2 < 0.02):
-        tier = "EXTINCT"
+    rate = float(((x - x.mean()) * (y - y.mean())).sum() / stt)
+    tss = float(((y - y.mean()) ** 2).sum())
+    s2 = max(tss - rate * rate * stt, 0) / df
+    r2 = min(rate * rate * stt / tss, 1.0) if tss > 0 else 0.0
+    low, high, state = origin_set(rate, float(y.mean()), math.sqrt(s2 / stt), math.sqrt(s2 / eff), float(x.mean()), df)
+    if math.isfinite(high):
+        high = min(high, first)
+    last = float(t.max())
+    origin = min(float(x.mean() - y.mean() / rate), first) if rate > 1e-12 else first
+    recent = origin >= last - RECENT_ORIGIN or (math.isfinite(high) and high >= last - RECENT_BOUND)
+    sure = state == "OK" and recent
+    if sure and rate >= TIER_RATE and r2 >= TIER_R2:
+        tier = ACTIVE
+    elif sure and rate >= TIER_RATE / 2:
+        tier = EMERGENT
+    elif rate <= 0 or (last - first > LONG_SPAN and r2 < FLAT_R2):
+        tier = EXTINCT
     else:
-        tier = "STATIONARY"
-    return out | {"n_eff": eff, "rate": rate, "se": se, "r2": r2, "origin": origin, "low": low, "high": high, "tier": tier}
+        tier = STATIONARY
+    return out | {"n_eff": eff, "rate": rate, "se": math.sqrt(s2 / stt), "r2": r2, "origin": origin, "low": low, "high": high, "state": state, "tier": tier}
 
 
 # trees
@@ -374,13 +406,21 @@ def root_to_tip(nodes: list[tuple]) -> dict[str, float]:
 # space, sampling, alignment
 
 
-def epicentre(lat: np.ndarray, lon: np.ndarray, d: np.ndarray, scale: float = 0.05) -> tuple[float, float, float]:
-    """Generalised least-squares centre under covariance exp(-d / scale), and the weighted spread in degrees."""
-    w = np.linalg.pinv(np.exp(-d / scale) + 1e-6 * np.eye(len(d))).sum(axis=1)
-    w = np.maximum(w, 0)
-    w = w / w.sum() if w.sum() > 0 else np.full(len(d), 1 / len(d))
-    a, o = float(w @ lat), float(w @ lon)
-    return a, o, math.sqrt(float(w @ ((lat - a) ** 2 + (lon - o) ** 2)))
+#: fixed values: kilometres of a degree, and the 95 % point of chi-square with two degrees of freedom
+DEGREE_KM, CHI2_95 = 111.32, 5.991
+
+
+def epicentre(lat: np.ndarray, lon: np.ndarray, cov: np.ndarray, ridge: float = 0.05) -> tuple[float, float, float]:
+    """Generalised least-squares centre of points under a covariance, with `ridge` on its diagonal, and its 95 % radius in
+    kilometres. Weights keep their signs; the variance is pooled over both axes."""
+    n = len(lat)
+    inv = np.linalg.inv(cov + ridge * np.eye(n))
+    mass = inv.sum()
+    w = inv.sum(axis=1) / mass
+    centre = np.array([w @ lat, w @ lon])
+    off = np.stack([lat, lon], axis=1) - centre
+    s2 = np.einsum("ik,ij,jk->", off, inv, off) / max(2 * n - 2, 1)
+    return float(centre[0]), float(centre[1]), math.sqrt(max(s2 / mass, 0.0)) * DEGREE_KM * math.sqrt(CHI2_95)
 
 
 def population_draws(n: int, edges: int, draws: int = 10_000, seed: int = 42) -> np.ndarray:
@@ -393,7 +433,7 @@ def population_draws(n: int, edges: int, draws: int = 10_000, seed: int = 42) ->
     return np.sort(r0 * n * n * (1 - phi) / (2 * e))
 
 
-def affine_align(score: np.ndarray, gap_open: float = -8.0, gap_more: float = -1.0) -> list[tuple[int, int]]:
+def affine_align(score: np.ndarray, gap_open: float = -10.0, gap_more: float = -1.0) -> list[tuple[int, int]]:
     """Global alignment of rows to columns: matched (row, column) pairs, by affine-gap dynamic programming."""
     n, m = score.shape
     neg = -1e18
@@ -545,3 +585,59 @@ def modularity_groups(w: np.ndarray) -> np.ndarray:
     for k, g in enumerate(sorted(live, key=lambda g: (-len(g), min(g)))):
         out[g] = k
     return out
+
+
+def _affine_rows(queries: np.ndarray, lengths: np.ndarray, target: np.ndarray, match: float, mismatch: float, gap_open: float, gap_more: float, keep: bool) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Global affine-gap scores of many queries (rows, padded) against one target at once, and, if kept, per query row what each
+    cell came from: 0 match, 1 gap in the target, 2 gap in the query, +4 and +8 if those gaps are longer than one."""
+    size, m = len(queries), len(target)
+    ks = np.arange(m + 1)
+    best = np.r_[0, gap_open + gap_more * (ks[1:] - 1)][None, :].repeat(size, axis=0)
+    up = np.full((size, m + 1), -1e9)
+    score = np.where(lengths == 0, best[:, m], 0.0)
+    steps = []
+    diag = np.full((size, m + 1), -1e9)
+    for i in range(queries.shape[1]):
+        opened, longer = best + gap_open, up + gap_more
+        up = np.maximum(opened, longer)
+        diag[:, 1:] = best[:, :-1] + np.where(queries[:, i, None] == target[None, :], match, mismatch)
+        base = np.maximum(up, diag)
+        run = np.maximum.accumulate(base - gap_more * ks, axis=1)
+        best = base.copy()
+        left = run[:, :-1] + gap_open + gap_more * (ks[1:] - 1)
+        np.maximum(base[:, 1:], left, out=best[:, 1:])
+        if keep:
+            how = np.where(best == diag, 0, np.where(best == up, 1, 2)) + np.where(longer > opened, 4, 0)
+            how[:, 1:] += np.where(left > base[:, :-1] + gap_open, 8, 0)
+            steps.append(how.astype(np.uint8))
+        ends = lengths == i + 1
+        score[ends] = best[ends, m]
+    return score, steps
+
+
+def affine_align_many(queries: list[np.ndarray], target: np.ndarray, match: float, mismatch: float, gap_open: float, gap_more: float, paths: bool) -> tuple[np.ndarray, list[list[tuple[int, int]]]]:
+    """Scores of the global alignments of queries to one target and, if asked for, their matched (query, target) places.
+    Scores are whole numbers, so that ties are exact: a match comes before a gap in the target, that before one in the query."""
+    lengths = np.array([len(q) for q in queries], np.int64)
+    padded = np.full((len(queries), int(lengths.max(initial=0))), -1, np.int32)
+    for k, q in enumerate(queries):
+        padded[k, : len(q)] = q
+    score, steps = _affine_rows(padded, lengths, target, match, mismatch, gap_open, gap_more, paths)
+    out: list[list[tuple[int, int]]] = []
+    for k in range(len(queries) if paths else 0):
+        i, j, pairs = int(lengths[k]), len(target), []
+        while i > 0 and j > 0:
+            how = int(steps[i - 1][k, j])
+            if how & 3 == 0:
+                pairs.append((i - 1, j - 1))
+                i, j = i - 1, j - 1
+            elif how & 3 == 1:
+                while steps[i - 1][k, j] & 4 and i > 1:
+                    i -= 1
+                i -= 1
+            else:
+                while steps[i - 1][k, j] & 8 and j > 1:
+                    j -= 1
+                j -= 1
+        out.append(pairs[::-1])
+    return score, out

@@ -29,18 +29,23 @@ class ClockModel:
 
 
 def predicted_date(d: Column, m: ClockModel) -> Column:
-    return m.t_ref + (d - m.d0) / (m.rate if abs(m.rate) > 1e-12 else 1e-12)
+    """Null for a clock that does not tick: a rate of 1e-7 or less, also a falling one, predicts nothing."""
+    return m.t_ref + (d - m.d0) / m.rate if m.rate > 1e-7 else F.lit(None).cast("double")
 
 
 def divergence_z(d: Column, t: Column, m: ClockModel) -> Column:
     return (d - (m.d0 + m.rate * (t - m.t_ref))) / max(m.sigma, 1e-12)
 
 
+# the thresholds in status are fixed values
+
+
 def status(m: ClockModel, t: Column, missing: Column, n_missing: Column, d: Column, nn: Column, nn_date: Column, left_d: Column, right_d: Column, halves_differ: Column, halves_gap: Column, length: Column) -> Column:
     """The first rule that applies. Order matters: excess divergence comes before chimeras, and a
     date is doubted only where nothing else is wrong."""
     z = divergence_z(d, t, m)
-    err_days = (predicted_date(d, m) - t) * 365.25
+    # without a prediction no date is off
+    err_days = F.coalesce((predicted_date(d, m) - t) * 365.25, F.lit(0.0))
     med = m.median_distance
     contaminant = nn > F.greatest(F.lit(0.08), F.lit(3.5 * med))
     archival = (d <= 0.0002) & (t >= m.origin + 0.6 * m.span) & (z <= -2.5)

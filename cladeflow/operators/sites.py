@@ -15,9 +15,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from cladeflow.functions.sequences import CODON_AMINO
+from cladeflow.functions.sequences import CODON_AMINO, COMPLEMENT
 from cladeflow.operators.alignments import merge_intervals
-from cladeflow.operators.kernels import affine_align
+from cladeflow.operators.kernels import affine_align_many
 
 
 class SiteScorer(Protocol):
@@ -107,48 +107,61 @@ def _amino(seq: str) -> str:
     return "".join(CODON_AMINO.get(seq[i : i + 3], "X") for i in range(0, len(seq) - 2, 3))
 
 
+#: fixed values: scores of the reference alignment, letters a record needs, stops a frame may have and what one costs
+MATCH, MISMATCH, GAP_OPEN, GAP_MORE = 2.0, -1.0, -10.0, -1.0
+LEAST_LETTERS, MOST_STOPS, STOP_COST = 30, 3, 15.0
+#: records whose frames are scored together
+_LOT = 64
+_FLIP = str.maketrans(*COMPLEMENT)
+
+
 def codon_threads(records: DataFrame, key: str, seq: str, reference: str) -> DataFrame:
-    """key, strand, frame, stops, placed, seq: each record threaded onto the reference's codons.
+    """key, strand, frame, stops, placed, score, seq: each record threaded onto the reference's codons.
 
-    Each of six strand-frames is translated and aligned to the reference protein by affine-gap dynamic programming; the best
-    frame with at most three stops (15 off per stop) is placed codon by codon, gaps elsewhere. Records without one have null strand.
-    Frames that share no five-residue word with the reference protein are tried only if none does."""
-    ref = reference.upper().replace("-", "")
+    Each of six strand-frames is translated and aligned to the reference protein by affine-gap dynamic programming (gaps -10 and
+    -1); frames with more than three stops before the last codon are no candidates, each stop costs 15. The best frame, the
+    first of equals, is placed codon by codon, gaps elsewhere. Records of fewer than 30 letters, or whose best score is
+    negative, have null strand and seq."""
+    ref = reference.upper().replace("U", "T").replace("-", "").replace(".", "").strip()
     protein = _amino(ref)
-    words = {protein[i : i + 5] for i in range(len(protein) - 4)}
-    flip = str.maketrans("ACGTN", "TGCAN")
-    target = np.array(list(protein))
-
-    def thread(s: str | None):
-        s = "".join((s or "").upper().replace("U", "T").replace("-", "").split())
-        frames = []
-        for strand, text in ((1, s), (-1, s.translate(flip)[::-1])):
-            for f in range(3):
-                p = _amino(text[f:])
-                if p and p.count("*") <= 3:
-                    frames.append((strand, f, text[f:], p))
-        near = [x for x in frames if any(x[3][i : i + 5] in words for i in range(len(x[3]) - 4))]
-        best = None
-        for strand, f, text, p in near or frames:
-            a = np.array(list(p))
-            score = np.where(a[:, None] == target[None, :], 4.0, -2.0)
-            score[(a == "X") | (a == "*")] = -1.0
-            pairs = affine_align(score)
-            value = sum(score[i, j] for i, j in pairs) - 15 * p.count("*")
-            if best is None or value > best[0]:
-                best = (value, strand, f, text, p, pairs)
-        if best is None or not len(target):
-            return None, None, None, 0, "-" * (3 * len(protein))
-        _, strand, f, text, p, pairs = best
-        out = ["---"] * len(protein)
-        for i, j in pairs:
-            out[j] = text[3 * i : 3 * i + 3]
-        return strand, f, p.count("*"), len(pairs), "".join(out)
+    nothing = (None, None, None, 0, None, None)
+    coded = lambda x: np.frombuffer(x.encode("ascii"), np.uint8).astype(np.int32)
+    goal = coded(protein)
+
+    def thread(given: list[str | None]) -> list[tuple]:
+        """Records of one lot: the frames of all are scored at once, then the best of each is traced."""
+        tried = []
+        for k, s in enumerate(given):
+            s = "".join((s or "").upper().replace("U", "T").replace("-", "").replace(".", "").split())
+            for strand, text in ((1, s), (-1, s.translate(_FLIP)[::-1])) if len(s) >= LEAST_LETTERS and protein else ():
+                for f in range(3):
+                    p = _amino(text[f:])
+                    stops = p[:-1].count("*")
+                    if 3 * len(p) >= LEAST_LETTERS and stops <= MOST_STOPS:
+                        tried.append((k, strand, f, text[f:], stops, coded(p)))
+        score, _ = affine_align_many([x[-1] for x in tried], goal, MATCH, MISMATCH, GAP_OPEN, GAP_MORE, paths=False)
+        best: dict[int, int] = {}
+        for n, (k, _, _, _, stops, _) in enumerate(tried):
+            score[n] -= STOP_COST * stops
+            if k not in best or score[n] > score[best[k]]:
+                best[k] = n
+        out = [nothing] * len(given)
+        for k, n in best.items():
+            out[k] = (*nothing[:4], float(score[n]), None)
+        chosen = [n for n in best.values() if score[n] >= 0]
+        _, paths = affine_align_many([tried[n][-1] for n in chosen], goal, MATCH, MISMATCH, GAP_OPEN, GAP_MORE, paths=True)
+        for n, pairs in zip(chosen, paths, strict=True):
+            k, strand, f, text, stops, _ = tried[n]
+            codons = ["---"] * len(protein)
+            for i, j in pairs:
+                codons[j] = text[3 * i : 3 * i + 3]
+            out[k] = (strand, f, stops, len(pairs), float(score[n]), "".join(codons))
+        return out
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = pd.DataFrame([thread(x) for x in f["s"]], columns=["strand", "frame", "stops", "placed", "seq"])
+            rows = pd.DataFrame([x for i in range(0, len(f), _LOT) for x in thread(f["s"].iloc[i : i + _LOT].tolist())], columns=["strand", "frame", "stops", "placed", "score", "seq"])
             rows.insert(0, "key", f["key"].to_numpy())
-            yield rows.astype({c: "Int64" for c in ("strand", "frame", "stops", "placed")})
+            yield rows.astype({c: "Int64" for c in ("strand", "frame", "stops", "placed")} | {"score": "Float64"})
 
-    return records.select(F.col(key).alias("key"), F.col(seq).alias("s")).mapInPandas(work, f"key {dict(records.dtypes)[key]}, strand int, frame int, stops int, placed int, seq string")
+    return records.select(F.col(key).alias("key"), F.col(seq).alias("s")).mapInPandas(work, f"key {dict(records.dtypes)[key]}, strand int, frame int, stops int, placed int, score double, seq string")

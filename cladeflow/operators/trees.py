@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cladeflow.session import stored
+from cladeflow.session import counted, forget, stored
 
 
 def parse_newick(text: str) -> list[tuple[int, int | None, float | None, str | None]]:
@@ -100,35 +102,87 @@ def shared_depth(pairs: DataFrame, close: DataFrame, depth: DataFrame) -> DataFr
     return m.join(di, "i").join(dj, "j").select("i", "j", "shared", (F.col("di") + F.col("dj") - 2 * F.col("shared")).alias("distance"))
 
 
-def fitch(nodes: DataFrame, tips: DataFrame, levels: DataFrame) -> DataFrame:
+def node_levels(nodes: DataFrame) -> DataFrame:
+    """node, level: steps from the root, by pointer doubling: a row per node, rounds logarithmic in the depth."""
+    at = stored(nodes.select("node", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("level")))
+    left = True
+    while left:
+        a = at.select(F.col("node").alias("n2"), F.col("up").alias("up2"), F.col("level").alias("l2"))
+        step = at.join(a, at["up"] == a["n2"], "left").select("node", F.col("up2").alias("up"), (F.col("level") + F.coalesce("l2", F.lit(0))).alias("level"))
+        last = at
+        at, n = counted(step, open=F.col("up").isNotNull().cast("long"))
+        forget(last)
+        left = bool(n["open"])
+    return at.select("node", "level")
+
+
+def _least_state(s: Column) -> Column:
+    return F.log2(s.bitwiseAND(-s).cast("double")).cast("int")
+
+
+def fitch_sets(nodes: DataFrame, tips: DataFrame) -> list[DataFrame]:
+    """node, parent, set (bits of states) per level from the root, by Fitch's upward pass. A tip without a state may be in any state
+    that occurs. Each level is one grouped aggregation over the level below, written once."""
+    known = tips.where("state is not null").select(F.col("node").alias("k"), F.expr("shiftleft(1L, cast(state as int))").alias("own"))
+    any_state = known.agg(F.bit_or("own")).first()[0]
+    if any_state is None:
+        return []
+    inner = nodes.where("parent is not null").select(F.col("parent").alias("p")).distinct()
+    n = nodes.join(node_levels(nodes), "node").join(known, F.col("node") == F.col("k"), "left").join(inner, F.col("node") == F.col("p"), "left")
+    n = n.select("node", "parent", "level", F.coalesce("own", F.when(F.col("p").isNull(), F.lit(any_state))).alias("own"))
+    # sorted by level, so that a level's read skips the others
+    n = stored(n.repartitionByRange("level").sortWithinPartitions("level"))
+    top = n.agg(F.max("level")).first()[0]
+    below: DataFrame | None = None
+    levels: list[DataFrame] = []
+    for lvl in range(top, -1, -1):
+        here = n.where(F.col("level") == lvl)
+        if below is None:
+            below = here.select("node", "parent", F.col("own").alias("set"))
+        else:
+            kids = below.groupBy(F.col("parent").alias("p")).agg(F.bit_and("set").alias("both"), F.bit_or("set").alias("any"))
+            of_kids = F.when(F.col("both") != 0, F.col("both")).otherwise(F.col("any"))
+            below = here.join(kids, here["node"] == kids["p"], "left").select("node", "parent", F.coalesce("own", of_kids).alias("set"))
+        below = stored(below)
+        levels.append(below)
+    return levels[::-1]
+
+
+def fitch(nodes: DataFrame, tips: DataFrame) -> DataFrame:
     """node, parent, state, changed: least-change states by Fitch's two passes over state sets.
 
-    nodes: node, parent; tips: node, state (0 to 61); levels: node, level (steps from the root). A level is one
-    grouped aggregation: the children's common set, or their union. Downwards a node keeps its parent's state if
-    its set has it, else takes its least. Children are intersected and united as whole sets."""
-    n = nodes.join(levels, "node").select("node", "parent", "level")
-    top = n.agg(F.max("level")).first()[0]
-    bits = stored(tips.select("node", F.expr("shiftleft(1L, cast(state as int))").alias("set")))
-    have = n.join(bits, "node", "left")
-    sets = stored(have.where("set is not null").select("node", "parent", "level", "set"))
-    for lvl in range(top - 1 if top is not None else -1, -1, -1):
-        kids = sets.where(F.col("level") == lvl + 1).groupBy(F.col("parent").alias("p")).agg(F.bit_and("set").alias("both"), F.bit_or("set").alias("any"))
-        inner = have.where((F.col("level") == lvl) & F.col("set").isNull())
-        new = inner.join(kids, inner["node"] == kids["p"]).select("node", "parent", "level", F.when(F.col("both") != 0, F.col("both")).otherwise(F.col("any")).alias("set"))
-        sets = stored(sets.unionByName(new))
-
-    def least(s: Column) -> Column:
-        return F.log2(s.bitwiseAND(-s).cast("double")).cast("int")
-
-    done = stored(sets.where("level = 0").select("node", "parent", "level", least(F.col("set")).alias("state"), F.lit(False).alias("changed")))
-    for lvl in range(1, (top or 0) + 1):
-        p = done.where(F.col("level") == lvl - 1).select(F.col("node").alias("p"), F.col("state").alias("ps"))
-        k = sets.where(F.col("level") == lvl)
-        k = k.join(p, k["parent"] == p["p"], "left")
-        keeps = F.col("set").bitwiseAND(F.expr("shiftleft(1L, ps)")) != 0
-        st = F.when(keeps, F.col("ps")).otherwise(least(F.col("set")))
-        done = stored(done.unionByName(k.select("node", "parent", "level", st.alias("state"), (F.col("ps").isNotNull() & (st != F.col("ps"))).alias("changed"))))
-    return done.select("node", "parent", "state", "changed")
+    nodes: node, parent; tips: node, state (0 to 61, null or absent: unknown). Downwards a node keeps its parent's state if its
+    set has it, else takes its least; the root takes its least. Without any known state there are no rows."""
+    done: list[DataFrame] = []
+    for sets in fitch_sets(nodes, tips):
+        if not done:
+            here = sets.select("node", "parent", _least_state(F.col("set")).alias("state"), F.lit(False).alias("changed"))
+        else:
+            p = done[-1].select(F.col("node").alias("p"), F.col("state").alias("ps"))
+            k = sets.join(p, sets["parent"] == p["p"], "left")
+            keeps = F.col("set").bitwiseAND(F.expr("shiftleft(1L, ps)")) != 0
+            st = F.when(keeps, F.col("ps")).otherwise(_least_state(F.col("set")))
+            here = k.select("node", "parent", st.alias("state"), (F.col("ps").isNotNull() & (st != F.col("ps"))).alias("changed"))
+        done.append(stored(here))
+    if not done:
+        return nodes.limit(0).select("node", "parent", F.lit(0).alias("state"), F.lit(False).alias("changed"))
+    return reduce(DataFrame.unionByName, done)
+
+
+def root_states(nodes: DataFrame, tips: DataFrame) -> DataFrame:
+    """state, share: the states in the root's set, equally likely."""
+    levels = fitch_sets(nodes, tips)
+    if not levels:
+        return nodes.sparkSession.createDataFrame([], "state int, share double")
+    bit = F.explode(F.sequence(F.lit(0), F.lit(61))).alias("state")
+    return levels[0].select("set", bit).where(F.col("set").bitwiseAND(F.expr("shiftleft(1L, state)")) != 0).select("state", (1.0 / F.bit_count("set")).alias("share"))
+
+
+def transition_counts(states: DataFrame) -> DataFrame:
+    """source, target, n: branches along which the state changes, from the result of fitch."""
+    up = states.select(F.col("node").alias("p"), F.col("state").alias("source"))
+    moved = states.where("changed").join(up, F.col("parent") == F.col("p"))
+    return moved.groupBy("source", F.col("state").alias("target")).agg(F.count("*").alias("n"))
 
 
 def coalescent_intervals(events: DataFrame, group: list[str]) -> DataFrame:

@@ -65,13 +65,18 @@ def location_geojson(s, d):
 
 
 def epicentres(s, d):
-    """Per clade a generalised least-squares centre of places given by the taxa's numbers, and its radius."""
-    def centre(f: pd.DataFrame, dist: np.ndarray) -> pd.DataFrame:
-        t = f["taxon"].to_numpy(float)
-        lat, lon, r = kn.epicentre((t * 37 % 120) - 60, (t * 91 % 300) - 150, dist)
-        return pd.DataFrame([{"lat": lat, "lon": lon, "radius": r}])
+    """Per clade the generalised least-squares centre of its taxa's places and its radius: the covariance of two taxa is the path
+    from the earliest sample that they share."""
 
-    return dg.per_group(aligned(s, d), "clade", centre, "lat double, lon double, radius double")
+    def centre(f: pd.DataFrame, dist: np.ndarray) -> pd.DataFrame:
+        dist = dg.filled(dist)
+        root = dist[int(f["date"].argmin())]
+        lat, lon, r = kn.epicentre(f["lat"].to_numpy(float), f["lon"].to_numpy(float), np.maximum(0.5 * (root[:, None] + root[None, :] - dist), 0))
+        return pd.DataFrame([{"lat": lat, "lon": lon, "radius_km": r}])
+
+    places = table(s, d, "h5n1_ha_metadata").where("lat is not null and lon is not null").select(F.col("h5_row").alias("place"), "lat", "lon")
+    a = aligned(s, d)
+    return dg.per_group(a.join(places, a["taxon"] == places["place"]).drop("place"), "clade", centre, "lat double, lon double, radius_km double")
 
 
 def changepoints(s, d):

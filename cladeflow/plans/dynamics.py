@@ -239,10 +239,21 @@ def patristic_nations(s, d):
 
 def fitch_states(s, d):
     n = tree_nodes(s, d)
-    levels = te.closure(n).groupBy("node").agg(F.max("steps").alias("level"))
+    return te.fitch(n.select("node", "parent"), _segments(s, d)).select("node", "state", "changed")
+
+
+def _segments(s, d):
+    """Tip states; of customers in debt the segment counts as unknown."""
     seg = F.instr(F.lit("AUTOMOBILE BUILDING FURNITURE HOUSEHOLD MACHINERY"), F.col("c_mktsegment"))
-    tips = table(s, d, "customer").select((F.col("c_custkey") + 1000).alias("node"), F.floor(seg / 10).alias("state"))
-    return te.fitch(n.select("node", "parent"), tips, levels).select("node", "state", "changed")
+    return table(s, d, "customer").select((F.col("c_custkey") + 1000).alias("node"), F.when(F.col("c_acctbal") >= 0, F.floor(seg / 10)).alias("state"))
+
+
+def root_states(s, d):
+    return te.root_states(tree_nodes(s, d).select("node", "parent"), _segments(s, d)).select("state", *r6("share"))
+
+
+def transitions(s, d):
+    return te.transition_counts(te.fitch(tree_nodes(s, d).select("node", "parent"), _segments(s, d)))
 
 
 def coalescent(s, d):
@@ -321,7 +332,7 @@ def landmark_prior(s, d):
     return x.where("d is not null").select("taxon", F.round(rc.prior(F.col("d")), 6).alias("log_prior"))
 
 
-QUERIES = {f.__name__: f for f in (metadata_cascade, evaluation_join, names_without_metadata, edge_union, edge_status_report, top_genes, sliding_windows, gradient_profile, kernel_regression, stratified_anchors, landmark_dates, event_properties, ordinal_decode, phenotype_vector, coselection_pairs, envelope_pairs, supported_transmissions, active_population, reproduction_numbers, migration_flux, source_sink, centroids, tree_depths, patristic_nations, fitch_states, coalescent, triage_status, site_attention, cumulative_momentum, best_tracts, tract_tests, landmark_prior)}
+QUERIES = {f.__name__: f for f in (metadata_cascade, evaluation_join, names_without_metadata, edge_union, edge_status_report, top_genes, sliding_windows, gradient_profile, kernel_regression, stratified_anchors, landmark_dates, event_properties, ordinal_decode, phenotype_vector, coselection_pairs, envelope_pairs, supported_transmissions, active_population, reproduction_numbers, migration_flux, source_sink, centroids, tree_depths, patristic_nations, fitch_states, root_states, transitions, coalescent, triage_status, site_attention, cumulative_momentum, best_tracts, tract_tests, landmark_prior)}
 
 _E = "e as (select *, epoch_us(ts) / 86400e6 - 19723 t from events)"
 _NODES = "nodes as (select 0::bigint node, null::bigint parent, 0e0 length union all select r_regionkey + 1, 0, 1 + r_regionkey / 10e0 from region union all select n_nationkey + 100, n_regionkey + 1, 0.5e0 + n_nationkey / 100e0 from nation union all select c_custkey + 1000, c_nationkey + 100, abs(c_acctbal) / 10000e0 from customer)"
@@ -337,12 +348,14 @@ _FORCE = f"{_ATT}, fo as (select taxon, channel, site, attention - avg(attention
 _LEAST = "floor(log2(({0} & (-{0}))::double))::int"
 _UP = "case when bit_and({0}) <> 0 then bit_and({0}) else bit_or({0}) end"
 _DOWN = f"case when ({{0}} & (1::bigint << {{1}})) <> 0 then {{1}} else {_LEAST} end"
-_FITCH = f"""with c as (select c_custkey + 1000 node, c_nationkey + 100 p, 1::bigint << (instr('AUTOMOBILE BUILDING FURNITURE HOUSEHOLD MACHINERY', c_mktsegment) // 10)::int s from customer),
-n as (select p node, any_value(n_regionkey) + 1 p, {_UP.format('s')} s from c join nation on p = n_nationkey + 100 group by p),
+_FITCH_SETS = f"""with k as (select c_custkey + 1000 node, c_nationkey + 100 p, case when c_acctbal >= 0 then 1::bigint << (instr('AUTOMOBILE BUILDING FURNITURE HOUSEHOLD MACHINERY', c_mktsegment) // 10)::int end s from customer),
+c as (select node, p, coalesce(s, (select bit_or(s) from k)) s from k),
+n as (select n_nationkey + 100 node, any_value(n_regionkey) + 1 p, case when count(c.s) = 0 then (select bit_or(s) from k) else {_UP.format('c.s')} end s from nation left join c on c.p = n_nationkey + 100 group by 1),
 r as (select p node, {_UP.format('s')} s from n group by p), w as (select {_UP.format('s')} s from r),
 w2 as (select {_LEAST.format('s')} st from w), r2 as (select node, st ps, {_DOWN.format('s', 'st')} st from r, w2),
 n2 as (select n.node, r2.st ps, {_DOWN.format('n.s', 'r2.st')} st from n join r2 on n.p = r2.node),
-c2 as (select c.node, n2.st ps, {_DOWN.format('c.s', 'n2.st')} st from c join n2 on c.p = n2.node)
+c2 as (select c.node, n2.node up, n2.st ps, {_DOWN.format('c.s', 'n2.st')} st from c join n2 on c.p = n2.node)"""
+_FITCH = f"""{_FITCH_SETS}
 select 0::bigint node, st state, false changed from w2 union all select node, st, st <> ps from r2 union all select node, st, st <> ps from n2 union all select node, st, st <> ps from c2"""
 
 ORACLE = {
@@ -370,6 +383,8 @@ ORACLE = {
     "tree_depths": f"with recursive {_DEPTH} select node, round(depth, 6) depth from dep",
     "patristic_nations": f"with recursive {_DEPTH}, x as (select * from dep where node between 100 and 999), r as (select * from dep where node between 1 and 99) select a.node i, b.node j, round(case when a.parent = b.parent then r.depth else 0e0 end, 6) shared, round(a.depth + b.depth - 2 * case when a.parent = b.parent then r.depth else 0e0 end, 6) distance from x a join x b on a.node < b.node join r on a.parent = r.node",
     "fitch_states": _FITCH,
+    "root_states": f"{_FITCH_SETS} select x::int state, round(1e0 / bit_count(s), 6) share from (select s, unnest(range(0, 62)) x from w) where (s & (1::bigint << x::int)) <> 0",
+    "transitions": f"{_FITCH_SETS} select ps source, st target, count(*) n from (select ps, st from r2 union all select ps, st from n2 union all select ps, st from c2) where ps <> st group by all",
     "coalescent": "with o as (select o_orderpriority, 12000 - (o_orderdate::date - date '1970-01-01') tau, sum(case when o_totalprice > 150000 then -1 else 1 end)::bigint st, (count(*) filter (o_totalprice > 150000))::bigint ev from orders group by all), k as (select o_orderpriority, tau tau1, lead(tau) over w tau2, sum(st) over w k, lead(ev) over w events from o window w as (partition by o_orderpriority order by tau)) select o_orderpriority, tau1, tau2, k::bigint k, events from k where tau2 is not null",
     "site_attention": f"{_ATT} select taxon, channel, round(avg(attention), 6) mean, round(max(attention), 6) top from att group by all",
     "cumulative_momentum": f"{_FORCE}, m as (select taxon, channel, sum(force) over w mo, sum(force) over w - row_number() over w / count(*) over z * sum(force) over z br, sum(greatest(force, 0)) over (w rows between 49 preceding and current row) wi from fo window w as (partition by taxon, channel order by site), z as (partition by taxon, channel)) select taxon, channel, round(max(mo), 6) + 0e0 momentum, round(max(br), 6) + 0e0 bridge, round(max(wi), 6) + 0e0 \"window\" from m group by all",

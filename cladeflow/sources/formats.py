@@ -6,6 +6,7 @@ import json
 import re
 import xml.etree.ElementTree as ET
 from collections.abc import Callable, Iterator
+from datetime import date
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -42,7 +43,7 @@ def phylip(text: str) -> list[tuple[str, str]]:
                 turn += 1
             parts[turn % taxa].append("".join(line.split()))
             turn += 1
-    return [(n, "".join(p).upper()) for n, p in zip(names, parts, strict=True)]
+    return [(n, _plain_letters("".join(p))) for n, p in zip(names, parts, strict=True)]
 
 
 def _block(text: str, name: str) -> str:
@@ -62,12 +63,12 @@ def nexus(text: str) -> list[tuple[str, str]]:
     if re.search(r"\bnolabels\b", body, re.I):
         labels = re.search(r"\btaxlabels\b(.*?);", text, re.I | re.S)
         names = [x.strip("'\"") for x in _TOKEN.findall(labels[1])] if labels else []
-        return [(n, "".join(s.split()).upper()) for n, s in zip(names, lines, strict=False)]
+        return [(n, _plain_letters(s)) for n, s in zip(names, lines, strict=False)]
     out: dict[str, str] = {}
     for line in lines:
         t = _TOKEN.match(line)
         name = t[0].strip("'\"")
-        out[name] = out.get(name, "") + "".join(line[t.end() :].split()).upper()
+        out[name] = out.get(name, "") + _plain_letters(line[t.end() :])
     return list(out.items())
 
 
@@ -83,34 +84,94 @@ def newick(text: str) -> list[tuple]:
     return parse_newick(embedded_newick(text))
 
 
+def written_year(text: str | float | None) -> float | None:
+    """A decimal year from 1800 to 2100, as a number or a calendar date: year first, or day or month first with a year of four digits; a day
+    means its start, a month without day its fifteenth, a year alone (as a date) the fifteenth of June."""
+    s = str(text if text is not None else "").strip().strip("'\"")
+    try:
+        v = float(s)
+    except ValueError:
+        pass
+    else:
+        if 1800 <= v <= 2100:
+            return v
+    parts = re.split("[-/.]", s)
+    number = lambda x: int(x) if x.isdigit() else None
+    if re.fullmatch(r"\d{4}", parts[0]):
+        y, m, d = (number(x) for x in (parts + ["", ""])[:3])
+        m, d = (m if m and m <= 12 else 6), (d if d and d <= 31 else 15)
+    elif len(parts) in (2, 3) and all(x.isdigit() for x in parts) and len(parts[-1]) == 4:
+        y, first, second = int(parts[-1]), int(parts[0]), int(parts[-2])
+        m, d = (first, 15) if len(parts) == 2 else (second, first) if 1 <= second <= 12 else (first, second)
+        if not (1 <= m <= 12 and 1 <= d <= 31):
+            return None
+    else:
+        return None
+    if not 1800 <= y <= 2100:
+        return None
+    day = date(y, m, min(d, 28 if m == 2 else 30))
+    return y + (day - date(y, 1, 1)).days / (date(y + 1, 1, 1) - date(y, 1, 1)).days
+
+
+def _plain_letters(text: str) -> str:
+    return "".join(text.split()).upper().replace("U", "T")
+
+
 def beast_xml(text: str) -> list[tuple[str, str | None, float | None]]:
-    """(taxon, sequence, date): sequences of either dialect, dates of taxa or of a date trait."""
+    """(taxon, sequence, date): sequences of either dialect, of the alignment with most of them; dates of taxa or of a date
+    trait, as numbers or calendar dates, its entries between commas, semicolons or lines. A `seq_` before a name is taken off where
+    the dates know the name without it; U counts as T."""
     root = ET.fromstring(text)
-    seqs: dict[str, str] = {}
+    local = lambda e: e.tag.rsplit("}", 1)[-1]
+    best: dict[str, str] = {}
     dates: dict[str, float] = {}
+    for block in [e for e in root.iter() if local(e) in ("alignment", "data")] or [root]:
+        seqs: dict[str, str] = {}
+        for e in block.iter():
+            if local(e) == "sequence":
+                ref = next((x for x in e if local(x) == "taxon"), None)
+                name = (ref.get("idref") or ref.get("id") if ref is not None else None) or e.get("taxon") or e.get("id")
+                letters = _plain_letters(e.get("value") or "".join(e.itertext()))
+                if name and letters:
+                    seqs[name.strip("'\"")] = seqs.get(name.strip("'\""), "") + letters
+        if len(seqs) > len(best):
+            best = seqs
     for e in root.iter():
-        tag = e.tag.rsplit("}", 1)[-1]
-        if tag == "sequence":
-            ref = e.find("taxon")
-            name = e.get("taxon") or (ref.get("idref") if ref is not None else None) or re.sub(r"^seq_", "", e.get("id") or "")
-            letters = e.get("value") or ("".join(e.itertext()))
-            seqs[name] = seqs.get(name, "") + "".join(letters.split()).upper()
-        elif tag == "taxon" and e.get("id") and e.find("date") is not None:
-            dates[e.get("id")] = float(e.find("date").get("value"))
-        elif e.get("traitname") in ("date", "date-forward"):
-            for item in (e.get("value") or "".join(e.itertext())).split(","):
-                k, _, v = item.strip().partition("=")
-                try:
-                    dates[k.strip()] = float(v)
-                except ValueError:
-                    pass
-    return [(n, seqs.get(n), dates.get(n)) for n in dict.fromkeys([*seqs, *dates])]
+        if local(e) == "taxon" and (name := e.get("id") or e.get("idref")):
+            when = next((x for x in e if local(x) == "date"), None)
+            at = written_year(when.get("value") or when.text if when is not None else e.get("date"))
+            if at is not None:
+                dates[name.strip("'\"")] = at
+        elif local(e) == "trait" and "date" in (e.get("traitname") or e.get("name") or "").lower():
+            for item in re.split(r"[,;\n\r]+", e.get("value") or e.text or ""):
+                k, eq, v = item.partition("=")
+                at = written_year(v) if eq else None
+                if at is not None:
+                    dates[k.strip().strip("'\"")] = at
+    named = {n[4:] if n not in dates and n.startswith("seq_") and n[4:] in dates else n: s for n, s in best.items()}
+    date_of = lambda n: dates.get(n, dates.get(f"seq_{n}"))
+    spare = [n for n in dates if n not in named and n.removeprefix("seq_") not in named]
+    return [(n, named.get(n), date_of(n)) for n in [*named, *spare]]
+
+
+def beast_tree(text: str) -> str:
+    """The starting tree of such a document, without comments, or an empty text: the first element or attribute that holds one."""
+    for e in ET.fromstring(text).iter():
+        held = (e.text or "").strip()
+        named = next((v.strip() for k, v in e.attrib.items() if "newick" in k.lower() and v.strip().startswith("(")), "")
+        if held.startswith("(") and ("newick" in e.tag.lower() or held.endswith(";")):
+            named = held
+        if named:
+            return re.sub(r"\[&[^\]]*\]|\{[^}]*\}", "", named).rstrip(";") + ";"
+    return ""
 
 
 def auspice(text: str) -> list[tuple[str, float | None, str | None, str | None]]:
-    """(tip, numeric date, date as text, location) of a v2 tree; inner nodes are passed through."""
+    """(tip, numeric date, date as text, location) of a v2 tree, within a document or bare; inner nodes are passed through. A tip without a date
+    attribute has the one its name ends in after the last `|`, if that is one."""
+    doc = json.loads(text)
     out = []
-    stack = [json.loads(text).get("tree", {})]
+    stack = [doc.get("tree", doc)]
     value = lambda x: x.get("value") if isinstance(x, dict) else x
     while stack:
         n = stack.pop()
@@ -119,9 +180,12 @@ def auspice(text: str) -> list[tuple[str, float | None, str | None, str | None]]
         if not kids and n.get("name"):
             a = n.get("node_attrs", {})
             num = value(a.get("num_date"))
-            date = value(a.get("date")) or value(a.get("year"))
+            when = value(a.get("date")) or value(a.get("year"))
             place = next((value(a[k]) for k in ("location", "division", "country", "region") if k in a), None)
-            out.append((n["name"], float(num) if num is not None else None, str(date) if date is not None else None, place))
+            num = float(num) if num is not None else None
+            if num is None and when is None and "|" in n["name"]:
+                num = written_year(n["name"].rsplit("|", 1)[1])
+            out.append((n["name"], num, str(when) if when is not None else None, place))
     return out
 
 

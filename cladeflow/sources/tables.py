@@ -18,8 +18,8 @@ CANDIDATES = {
 
 
 def read_fasta(spark: SparkSession, path: str, preamble: bool = True) -> DataFrame:
-    """row_ord, name, defline, seq: the name is the first word, letters are upper case without white
-    space, text before a file's first header is ignored, empty sequences stay. Split at record
+    """row_ord, name, defline, seq: the name is the first word without quotes, letters are upper case without white
+    space, U as T; a record ends before a line that begins with a parenthesis, an appended tree; text before a file's first header is ignored, empty sequences stay. Split at record
     starts by the text source, so a large file is read by many tasks; .gz is read as one.
     With preamble = False files are known to begin with a header, which saves looking for
     each file's first piece."""
@@ -32,7 +32,9 @@ def read_fasta(spark: SparkSession, path: str, preamble: bool = True) -> DataFra
     parts = raw.select("row_ord", F.when(headed, F.expr("substring(v, 2)")).otherwise(F.col("v")).alias("b"))
     line = F.trim(F.substring_index("b", "\n", 1))
     rest = F.when(F.instr("b", "\n") > 0, F.expr("substring(b, instr(b, '\n') + 1)")).otherwise("")
-    return parts.select("row_ord", F.regexp_extract(line, r"^(\S*)", 1).alias("name"), line.alias("defline"), F.upper(F.regexp_replace(rest, r"\s", "")).alias("seq"))
+    letters = F.regexp_replace(F.regexp_replace(rest, r"(?s)(^|\n)[ \t]*\(.*", ""), r"\s", "")
+    name = F.btrim(F.regexp_extract(line, r"^(\S*)", 1), F.lit("'\""))
+    return parts.select("row_ord", name.alias("name"), line.alias("defline"), F.translate(F.upper(letters), "U", "T").alias("seq"))
 
 
 def write_fasta(df: DataFrame, path: str, name: str, seq: str, by: str | None = None) -> None:

@@ -10,7 +10,7 @@ from cladeflow.operators.distances import KERNELS, code_matrix, meeting_counts,
 from cladeflow.operators.graphs import components, degrees, spectral_bisection
 from cladeflow.operators.sites import codon_threads
 from cladeflow.operators.transmission import PairModel, bayes_factors, growth_rate
-from cladeflow.operators.trees import closure, depths, parse_newick, shared_depth
+from cladeflow.operators.trees import closure, depths, fitch, node_levels, parse_newick, root_states, shared_depth, transition_counts
 
 
 def test_special_functions():
@@ -119,8 +119,7 @@ def test_clock_fits():
     c = kn.community_clock(t, y, np.full((60, 60), 1.0) * (1 - np.eye(60)))
     assert c["rate"] == pytest.approx(0.003, rel=0.02)
     assert c["low"] < 1990 < c["high"]
-    assert kn.community_clock(t[:2], y[:2], np.zeros((2, 2)))["state"] == "TOO_SMALL"
-    assert kn.community_clock(np.full(5, 2000.0), y[:5], np.zeros((5, 5)))["state"] == "ZERO_TIME_VAR"
+    assert (c["state"], c["tier"]) == ("OK", kn.STATIONARY)
     low, high = kn.wild_bootstrap(t, y)
     assert low < 1990.2
     assert high > 1989.8
@@ -168,6 +167,75 @@ def test_alignment_against_plain_recursion():
         assert got == pytest.approx(best[n, m])
 
 
+def test_many_alignments_score_as_single_ones():
+    rng = np.random.default_rng(15)
+    target = rng.integers(0, 4, 17)
+    queries = [rng.integers(0, 4, n) for n in (0, 1, 5, 17, 30, 12)] + [target, target[:6], np.r_[target[:4], target[9:]], np.r_[target[:8], rng.integers(0, 4, 7), target[8:]]]
+    score, paths = kn.affine_align_many(queries, target, 2.0, -1.0, -4.0, -1.0, paths=True)
+
+    def worth(q, pairs):
+        gap = lambda n: -4.0 - (n - 1) if n else 0.0
+        edges = [(-1, -1), *pairs, (len(q), len(target))]
+        return sum(2.0 if q[i] == target[j] else -1.0 for i, j in pairs) + sum(gap(c - a - 1) + gap(d - b - 1) for (a, b), (c, d) in zip(edges, edges[1:], strict=False))
+
+    for q, s, pairs in zip(queries, score, paths, strict=True):
+        assert worth(q, pairs) == s
+        one = kn.affine_align(np.where(q[:, None] == target[None, :], 2.0, -1.0), -4.0, -1.0)
+        assert worth(q, one) == s
+
+
+def test_community_states():
+    rng = np.random.default_rng(9)
+    apart = lambda n: 1.0 - np.eye(n)
+    t = np.sort(rng.uniform(2015, 2020, 40))
+    y = 0.004 * (t - 2014) + rng.normal(0, 1e-5, 40)
+    clock = kn.community_clock
+    assert (clock(t, y, apart(40))["state"], clock(t, y, apart(40))["tier"]) == ("OK", kn.ACTIVE)
+    assert clock(t, y, apart(40))["high"] <= t.min() and clock(t, y, apart(40))["origin"] == pytest.approx(2014, abs=0.1)
+    assert clock(t, y / 6, apart(40))["tier"] == kn.EMERGENT
+    assert clock(t, -y, apart(40))["tier"] == kn.EXTINCT and clock(t, -y, apart(40))["origin"] == t.min()
+    # noise alone: an unbounded set is never active
+    for seed in range(200):
+        r = np.random.default_rng(seed)
+        c = clock(t, np.abs(r.normal(0.05, 0.05, 40)), apart(40))
+        assert c["state"] == "OK" or c["tier"] in (kn.EXTINCT, kn.STATIONARY)
+    assert any(clock(t, np.abs(np.random.default_rng(s).normal(0.05, 0.05, 40)), apart(40))["state"] == "RATE_UNIDENTIFIABLE_G_GE_1" for s in range(20))
+    assert [clock(t[:n], y[:n], apart(n))["tier"] for n in (1, 2)] == [kn.SINGLE, kn.PAIR] and clock(t[:2], y[:2], apart(2))["state"] == "TOO_SMALL"
+    flat = clock(np.full(5, 2000.0), y[:5], apart(5))
+    assert (flat["state"], flat["tier"], flat["origin"]) == ("ZERO_TIME_VAR", kn.OPEN, 2000.0)
+    assert clock(t, np.full(40, np.nan), apart(40))["state"] == "REGRESSION_FAILED"
+    # a pair without a distance neither drives the line nor the effective size
+    d = y.copy()
+    d[7] = np.nan
+    m = apart(40)
+    m[7, :] = m[:, 7] = np.nan
+    assert clock(t, d, m)["rate"] == pytest.approx(0.004, rel=0.01)
+
+
+def test_epicentre_is_the_mean_of_independent_points():
+    lat, lon = np.array([0.0, 2.0, 4.0]), np.array([1.0, 1.0, 4.0])
+    a, o, r = kn.epicentre(lat, lon, np.eye(3))
+    assert (a, o) == pytest.approx((2.0, 2.0))
+    assert r == pytest.approx(math.sqrt((8 + 6) / (2 * 3 - 2) / 3) * 111.32 * math.sqrt(5.991))
+    # two samples of one place weigh little more than one
+    a, _, _ = kn.epicentre(np.array([0.0, 0.0, 3.0]), np.zeros(3), np.array([[1, 1, 0], [1, 1, 0], [0, 0, 1.0]]))
+    assert 1.3 < a < 1.55
+
+
+def test_fitch_with_unknown_tips(spark):
+    tree = [(0, None), (1, 0), (2, 0), (3, 1), (4, 1), (5, 2), (6, 2), (7, 6), (8, 6)]
+    nodes = spark.createDataFrame(tree, "node long, parent long")
+    tips = spark.createDataFrame([(3, 1), (4, None), (5, 2), (7, 0)], "node long, state int")
+    got = {r["node"]: (r["state"], r["changed"]) for r in fitch(nodes, tips).collect()}
+    # 4 and 8 may be anything: 1 has {1}, 6 has {0}, 2 has {0, 2}, the root {0, 1, 2}
+    assert got == {0: (0, False), 1: (1, True), 2: (0, False), 3: (1, False), 4: (1, False), 5: (2, True), 6: (0, False), 7: (0, False), 8: (0, False)}
+    assert {(r["state"], round(r["share"], 6)) for r in root_states(nodes, tips).collect()} == {(k, 0.333333) for k in range(3)}
+    assert {tuple(r) for r in transition_counts(fitch(nodes, tips)).collect()} == {(0, 1, 1), (0, 2, 1)}
+    assert fitch(nodes, tips.limit(0)).count() == 0 and root_states(nodes, tips.limit(0)).count() == 0
+    chain = spark.createDataFrame([(0, None), *((i, i - 1) for i in range(1, 40))], "node long, parent long")
+    assert {r["level"] for r in node_levels(chain).where("node = level").collect()} == set(range(40))
+
+
 def test_codon_threads(spark):
     rng = np.random.default_rng(6)
     sense = [c for c in ("GCT", "TGG", "AAA", "CTG", "GAT", "TTC", "ATG", "CCC", "GGA", "CAT")]
@@ -177,7 +245,10 @@ def test_codon_threads(spark):
     assert got[1]["seq"] == got[2]["seq"] == got[3]["seq"] == ref
     assert (got[2]["strand"], got[3]["frame"]) == (-1, 1)
     assert got[4]["seq"] == ref[:90] + "-" * 30 + ref[120:]
-    assert got[5]["strand"] is None
+    assert got[5]["strand"] is None and got[6]["seq"] is None
+    short = codon_threads(spark.createDataFrame([(1, ref[:29]), (2, "ACGTTGCA" * 30), (3, ref + "TAA")], "k long, s string"), "k", "s", ref)
+    assert {r["key"]: (r["seq"], r["stops"]) for r in short.collect()}[3] == (ref, 0)
+    assert {r["key"]: r["seq"] for r in short.collect()}[1] is None and {r["key"]: r["score"] for r in short.collect()}[1] is None
 
 
 def test_bayes_factor_prefers_near_pairs():

@@ -43,7 +43,12 @@ def test_beast_auspice_and_site_tests():
     two = '<beast><data><sequence id="seq_t" value="acgt"/></data><trait traitname="date" value="t=2001.5,u=x"/></beast>'
     assert fm.beast_xml(one) == fm.beast_xml(two) == [("t", "ACGT", 2001.5)]
     tree = {"tree": {"name": "r", "children": [{"name": "a", "node_attrs": {"num_date": {"value": 2020.5}, "country": {"value": "X"}}}, {"name": "b", "node_attrs": {}}]}}
-    assert fm.auspice(json.dumps(tree)) == [("a", 2020.5, None, "X"), ("b", None, None, None)]
+    assert fm.auspice(json.dumps(tree)) == fm.auspice(json.dumps(tree["tree"])) == [("a", 2020.5, None, "X"), ("b", None, None, None)]
+    assert fm.auspice(json.dumps({"name": "x|y|2021-01-01"})) == [("x|y|2021-01-01", 2021.0, None, None)]
+    dated = '<beast><data><sequence taxon="u" value="AUGu"/><sequence taxon="v" value="AC"/></data><data><sequence taxon="w" value="A"/></data><trait traitname="date-forward">u=2020-07-01;v=31/12/2000\n w = 07/1999</trait><init newick="(u[&amp;rate=1]:1,v:2)"/></beast>'
+    assert [(n, s, round(t, 4)) for n, s, t in fm.beast_xml(dated)] == [("u", "ATGT", 2020.4973), ("v", "AC", 2000.9945), ("w", None, 1999.5342)]
+    assert fm.beast_tree(dated) == "(u:1,v:2);" and fm.beast_tree(one) == ""
+    assert [fm.written_year(x) for x in ("1500", "x", "", None, "2001", "2001-XX", "13/13/2000")] == [None, None, None, None, 2001.0, 2001 + 165 / 365, None]
     doc = {"MLE": {"headers": [["x", ""], ["LRT", "d"], ["p-value", "d"]], "content": {"0": [[0, -1, 0.5], [0, 4, 0.1]], "1": [[0, 2, 0.2]]}}, "data partitions": {"0": {"coverage": [[4, 5]]}, "1": {"coverage": [[0]]}}}
     assert fm.site_tests(json.dumps(doc)) == [(5, 0.0, 0.5), (6, 4.0, 0.1), (1, 2.0, 0.2)]
 
