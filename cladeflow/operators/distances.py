@@ -150,6 +150,7 @@ KERNELS: dict[str, Callable] = {
     "tn93_average": lambda m: tamura_nei(resolved_counts(m, "average")),
     "tn93_masks": tamura_nei_masks,
     "tn93_screen": lambda m: tamura_nei_screen(resolved_counts(m, "skip")),
+    "overlap": lambda m: resolved_counts(m, "skip").sum(axis=(0, 1)),
 }
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from cladeflow.functions.sequences import jukes_cantor
+from cladeflow.session import stored
 
 
 def prior(share: Column, decay: float = 5.0, floor: float = 0.05) -> Column:
@@ -86,3 +87,116 @@ def tract_counts(sites: DataFrame, triples: DataFrame) -> DataFrame:
 
 def least_informative(taxa: int) -> int:
     return max(6, math.ceil(2.5 * math.log(max(taxa, 1))))
+
+
+#: fixed values: one-sided 95 % point of the normal distribution, shares and coherence that mark a burst of rate
+Z95, ROOT_SHARE, COHERENCE = 1.645, 0.5, 0.5
+
+
+def channel_statistics(force: DataFrame, taxon: str, channel: str, site: str, value: str) -> DataFrame:
+    """taxon, channel, sites, variance and pulse (greatest less least) of the running sum of the force, energy (its mean
+    square) and coherence: the best share of a channel's positive force that falls in 50 sites in a row. Lanes
+    are as long as the alignment; they are the only windows."""
+    x = momentum(force, [taxon, channel], site, value)
+    up = F.sum(F.greatest(F.col(value), F.lit(0.0)))
+    return x.groupBy(taxon, channel).agg(F.count("*").alias("sites"), F.var_pop("momentum").alias("variance"), (F.max("momentum") - F.min("momentum")).alias("pulse"), F.avg(F.col(value) * F.col(value)).alias("energy"), F.coalesce(F.try_divide(F.max("window"), up), F.lit(0.0)).alias("coherence"))
+
+
+def screen_taxa(stats: DataFrame, taxon: str, channel: str, root: int, isolated: DataFrame, alpha: float = 0.05, stringency: float = 1.0) -> DataFrame:
+    """taxon, v_cont, v_root, r_root, coherence, verdict for every taxon of channel_statistics.
+
+    The root's channel is compared with those of the landmarks: r_root is its share of their variances. A taxon whose logit share
+    stands out of the median (by MAD), with incoherent force and no near relative (isolated: taxon, isolated), is a
+    `rate burst`: it evolves faster, it does not mix. One that stands out with a strong pulse is a `ghost`. Of the others
+    those are candidates whose landmark variance or pulse lies above the lower half of the pool by 2 MADs (and the
+    median by 1.5), and all ghosts; where the whole pool varies far beyond a clone's, all that do. The rest is `backbone`.
+    All medians are exact and come from counted values; they are one row each."""
+    from cladeflow.operators.statistics import linear_percentiles
+
+    is_root = F.col(channel) == root
+    x = stats.groupBy(taxon).agg(
+        F.max("sites").alias("sites"), F.count_if(~is_root).alias("k"), F.coalesce(F.max(F.when(is_root, F.col("variance"))), F.lit(0.0)).alias("v_root"), F.coalesce(F.max(F.when(is_root, F.col("pulse"))), F.lit(0.0)).alias("root_pulse"),
+        F.coalesce(F.max(F.when(is_root, F.col("energy"))), F.lit(0.0)).alias("root_energy"), F.coalesce(F.sum(F.when(~is_root, F.col("variance"))), F.lit(0.0)).alias("v_cont"), F.coalesce(F.max(F.when(~is_root, F.col("pulse"))), F.lit(0.0)).alias("cont_pulse"), F.coalesce(F.max(F.when(is_root, F.col("coherence"))), F.lit(0.0)).alias("coherence"),
+    )
+    r = lambda v: F.col("v_root") / (v + F.col("v_root") + 1e-9)
+    held = F.greatest(F.lit(1e-4), F.least(F.lit(1 - 1e-4), r(F.col("v_cont"))))
+    x = x.withColumns({"r_root": r(F.col("v_cont")), "r_dim": r(F.col("v_cont") / F.greatest("k", F.lit(1))), "logit": F.log(held / (1 - held)), "root_stat": F.col("root_pulse") / (F.sqrt("sites") * F.greatest(F.sqrt("root_energy"), F.lit(1e-6)))})
+
+    def spread(d: DataFrame, c: str, name: str) -> DataFrame:
+        """d with the median and the median deviation of c."""
+        d = d.join(F.broadcast(linear_percentiles(d, [], c, {f"{name}_med": 0.5})))  # one row
+        dev = d.select(F.abs(F.col(c) - F.col(f"{name}_med")).alias("dev"))
+        return d.join(F.broadcast(linear_percentiles(dev, [], "dev", {f"{name}_mad": 0.5})))
+
+    n = F.broadcast(x.agg(F.count("*").alias("n")))
+    x = stored(spread(spread(x.join(n), "logit", "l"), "v_root", "r"))
+    step = 1 / F.sqrt("sites")
+    z_r = (F.col("logit") - F.col("l_med")) / F.greatest(1.4826 * F.col("l_mad"), step)
+    z_v = (F.col("v_root") - F.col("r_med")) / F.greatest(1.4826 * F.col("r_mad"), F.lit(0.05))
+    alone = isolated.select(F.col(taxon).alias("__t"), F.col("isolated").alias("__alone"))
+    x = x.join(alone, F.col(taxon) == F.col("__t"), "left").withColumn("alone", F.coalesce("__alone", F.lit(True)))
+    burst = (z_r > Z95) & (F.col("r_root") >= ROOT_SHARE) & (F.col("coherence") <= COHERENCE) & F.col("alone")
+    strong = (F.col("root_stat") >= F.greatest(F.sqrt(-0.5 * F.log(F.lit(alpha) / (2.0 * F.col("n")))), F.lit(Z95))) | (F.col("root_pulse") >= 3)
+    ghost = ((z_r > Z95) | (F.col("r_dim") > ROOT_SHARE) | (z_v > 2)) & strong & (~F.col("alone") | (F.col("coherence") > COHERENCE))
+    x = stored(x.withColumn("burst", burst).withColumn("ghost", ~burst & ghost))
+    pool = x.where(~F.col("burst"))
+    pool = x if pool.isEmpty() else pool
+    limits = pool.agg(F.avg("v_cont").alias("v_mean"))
+    for c, name in (("v_cont", "v"), ("cont_pulse", "p")):
+        med = linear_percentiles(pool, [], c, {f"{name}_all": 0.5})
+        low = pool.join(F.broadcast(med)).where(F.col(c) <= F.col(f"{name}_all"))
+        low = spread(low.select(c), c, f"{name}_low").select(f"{name}_low_med", f"{name}_low_mad").distinct()
+        limits = limits.join(F.broadcast(med)).join(F.broadcast(low))
+    x = x.join(F.broadcast(limits))
+    s2 = max(stringency, 0.1)
+
+    def over(c: str, name: str) -> Column:
+        low, all_ = F.col(f"{name}_low_med"), F.col(f"{name}_all")
+        scale = F.greatest(1.4826 * F.col(f"{name}_low_mad"), low * step, step)
+        return F.col(c) > F.greatest(low + 2 * s2 * scale, all_ + 1.5 * s2 * scale)
+
+    clone = 10 * F.greatest(F.sqrt(F.col("sites") / 1000), F.lit(1.0))
+    pervasive = (F.greatest("v_mean", "v_all") >= 3 * clone) & ((F.col("v_cont") >= clone) | (F.col("cont_pulse") >= 1.5 * clone))
+    candidate = over("v_cont", "v") | over("cont_pulse", "p") | F.col("ghost") | pervasive | F.lit(s2 <= 0.65)
+    verdict = F.when(F.col("burst"), "rate burst").when(F.col("ghost"), "ghost").when(candidate, "candidate").otherwise("backbone")
+    return x.select(taxon, "v_cont", "v_root", "r_root", "coherence", verdict.alias("verdict"))
+
+
+def matched_windows(force: DataFrame, lane: list[str], site: str, value: str, scales: tuple[int, ...], sigma: float, lanes: int, alpha: float = 0.05, floor: float = 0.0) -> DataFrame:
+    """lane, scale, first, last, total, score: windows of fixed lengths whose summed force passes a family-wise threshold, without
+    overlaps at one scale (the best first, ties to the earliest).
+
+    A scale tau has length / tau independent windows, so the threshold is the normal point of alpha / (2 lanes scales windows), times
+    sigma sqrt(tau), at least `floor`. Sums are window differences in the JVM; only windows over the threshold reach the
+    choice, which is made lane by lane."""
+    from statistics import NormalDist
+
+    base = force.select(*lane, F.col(site).alias("__s"), F.col(value).alias("__v"))
+    w, whole = Window.partitionBy(*lane).orderBy("__s"), Window.partitionBy(*lane)
+    run = F.sum("__v").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    base = base.withColumn("__c", run).withColumn("__n", F.count("*").over(whole))
+    cells = []
+    for tau in sorted(set(scales)):
+        base = base.withColumns({f"__e{tau}": F.col("__c") - F.coalesce(F.lag("__c", tau).over(w), F.lit(0.0)), f"__f{tau}": F.lag("__s", tau - 1).over(w)})
+        cells.append(F.struct(F.lit(tau).alias("scale"), F.col(f"__f{tau}").alias("first"), F.col(f"__e{tau}").alias("total")))
+    x = base.select(*lane, F.col("__s").alias("last"), "__n", F.explode(F.array(*cells)).alias("x")).select(*lane, "last", "__n", "x.*")
+    many = len(set(scales))
+    # the normal point depends on the lane's length, of which there are few
+    lengths = [r["__n"] for r in base.select("__n").distinct().collect()]
+    point = {(tau, n): max(floor, NormalDist().inv_cdf(1 - max(alpha / (2 * lanes * many * max(n / tau, 1.0)), 1e-15)) * sigma * tau**0.5) for tau in set(scales) for n in lengths if tau < n}
+    theta = F.try_element_at(F.create_map(*(F.lit(v) for (tau, n), th in point.items() for v in (f"{tau}:{n}", th))), F.concat_ws(":", "scale", "__n")) if point else F.lit(None).cast("double")
+    hits = x.withColumn("theta", theta).where(F.col("first").isNotNull() & F.col("theta").isNotNull() & (F.col("total") >= F.col("theta")))
+    hits = hits.select(*lane, "scale", "first", "last", "total", (F.col("total") / F.greatest("theta", F.lit(1e-9))).alias("score"))
+
+    def choose(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values(["score", "first"], ascending=[False, True], kind="stable")
+        kept: list[int] = []
+        first, last = f["first"].to_numpy(), f["last"].to_numpy()
+        for i in range(len(f)):
+            if all(last[i] < first[k] or first[i] > last[k] for k in kept):
+                kept.append(i)
+        return f.iloc[kept]
+
+    kinds = dict(force.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in lane) + f", scale int, first {kinds[site]}, last {kinds[site]}, total double, score double"
+    return hits.groupBy(*lane, "scale").applyInPandas(choose, schema)
