@@ -228,6 +228,7 @@ ORACLE = {
     "reverse_complements": "select row_ord, md5(reverse(translate(upper(seq), 'ACGTURYSWKMBDHVN', 'TGCAAYRSWMKVHDBN'))) digest from fasta_record where seq is not null",
     "canonical_kmers": f"with s as (select {_UNGAPPED} s from fasta_record), k as (select substr(s, i::int, 15) k from (select s, unnest(range(1, length(s) - 13)) i from s where length(s) >= 15)) select least(k, reverse(translate(k, 'ACGT', 'TGCA'))) kmer, count(*) n from k where not regexp_matches(k, '[^ACGT]') group by 1 having count(*) >= 20",
     "order_midpoints": f"with o as (select o_orderdate::date \"day\", count(*) n from orders group by 1), p as (select *, year(\"day\") y, {_LEAP} len from o) select strftime(\"day\", '%Y-%m-%d') \"day\", n, round(y + (dayofyear(\"day\") - 0.5e0) / len, 8) mid, round(y + (dayofyear(date_trunc('month', \"day\")) - 1 + day(last_day(\"day\")) / 2e0) / len, 8) month_mid, round(y + (dayofyear(\"day\") - 1) / len, 8) \"start\" from p",
+    "start_of_day_text": r"with m as (select meta_row, replace(trim(date), '/', '-') s from meta), p as (select meta_row, s, try_cast(nullif(regexp_extract(s, '^([0-9]{4})(?:-([0-9]{1,2}))?(?:-([0-9]{1,2}))?$', 1), '') as int) y, try_cast(nullif(regexp_extract(s, '^([0-9]{4})(?:-([0-9]{1,2}))?(?:-([0-9]{1,2}))?$', 2), '') as int) m, try_cast(nullif(regexp_extract(s, '^([0-9]{4})(?:-([0-9]{1,2}))?(?:-([0-9]{1,2}))?$', 3), '') as int) d from m), q as (select *, (m is null or m between 1 and 12) and (d is null or d between 1 and 31) and y between 1 and 9999 ok from p), r as (select *, make_date(y, m, greatest(1, least(coalesce(d, 15), day(last_day(make_date(y, m, 1)))))) dd from q where ok and m is not null), z as (select meta_row, y + (dayofyear(dd) - 1) / (case when (y % 4 = 0 and y % 100 <> 0) or y % 400 = 0 then 366e0 else 365e0 end) v from r union all select meta_row, y + 0.5e0 from q where ok and m is null union all select meta_row, s::double from q where regexp_full_match(s, '[0-9]{4}[.][0-9]+')) select meta_row, round(v, 6) y from z",
     "header_years": r"with h as (select row_ord, list_filter(regexp_split_to_array(defline, '[|_. ]'), lambda t: regexp_full_match(t, '(19|20)\d\d')) y from fasta_record) select row_ord, y[1]::int first_year, y[len(y)]::int last_year from h where len(y) > 0",
     "mismatch_runs": f"{_RUNS} select taxon, \"first\", \"last\", length from runs",
     "masked_sequences": f"{_RUNS}, s as (select s.taxon, s.site, case when r.taxon is not null then 'N' else state end state from sites s left join runs r on s.taxon = r.taxon and s.site between \"first\" and \"last\") select taxon, md5(string_agg(state, '' order by site)) digest from s group by taxon",

@@ -12,7 +12,7 @@ from cladeflow.operators import kernels as kn
 from cladeflow.operators.alignments import allele_frequencies, padded
 from cladeflow.plans.alignments import aligned, plain_base, sites
 from cladeflow.plans.dynamics import _force, coselection_pairs
-from cladeflow.plans.networks import _COUNT, NEAR, _near
+from cladeflow.plans.networks import _COMP, _COUNT, NEAR, _near
 from cladeflow.session import stored, table
 from cladeflow.sources.tables import geojson_points
 
@@ -60,7 +60,7 @@ def cluster_dossiers(s, d):
 
 
 def location_geojson(s, d):
-    h = table(s, d, "h5n1_ha_metadata").where("location is not null").groupBy("location").agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), F.count("*").alias("n"))
+    h = table(s, d, "h5n1_ha_metadata").where("location is not null").groupBy("location").agg(F.round(F.avg("lat"), 4).alias("lat"), F.round(F.avg("lon"), 4).alias("lon"), F.count("*").alias("n"))
     return geojson_points(h, "lat", "lon", "location", "n")
 
 
@@ -157,7 +157,10 @@ def reported_genes(s, d):
 
 QUERIES = {f.__name__: f for f in (padded_records, near_pair_rarity, trait_match, cluster_dossiers, location_geojson, epicentres, changepoints, tree_rotations, dated_trees, coselection_sectors, gene_split, stratified_sites, reported_genes)}
 _BELOW = "('0x' || substr(md5(({})::varchar), 1, 7))::bigint % 100"
+_JSON_NUMBER = "case when {0} = trunc({0}) then trunc({0})::bigint || '.0' else {0}::varchar end"
 ORACLE = {
+    "location_geojson": "with h as (select location, round(avg(lat), 4) lat, round(avg(lon), 4) lon, count(*) n from h5n1_ha_metadata where location is not null group by 1) select '{\"type\":\"Feature\",\"geometry\":' || case when lat is null or lon is null then 'null' else '{\"type\":\"Point\",\"coordinates\":[' || lon || ',' || lat || ']}' end || ',\"properties\":{\"location\":' || to_json(location) || ',\"n\":' || n || '}}' \"value\" from h",
+    "cluster_dossiers": f"{_COMP}, mm as (select component, count(*) size, count(distinct label) clades, round(2000 + min(node * 37 % 240) / 12e0, 4) a, round(2000 + max(node * 37 % 240) / 12e0, 4) z from l join embeddings on vec_id = node group by 1), k as (select component, count(*) edges from e join l on i = node group by 1), q as (select *, round(2 * edges / (size * (size - 1)), 6) dens from mm join k using (component)) select component, '{{\"size\":' || size || ',\"edges\":' || edges || ',\"clades\":' || clades || ',\"span\":{{\"first\":' || {_JSON_NUMBER.format('a')} || ',\"last\":' || {_JSON_NUMBER.format('z')} || '}},\"density\":' || {_JSON_NUMBER.format('dens')} || '}}' dossier from q",
     "gene_split": f"with g as (select gene_id, case when {_BELOW.format('gene_id')} < 80 then 'fit' else 'held out' end part from orthomam_gene_selection) select part, count(*) \"rows\", count(distinct gene_id) genes from orthomam_site_selection join g using (gene_id) group by 1",
     "stratified_sites": f"with x as (select *, case when lrt >= 10 then 100 when lrt >= 4 then 50 when lrt >= 1 then 20 when lrt > 0 then 10 else 5 end share from orthomam_site_selection where gene_id is not null and lrt is not null and not isnan(lrt)) select share, count(*) \"rows\", round(avg(lrt), 6) mean from x where {_BELOW.format("gene_id || ':' || site_1idx")} < share group by 1",
     "reported_genes": "select g.gene_id, g.gene_symbol, count(*) \"rows\", sum(case when s.q_value <= 0.1e0 then 1 else 0 end)::bigint passed from orthomam_gene_selection g join orthomam_site_selection s using (gene_id) where g.gene_symbol is not null and g.gene_symbol not like 'K%' group by all",

@@ -269,7 +269,7 @@ def coalescent(s, d):
 def _screened(s, d):
     """Every taxon against the clock and the anchors of its data set."""
     a = aligned(s, d)
-    first = stored(a.groupBy("clade").agg(F.min_by("seq", "date").alias("rs"), F.min("date").alias("d0")))
+    first = stored(a.groupBy("clade").agg(F.min_by("seq", F.struct("date", "taxon")).alias("rs"), F.min("date").alias("d0")))
     x = a.join(first.select("clade", "rs"), "clade")
     same = F.aggregate(F.zip_with(F.split("seq", ""), F.split("rs", ""), lambda p, q: F.when((p != "-") & (q != "-"), F.when(p != q, 1).otherwise(0))), F.struct(F.lit(0).alias("n"), F.lit(0).alias("k")), lambda z, v: F.struct((z["n"] + v.isNotNull().cast("int")).alias("n"), (z["k"] + F.coalesce(v, F.lit(0))).alias("k")))
     x = x.withColumn("q", same).withColumn("d", F.try_divide("q.k", "q.n"))
@@ -329,7 +329,7 @@ def tract_tests(s, d):
 
 def landmark_prior(s, d):
     x = _screened(s, d)
-    return x.where("d is not null").select("taxon", F.round(rc.prior(F.col("d")), 6).alias("log_prior"))
+    return x.where("d is not null").select("taxon", (F.round(rc.prior(F.col("d")), 6) + 0.0).alias("log_prior"))
 
 
 QUERIES = {f.__name__: f for f in (metadata_cascade, evaluation_join, names_without_metadata, edge_union, edge_status_report, top_genes, sliding_windows, gradient_profile, kernel_regression, stratified_anchors, landmark_dates, event_properties, ordinal_decode, phenotype_vector, coselection_pairs, envelope_pairs, supported_transmissions, active_population, reproduction_numbers, migration_flux, source_sink, centroids, tree_depths, patristic_nations, fitch_states, root_states, transitions, coalescent, triage_status, site_attention, cumulative_momentum, best_tracts, tract_tests, landmark_prior)}
@@ -389,5 +389,6 @@ ORACLE = {
     "site_attention": f"{_ATT} select taxon, channel, round(avg(attention), 6) mean, round(max(attention), 6) top from att group by all",
     "cumulative_momentum": f"{_FORCE}, m as (select taxon, channel, sum(force) over w mo, sum(force) over w - row_number() over w / count(*) over z * sum(force) over z br, sum(greatest(force, 0)) over (w rows between 49 preceding and current row) wi from fo window w as (partition by taxon, channel order by site), z as (partition by taxon, channel)) select taxon, channel, round(max(mo), 6) + 0e0 momentum, round(max(br), 6) + 0e0 bridge, round(max(wi), 6) + 0e0 \"window\" from m group by all",
     "best_tracts": f"{_FORCE}, c as (select *, sum(force) over (partition by taxon, channel order by site) c from fo), g as (select taxon, channel, c - min(c - force) over (partition by taxon, channel order by site) g from c) select taxon, channel, round(max(g), 6) gain from g group by all having max(g) >= 0.05e0",
+    "landmark_prior": f"with {SITES}, f as (select label clade, arg_min(vec_id, (vec_id * 37 % 240) * 1000000000 + vec_id) t from embeddings group by 1), p as (select v.taxon, count(*) n, count(*) filter (v.state <> r.state) k from v join f using (clade) join v r on r.taxon = f.t and r.site = v.site group by 1) select taxon, round(ln(0.05e0 + 0.95e0 * exp(-5 * (-0.75e0 * ln(1 - least(k / n, 0.7499e0) * 4 / 3e0)))), 6) + 0e0 log_prior from p",
     "tract_tests": f"with {SITES}, f as (select label clade, min(vec_id) t from embeddings group by 1), tt as (select vec_id child, h.t home, g.t donor from embeddings e join f h on e.label = h.clade join f g on g.clade = e.label + 1), x as (select child, donor, c.site between 16 and 31 s, c.state = o.state and c.state <> h.state don, c.state = h.state and c.state <> o.state hom from tt join v c on c.taxon = child join v h on h.taxon = home and h.site = c.site join v o on o.taxon = donor and o.site = c.site), q as (select child, donor, count(*) filter (s and don) a, count(*) filter (s and hom) b, count(*) filter (not s and don) c, count(*) filter (not s and hom) d from x group by all), k as (select *, unnest(range(a, least(a + b, a + c) + 1)) k from q) select child, donor, a, b, c, d, round(least(1e0, sum(exp(lgamma(a + b + 1) + lgamma(c + d + 1) + lgamma(a + c + 1) + lgamma(b + d + 1) - lgamma(a + b + c + d + 1) - lgamma(k + 1) - lgamma(a + b - k + 1) - lgamma(a + c - k + 1) - lgamma(d - a + k + 1)))), 6) p from k group by all",
 }

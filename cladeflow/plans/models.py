@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cladeflow.operators import dating as dg
 from cladeflow.operators import kernels as kn
 from cladeflow.operators.sites import codon_threads, mutant_scan, patches, site_scores
-from cladeflow.plans.alignments import aligned, plain_base, sites
+from cladeflow.plans.alignments import SITES, aligned, plain_base, sites
 from cladeflow.plans.networks import _near
 from cladeflow.session import spread, stored, table
 
@@ -45,15 +45,15 @@ def codon_threading(s, d):
 
 
 def error_patches(s, d):
-    return patches(sites(s, d).where(plain_base()), window=8, alpha=1e-3)
+    return patches(sites(s, d).where(plain_base()), window=8, alpha=0.02)
 
 
 def variable_site_scores(s, d):
-    return site_scores(sites(s, d).where(plain_base()))
+    return site_scores(sites(s, d).where(plain_base())).select("site", F.round("score", 6).alias("score"))
 
 
 def mutant_scores(s, d):
-    return mutant_scan(sites(s, d).where(plain_base()))
+    return mutant_scan(sites(s, d).where(plain_base())).select("site", "state", F.round("shift", 6).alias("shift"))
 
 
 QUERIES = {
@@ -68,4 +68,19 @@ QUERIES = {
     "joined_trees": _run(dg.joined_tree),
     **{f.__name__: f for f in (permuted_migration, active_population_draws, codon_threading, error_patches, variable_site_scores, mutant_scores)},
 }
-ORACLE: dict[str, str] = {}
+_COUNTS = f"with {SITES}, k as (select site, " + ", ".join(f"count(*) filter (state = '{x}') n{x}" for x in "ACGT") + " from v group by site)"
+
+
+def _entropy(*counts: str) -> str:
+    whole = " + ".join(f"({c})" for c in counts)
+    return " + ".join(f"(case when ({c}) > 0 then -(({c}) / ({whole})) * ln(({c}) / ({whole})) else 0e0 end)" for c in counts)
+
+
+_TOP = "case greatest(nA, nC, nG, nT) when nA then 'A' when nC then 'C' when nG then 'G' else 'T' end"
+_NEW = [f"n{x} + (state = '{x}')::int - (top = '{x}')::int" for x in "ACGT"]
+_TAIL = "(select coalesce(sum(exp(lgamma(b + 1) - lgamma(i + 1) - lgamma(b - i + 1) + lgamma(size - b + 1) - lgamma(n - i + 1) - lgamma(size - b - n + i + 1) - lgamma(size + 1) + lgamma(n + 1) + lgamma(size - n + 1))), 0) from range(k, least(n, b) + 1) r(i) where n - i <= size - b)"
+ORACLE: dict[str, str] = {
+    "variable_site_scores": f"{_COUNTS} select site, round({_entropy('nA', 'nC', 'nG', 'nT')}, 6) score from k",
+    "mutant_scores": f"{_COUNTS}, t as (select *, {_TOP} top, {_entropy('nA', 'nC', 'nG', 'nT')} base from k), m as (select t.*, state from t, (values ('A'), ('C'), ('G'), ('T')) b(state) where state <> top) select site, state, round({_entropy(*_NEW)} - base, 6) + 0e0 shift from m",
+    "error_patches": f"with {SITES}, c as (select site, state c from (select *, row_number() over (partition by site order by n desc, state) r from (select site, state, count(*) n from v group by all)) where r = 1), x as (select taxon, site, (state <> c)::int bad from v join c using (site)), ww as (select taxon, site, sum(bad) over (partition by taxon order by site range between current row and 7 following)::bigint k, count(*) over (partition by taxon order by site range between current row and 7 following) n, sum(bad) over (partition by taxon)::bigint b, count(*) over (partition by taxon) size from x), h as (select taxon, site a, site + 7 z from ww where k >= 3 and {_TAIL} <= 0.02e0), g as (select *, max(z) over (partition by taxon order by a, z rows between unbounded preceding and 1 preceding) pe from h), s as (select *, sum(case when pe is null or a > pe + 1 then 1 else 0 end) over (partition by taxon order by a, z rows unbounded preceding) grp from g) select taxon, min(a) \"first\", max(z) \"last\", count(*) parts from s group by taxon, grp",
+}

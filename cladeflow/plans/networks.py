@@ -85,7 +85,7 @@ def nearest_reference(s, d):
     first = a.groupBy("clade").agg(F.min("taxon").alias("t")).select("t")
     anchors = a.join(first, a["taxon"] == first["t"], "left_semi")
     n = ds.nearest_anchor(a.select("taxon", "seq"), anchors.select("taxon", "seq"), "taxon", "seq")
-    return n.select("query", "anchor", F.round("distance", 6).alias("distance"))
+    return n.select("query", "anchor", (F.round("distance", 6) + 0.0).alias("distance"))
 
 
 def dated_pairs(s, d):
@@ -128,5 +128,6 @@ ORACLE = {
     "cluster_summary": f"{_COMP}, s as (select component, count(*) size from l group by 1), g2 as (select component, count(*) edges, round(min(h), 6) \"least\", round(avg(h), 6) mean, round(max(h), 6) \"greatest\" from e join l on i = node group by 1) select * from s join g2 using (component)",
     "effective_sizes": f"{_PAIRS.replace('with recursive', 'with')}, o as (select ci clade, sum(exp(-100 * h)) s from p where ci = cj group by 1), c as (select label clade, count(*) n from embeddings group by 1) select clade, n, round(n * n / (n + 2 * coalesce(s, 0)), 6) n_eff from c left join o using (clade)",
     "cosine_edges": "select a.vec_id i, b.vec_id j, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 5) similarity from embeddings a join embeddings b on a.vec_id < b.vec_id where list_cosine_similarity(a.embedding::double[], b.embedding::double[]) >= 0.35e0",
+    "nearest_reference": f"with {SITES}, f as (select min(vec_id) t from embeddings group by label), n as (select a.taxon i, b.taxon j, count(*) tot, count(*) filter (a.state <> b.state) diff, {', '.join(f"count(*) filter (a.state = '{x}') + count(*) filter (b.state = '{x}') n{x}" for x in 'ACGT')}, count(*) filter (a.state in ('A', 'G') and b.state in ('A', 'G') and a.state <> b.state) ag, count(*) filter (a.state in ('C', 'T') and b.state in ('C', 'T') and a.state <> b.state) ct from v a join v b on a.site = b.site join f on b.taxon = t group by all), {_FORM.format(f=_FLOOR)}, d as (select i, j, greatest(case when least(a1, a2, a3) <= 0 then h else {_D} end, 0) d from x where tot >= 50) select i query, j anchor, round(d, 6) + 0e0 distance from (select *, row_number() over (partition by i order by round(d, 12) + 0e0, j) r from d) where r = 1",
     "dated_pairs": "with a as (select vec_id t, label c, 2000 + (vec_id * 37 % 240) / 12e0 d from embeddings) select a.t i, b.t j, round(abs(a.d - b.d), 6) dt from a join a b on a.c = b.c and a.t < b.t where abs(a.d - b.d) <= 0.0834e0",
 }
