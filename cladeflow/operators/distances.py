@@ -154,38 +154,66 @@ KERNELS: dict[str, Callable] = {
 }
 
 
-def pair_distances(seqs: DataFrame, taxon: str, seq: str, kernels: list[str], most: float | None = None, block: int = 256) -> DataFrame:
-    """i, j (i < j) and one column per kernel; only pairs whose first distance is at most
-    `most`, if given. taxon is a unique number. Rows with a null sequence are left out.
+def pair_blocks(seqs: DataFrame, taxon: str, seq: str, kernels: list[str], reduce: Callable, schema: str, group: str | None = None, keep: tuple[str, ...] = (), block: int = 512) -> DataFrame:
+    """What `reduce` makes of every block of pairs: it gets the rows of both sides (t and keep), the distances by kernel and which
+    pairs count, and returns rows of `schema`. With `group` only pairs inside a group are formed; null groups are left out.
 
-    The number of blocks follows the table; each taxon is sent once per block it meets,
-    a task's memory is set by `block` alone."""
-    rows = seqs.select(F.col(taxon).cast("long").alias("t"), F.col(seq).alias("s")).where("t is not null and s is not null")
-    blocks = max(1, -(-rows.count() // block))
-    b = F.pmod(F.xxhash64("t"), F.lit(blocks)).cast("int")
-    rows = rows.withColumn("b", b)
-    other = F.sequence(F.lit(0), F.lit(blocks - 1))
-    cells = rows.select("t", "s", "b", F.explode(other).alias("o")).select("t", "s", "b", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"))
+    Taxa are cut into blocks of about `block`, by group; each is sent once per block it meets, and a task's memory is set by
+    `block` alone. Rows with a null sequence are left out."""
+    rows = seqs.select(F.col(taxon).cast("long").alias("t"), F.col(seq).alias("s"), *([F.col(group).alias("g")] if group else [F.lit(0).alias("g")]), *keep).where("t is not null and s is not null and g is not null")
+    sizes = rows.groupBy(F.col("g").alias("__g")).agg(F.greatest(F.lit(1), F.ceil(F.count("*") / block)).cast("int").alias("blocks"))
+    rows = rows.join(sizes, F.col("g") == F.col("__g")).withColumn("b", F.pmod(F.xxhash64("t"), F.col("blocks")).cast("int"))
+    cells = rows.select("g", "t", "s", *keep, "b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")).select("g", "t", "s", *keep, "b", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"))
 
     def work(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = key
+        _, lo, hi = key
         f = f.sort_values("t")
-        left, right = f[f["b"] == lo], f[f["b"] == hi]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"i": [], "j": [], **{k: [] for k in kernels}}).astype({"i": "int64", "j": "int64"})
+        left, right = (f["b"] == lo).to_numpy(), (f["b"] == hi).to_numpy()
         codes = code_matrix(f["s"].tolist())
-        meets = meeting_counts(codes[(f["b"] == lo).to_numpy()], codes[(f["b"] == hi).to_numpy()])
-        d = {k: KERNELS[k](meets) for k in kernels}
-        ti, tj = left["t"].to_numpy(), right["t"].to_numpy()
-        ok = ti[:, None] < tj[None, :] if lo == hi else np.ones((len(ti), len(tj)), bool)
+        if not left.any() or not right.any() or not codes.shape[1]:
+            return reduce(f[left], f[right], {k: np.full((left.sum(), right.sum()), np.nan) for k in kernels}, np.zeros((left.sum(), right.sum()), bool))
+        meets = meeting_counts(codes[left], codes[right])
+        t = f["t"].to_numpy()
+        ok = t[left][:, None] < t[right][None, :] if lo == hi else np.ones((left.sum(), right.sum()), bool)
+        return reduce(f[left], f[right], {k: KERNELS[k](meets) for k in kernels}, ok)
+
+    return cells.groupBy("g", "lo", "hi").applyInPandas(work, schema)
+
+
+def pair_distances(seqs: DataFrame, taxon: str, seq: str, kernels: list[str], most: float | None = None, block: int = 512) -> DataFrame:
+    """i, j (i < j) and one column per kernel; only pairs whose first distance is at most
+    `most`, if given. taxon is a unique number. Rows with a null sequence are left out."""
+
+    def rows(left: pd.DataFrame, right: pd.DataFrame, d: dict[str, np.ndarray], ok: np.ndarray) -> pd.DataFrame:
         if most is not None:
-            ok &= d[kernels[0]] <= most
+            ok = ok & (d[kernels[0]] <= most)
         x, y = np.nonzero(ok)
-        i, j = ti[x], tj[y]
+        i, j = left["t"].to_numpy()[x], right["t"].to_numpy()[y]
         return pd.DataFrame({"i": np.minimum(i, j), "j": np.maximum(i, j), **{k: pd.array(np.where(np.isnan(v[x, y]), None, v[x, y]), dtype="Float64") for k, v in d.items()}})
 
-    schema = "i long, j long, " + ", ".join(f"{k} double" for k in kernels)
-    return cells.groupBy("lo", "hi").applyInPandas(work, schema)
+    return pair_blocks(seqs, taxon, seq, kernels, rows, "i long, j long, " + ", ".join(f"{k} double" for k in kernels), block=block)
+
+
+def pair_sums(seqs: DataFrame, taxon: str, seq: str, kernel: str, values: dict[str, Callable[[np.ndarray], np.ndarray]], label: str, within: bool = False, block: int = 512) -> DataFrame:
+    """same, pairs and, per entry of values, the sum of that function of the distance over all pairs, by whether both taxa have
+    one label (or, within: label and sums over the pairs inside each label, no others being formed). Only sums leave a
+    task. Pairs without a distance are not counted."""
+
+    def sums(left: pd.DataFrame, right: pd.DataFrame, d: dict[str, np.ndarray], ok: np.ndarray) -> pd.DataFrame:
+        v = d[kernel]
+        ok = ok & ~np.isnan(v)
+        same = left["label"].to_numpy()[:, None] == right["label"].to_numpy()[None, :]
+        got = {n: f(np.where(np.isnan(v), 0.0, v)) for n, f in values.items()}
+        out = [{"same": flag, "pairs": int((ok & (same == flag)).sum()), **{n: float(x[ok & (same == flag)].sum()) for n, x in got.items()}} for flag in (True, False)]
+        out = pd.DataFrame([x for x in out if x["pairs"]], columns=["same", "pairs", *values])
+        if within:
+            out.insert(0, "label", left["label"].iloc[0] if len(left) else None)
+        return out
+
+    kind = dict(seqs.dtypes)[label]
+    x = seqs.withColumn("label", F.col(label))
+    rows = pair_blocks(x, taxon, seq, [kernel], sums, (f"label {kind}, " if within else "") + "same boolean, pairs long, " + ", ".join(f"{n} double" for n in values), group="label" if within else None, keep=("label",), block=block)
+    return rows.groupBy("label" if within else "same").agg(F.sum("pairs").alias("pairs"), *(F.sum(n).alias(n) for n in values))
 
 
 def imputed(pairs: DataFrame, d: str) -> DataFrame:

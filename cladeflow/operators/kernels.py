@@ -156,10 +156,22 @@ def golden(f, lo: float, hi: float, steps: int = 40) -> float:
 
 def pagel_line(t: np.ndarray, y: np.ndarray, shared: np.ndarray) -> dict[str, float]:
     """Line under shared ancestry, off-diagonals scaled by lambda in [0, 1], lambda by restricted likelihood."""
-    diag = np.diag(np.diag(shared))
-    cov = lambda lam: lam * shared + (1 - lam) * diag
-    lam = golden(lambda v: generalised_line(t, y, cov(v))["reml"], 0.0, 1.0)
-    return generalised_line(t, y, cov(lam)) | {"lambda": lam}
+    # scaled to a unit diagonal the covariances of all lambdas have the same directions: one decomposition serves the search
+    scale = np.sqrt(np.maximum(np.diag(shared), 1e-12))
+    vals, vecs = np.linalg.eigh((shared + shared.T) / 2 / scale[:, None] / scale[None, :])
+    xs, ys = vecs.T @ (np.c_[np.ones(len(t)), t] / scale[:, None]), vecs.T @ (y / scale)
+    n, logdet = len(t), 2 * np.log(scale).sum()
+
+    def reml(lam: float) -> float:
+        v = lam * vals + 1 - lam
+        v = np.maximum(v, 1e-8 * max(v.max(), 1e-12))
+        a, b = xs / np.sqrt(v)[:, None], ys / np.sqrt(v)
+        xtx = a.T @ a
+        rss = float(((b - a @ np.linalg.solve(xtx, a.T @ b)) ** 2).sum())
+        return -0.5 * ((n - 2) * math.log(max(rss / max(n - 2, 1), 1e-300)) + np.log(v).sum() + logdet + np.linalg.slogdet(xtx)[1])
+
+    lam = golden(reml, 0.0, 1.0)
+    return generalised_line(t, y, lam * shared + (1 - lam) * np.diag(scale**2)) | {"lambda": lam}
 
 
 def power_line(t: np.ndarray, y: np.ndarray) -> dict[str, float]:
@@ -560,9 +572,10 @@ def node_dates(nodes: list[tuple], when: dict[str, float], rate: float, floor: f
     return out
 
 
-def modularity_groups(w: np.ndarray) -> np.ndarray:
-    """Greedy modularity: the pair of groups whose union gains most is joined until none gains; labels from 0 by size."""
-    m2 = w.sum()
+def modularity_groups(w: np.ndarray, whole: float | None = None) -> np.ndarray:
+    """Greedy modularity: the pair of groups whose union gains most is joined until none gains; labels from 0 by size. whole: the sum of
+    all weights, if w is one component of a network."""
+    m2 = whole if whole is not None else w.sum()
     n = len(w)
     if m2 <= 0:
         return np.arange(n)

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cladeflow.operators.statistics import linear_percentiles
+
 
 @dataclass(frozen=True)
 class ClockModel:
@@ -79,9 +81,10 @@ def draw_anchors(records: DataFrame, taxon: str, t: str, most: int = 1024, bins:
 
 def calibrate(anchors: DataFrame, t: str, d: str, **kw) -> ClockModel:
     """A clock from dated anchors by least squares: one aggregate row comes to the driver."""
-    r = anchors.where(F.col(t).isNotNull() & F.col(d).isNotNull()).agg(F.regr_slope(d, t).alias("b"), F.avg(t).alias("t"), F.avg(d).alias("d"), F.regr_syy(d, t).alias("yy"), F.regr_sxy(d, t).alias("xy"), F.count("*").alias("n"), F.min(t).alias("lo"), F.max(t).alias("hi"), F.median(d).alias("med")).first()
+    r = anchors.where(F.col(t).isNotNull() & F.col(d).isNotNull()).agg(F.regr_slope(d, t).alias("b"), F.avg(t).alias("t"), F.avg(d).alias("d"), F.regr_syy(d, t).alias("yy"), F.regr_sxy(d, t).alias("xy"), F.count("*").alias("n"), F.min(t).alias("lo"), F.max(t).alias("hi")).first()
     if r["b"] is None:
         raise ValueError("the anchors' dates do not differ")
     sigma = (max(r["yy"] - r["b"] * r["xy"], 0.0) / max(r["n"], 1)) ** 0.5
+    median = linear_percentiles(anchors.where(F.col(t).isNotNull()), [], d, {"med": 0.5}).first()["med"]
     origin = min(r["t"] - r["d"] / r["b"], r["lo"]) if r["b"] > 1e-12 else r["lo"]
-    return ClockModel(r["b"], r["d"], r["t"], sigma, origin, r["hi"] - r["lo"], r["med"], **kw)
+    return ClockModel(r["b"], r["d"], r["t"], sigma, origin, r["hi"] - r["lo"], median, **kw)

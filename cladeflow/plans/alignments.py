@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cladeflow.functions import dates as dt
+from cladeflow.functions import kmers as km
 from cladeflow.functions import sequences as sq
 from cladeflow.functions.times import micros
 from cladeflow.operators import alignments as al
@@ -125,8 +126,10 @@ def reverse_complements(s, d):
 
 def canonical_kmers(s, d):
     """Canonical 15-mers that occur at least twenty times in all records."""
-    x = sq.kmer_rows(spread(table(s, d, "fasta_record").select("seq")), "seq", 15)
-    return x.groupBy(sq.canonical(F.col("kmer")).alias("kmer")).agg(F.count("*").alias("n")).where("n >= 20")
+    x = spread(table(s, d, "fasta_record").select("seq")).mapInArrow(km.kmer_counts(15), "code long, n long")
+    x = x.groupBy("code").agg(F.sum("n").alias("n")).where("n >= 20")
+    letter = lambda i: F.substring(F.lit("ACGT"), (F.shiftright("code", 2 * (14 - i)).bitwiseAND(F.lit(3)) + 1).cast("int"), F.lit(1))
+    return x.select(F.concat(*(letter(i) for i in range(15))).alias("kmer"), "n")
 
 
 #: fixed value: hashes in a sketch
@@ -135,9 +138,8 @@ SKETCH = 1024
 
 def _sketches(s, d):
     """row_ord, h: the least hashes of a record's canonical 15-mers, ascending."""
-    x = sq.kmer_rows(spread(table(s, d, "fasta_record").select("row_ord", "seq")), "seq", 15, "row_ord")
-    h = x.select("row_ord", sq.kmer_hash(sq.canonical(F.col("kmer"))).alias("h")).groupBy("row_ord").agg(F.collect_set("h").alias("h"))
-    return h.select("row_ord", F.slice(F.array_sort("h"), 1, SKETCH).alias("h"))
+    x = spread(table(s, d, "fasta_record").select("row_ord", "seq"))
+    return x.mapInArrow(km.bottom_sketches(SKETCH), "row_ord long, h array<long>")
 
 
 def kmer_sketch(s, d):

@@ -116,17 +116,21 @@ def dated_trees(s, d):
 
 
 def coselection_sectors(s, d):
-    """Sites in groups by greedy modularity of the co-selection network; one network of sites is one task's matrix."""
-    e = coselection_pairs(s, d).select(F.lit(0).alias("one"), "a", "b", "sim")
+    """Sites in groups by greedy modularity of the co-selection network: groups never join across components, so each
+    component is one task's matrix; a sector is named by its component and its rank in it."""
+    e = stored(coselection_pairs(s, d).select(F.col("a").alias("i"), F.col("b").alias("j"), "sim"))
+    whole = 2 * (e.agg(F.sum("sim")).first()[0] or 0.0)
+    label = gr.components(e)
+    e = e.join(label, e["i"] == label["node"]).select("component", F.col("i").alias("a"), F.col("j").alias("b"), "sim")
 
     def sectors(f: pd.DataFrame) -> pd.DataFrame:
         sites_ = np.unique(np.r_[f["a"], f["b"]])
         w = np.zeros((len(sites_), len(sites_)))
         i, j = np.searchsorted(sites_, f["a"]), np.searchsorted(sites_, f["b"])
         w[i, j] = w[j, i] = f["sim"]
-        return pd.DataFrame({"site": sites_, "sector": kn.modularity_groups(w)})
+        return pd.DataFrame({"component": f["component"].iloc[0], "site": sites_, "sector": kn.modularity_groups(w, whole)})
 
-    return e.groupBy("one").applyInPandas(sectors, "site int, sector int")
+    return e.groupBy("component").applyInPandas(sectors, "component int, site int, sector int")
 
 
 BELOW = "conv(substr(md5(cast({} as string)), 1, 7), 16, 10)"

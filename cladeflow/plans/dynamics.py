@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cladeflow.functions.times import micros
+from cladeflow.operators.prefix_sums import running_sums
 from cladeflow.operators import distances as ds
 from cladeflow.operators import recombination as rc
 from cladeflow.operators import screening as sc
@@ -112,8 +113,7 @@ def stratified_anchors(s, d):
 def landmark_dates(s, d):
     """Taxa at sixteen evenly spaced places of the date order in each clade."""
     a = aligned(s, d).select("taxon", "clade", "date")
-    w = Window.partitionBy("clade").orderBy("date", "taxon")
-    a = a.withColumn("k", F.row_number().over(w) - 1).withColumn("n", F.count("*").over(Window.partitionBy("clade")))
+    a = running_sums(a, ["clade"], ["date", "taxon"], {"at": F.lit(1)}).withColumn("k", F.col("at_run") - 1).withColumn("n", F.col("at_all"))
     at = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.floor(i * (F.col("n") - 1) / 15))
     return a.where(F.array_contains(at, F.col("k"))).select("clade", "taxon")
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from cladeflow.functions import sequences as sq
 from cladeflow.operators import distances as ds
 from cladeflow.operators import graphs as gr
 from cladeflow.plans.alignments import SITES, aligned
@@ -40,10 +40,9 @@ def tn93_screen_edges(s, d):
 
 def distance_summary(s, d):
     """All pairs of all taxa: mean and spread of the distance inside and between clades."""
-    p = ds.imputed(_pairs(s, d, ["hamming"]), "hamming")
-    c = aligned(s, d).select(F.col("taxon").alias("t"), "clade")
-    p = p.join(c.withColumnRenamed("clade", "ci"), F.col("i") == F.col("t")).drop("t").join(c.withColumnRenamed("clade", "cj"), F.col("j") == F.col("t"))
-    return p.groupBy((F.col("ci") == F.col("cj")).alias("same")).agg(F.count("*").alias("pairs"), F.round(F.avg("hamming"), 6).alias("mean"), F.round(F.avg(sq.jukes_cantor(F.col("hamming"))), 6).alias("mean_jc"))
+    corrected = lambda h: -0.75 * np.log(1 - np.minimum(h, 0.7499) * 4 / 3)
+    p = ds.pair_sums(aligned(s, d), "taxon", "seq", "hamming", {"h": lambda h: h, "jc": corrected}, "clade")
+    return p.select("same", "pairs", F.round(F.col("h") / F.col("pairs"), 6).alias("mean"), F.round(F.col("jc") / F.col("pairs"), 6).alias("mean_jc"))
 
 
 def network_degree(s, d):
@@ -67,10 +66,7 @@ def spectral_communities(s, d):
 def effective_sizes(s, d):
     """n^2 over the sum of exp(-100 d) over ordered pairs, the diagonal included, per clade."""
     a = aligned(s, d)
-    p = _pairs(s, d, ["hamming"])
-    c = a.select(F.col("taxon").alias("t"), "clade")
-    same = p.join(c, F.col("i") == F.col("t")).drop("t").join(c.select(F.col("t").alias("t2"), F.col("clade").alias("c2")), (F.col("j") == F.col("t2")) & (F.col("clade") == F.col("c2")))
-    off = same.groupBy("clade").agg(F.sum(F.exp(-100 * F.col("hamming"))).alias("off"))
+    off = ds.pair_sums(a, "taxon", "seq", "hamming", {"off": lambda h: np.exp(-100 * h)}, "clade", within=True).withColumnRenamed("label", "clade")
     n = a.groupBy("clade").agg(F.count("*").alias("n"))
     return n.join(off, "clade", "left").select("clade", "n", F.round(F.col("n") * F.col("n") / (F.col("n") + 2 * F.coalesce("off", F.lit(0.0))), 6).alias("n_eff"))
 

@@ -2,7 +2,28 @@ import math
 import random
 import zlib
 
-from cladeflow.plans.alignments import kmer_sketch, sketch_distances
+from pyspark.sql import functions as F
+
+from cladeflow.functions import kmers as km
+from cladeflow.functions import sequences as sq
+from cladeflow.plans.alignments import canonical_kmers, kmer_sketch, sketch_distances
+
+
+def test_kernels_agree_with_expressions(spark):
+    rnd = random.Random(12)
+    seqs = ["".join(rnd.choice("ACGTacgt-N") if rnd.random() < 0.1 else rnd.choice("ACGT") for _ in range(rnd.randrange(0, 300))) for _ in range(60)] + [None, "", "A" * 40, "ACGT" * 3_000]
+    df = spark.createDataFrame(list(enumerate(seqs)), "k long, seq string").repartition(3)
+    want = sq.kmer_rows(df, "seq", 15, "k").select("k", sq.kmer_hash(sq.canonical(F.col("kmer"))).alias("h")).groupBy("k").agg(F.array_sort(F.collect_set("h")).alias("h")).select("k", F.slice("h", 1, 50).alias("h"))
+    got = df.mapInArrow(km.bottom_sketches(50), "k long, h array<long>")
+    assert {(r["k"], tuple(r["h"])) for r in got.collect()} == {(r["k"], tuple(r["h"])) for r in want.collect()}
+    counts = {r["code"]: r["n"] for r in df.select("seq").mapInArrow(km.kmer_counts(15), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()}
+    texts = {r["c"]: r["n"] for r in sq.kmer_rows(df, "seq", 15).groupBy(sq.canonical(F.col("kmer")).alias("c")).agg(F.count("*").alias("n")).collect()}
+    assert {km.text_of(c, 15): n for c, n in counts.items()} == texts
+
+
+def test_canonical_kmers_of_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "row_ord long, seq string").write.parquet(f"{tmp_path}/fasta_record.parquet")
+    assert canonical_kmers(spark, str(tmp_path)).count() == 0
 
 
 def test_sketch_distances_against_brute_force(spark, tmp_path):
