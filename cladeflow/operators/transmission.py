@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from cladeflow.functions.special import gamma_upper, log_negative_binomial, poisson_cdf
+from cladeflow.operators.distances import pair_distances, pair_sums
 from cladeflow.operators.statistics import bayes_fdr
 
 
@@ -41,6 +42,29 @@ class PairModel:
         return max(math.ceil(math.log(0.01) / math.log(x / (x + 1)) - 1), 0) / self.length
 
 
+#: fixed value: with fewer pairs only those at or over their median distance are background
+LEAST_PAIRS = 500
+
+
+def calibrated(seqs: DataFrame, taxon: str, seq: str, date: str, m: PairModel, kernel: str = "hamming") -> PairModel:
+    """m with the span of the dates and the background of all pairs: the negative binomial of the moments of their substitutions
+    (0.95 and 5 where the variance does not exceed the mean). Only sums leave the tasks; of fewer than LEAST_PAIRS
+    pairs the distances themselves are taken."""
+    span = seqs.agg((F.max(date) - F.min(date)).alias("s")).first()["s"]
+    sub = lambda d: d * m.length
+    got = pair_sums(seqs.withColumn("__one", F.lit(0)), taxon, seq, kernel, {"k": sub, "kk": lambda d: sub(d) ** 2}, "__one").agg(F.sum("pairs").alias("n"), F.sum("k").alias("k"), F.sum("kk").alias("kk")).first()
+    n, k, kk = got["n"] or 0, got["k"] or 0.0, got["kk"] or 0.0
+    if 0 < n < LEAST_PAIRS:
+        each = sorted(r["d"] for r in pair_distances(seqs, taxon, seq, [kernel]).where(F.col(kernel).isNotNull()).select(F.col(kernel).alias("d")).collect())
+        far = sub(np.array([x for x in each if x >= each[len(each) // 2]]))
+        n, k, kk = len(far), float(far.sum()), float((far**2).sum())
+    mean = k / n if n else 0.0
+    var = max(kk / n - mean * mean, 0.0) if n else 0.0
+    p = 1 - mean / var if var > mean > 0 else 0.95
+    r = mean * (1 - p) / p if var > mean > 0 else 5.0
+    return replace(m, span=span if span else m.span, p_bg=p, r_bg=r)
+
+
 def envelope(d: Column, dt: Column, m: PairModel) -> Column:
     """Whether a pair is worth a likelihood: near enough in time and distance."""
     return (dt <= m.most_years) & (d <= 1.5 * (m.base_distance + 2 * m.rate * dt))

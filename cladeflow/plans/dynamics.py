@@ -167,7 +167,9 @@ def envelope_pairs(s, d):
 
 
 def supported_transmissions(s, d):
-    x = tr.supported_pairs(_dated(s, d), ["i", "j"], "d", "dt", MODEL, robust=True)
+    """Pairs under the model whose background and span are calibrated on all pairs."""
+    m = tr.calibrated(aligned(s, d), "taxon", "seq", "date", MODEL)
+    x = tr.supported_pairs(_dated(s, d), ["i", "j"], "d", "dt", m, robust=True)
     return x.select("i", "j", *r6("bayes_factor", "pep", "q_value"))
 
 
@@ -344,6 +346,20 @@ _ATT = f"""with {SITES}, cc as (select clade channel, site, state c from (select
 sx as (select taxon, v.site, channel, case when state = c then 1e0 else 0e0 end score from v join cc using (site)), att as (select *, exp(score) / sum(exp(score)) over (partition by taxon, site) attention from sx)"""
 _FORCE = f"{_ATT}, fo as (select taxon, channel, site, attention - avg(attention) over (partition by site, channel) force from att)"
 
+# log of the upper incomplete gamma ratio for a = k + 1: -x - lgamma(k + 1) + ln of the integral of (x + t)^k e^-t, by Simpson's rule
+_UPPER = "(-{x} - lgamma(k + 1) + ln((select sum((case when j in (0, 3000) then 1 when j % 2 = 1 then 4 else 2 end) * exp(k * ln({x} + j * 0.02e0) - j * 0.02e0)) * 0.02e0 / 3 from range(0, 3001) g(j))))"
+_SUPPORTED = f"""with {_COUNT.format('')}, al as (select i, j, diff / tot d, abs((i * 37 % 240) - (j * 37 % 240)) / 12e0 dt from n),
+bg as (select avg(d * 64) m, var_pop(d * 64) v, (select (max(vec_id * 37 % 240) - min(vec_id * 37 % 240)) / 12e0 from embeddings) sp from al),
+bp as (select sp, case when v > m and m > 0 then 1 - m / v else 0.95e0 end p, case when v > m and m > 0 then m * (m / v) / (1 - m / v) else 5e0 end r from bg),
+c as (select i, j, d * 64 k, dt from al where d <= {NEAR}e0 and dt <= 20 and d <= 1.5e0 * ({MODEL.base_distance!r}e0 + 2 * 0.002e0 * dt)),
+mo(rate, tau) as (values (1.5e-3, 0.05e0), (1.5e-3, 3e0), (3.5e-3, 0.05e0), (3.5e-3, 3e0)),
+x as (select i, j, k, dt, rate, tau, 2 * rate * 64 b, 2 * rate * 64 + 1 / tau cc, sp, greatest(lgamma(k + r) - lgamma(r) - lgamma(k + 1) + r * ln(1 - p) + k * ln(p), ln(1e-300)) + ln(greatest(2 / sp * (1 - least(dt, greatest(sp - 1, sp / 2)) / sp), 1e-6 / sp)) lu from c, mo, bp),
+y as (select *, case when dt <= 1e-15 then ln(1 - b * tau / (b * tau + 1)) + k * ln(b * tau / (b * tau + 1)) else dt / (2 * tau) + k * ln(b) - (k + 1) * ln(cc) - ln(tau) + greatest({_UPPER.format(x='(cc * greatest(dt, 1e-15) / 2)')}, ln(1e-300)) end ll,
+ case when rate * 64 * dt <= 0 then 1 else (select sum(exp(q * ln(rate * 64 * dt) - rate * 64 * dt - lgamma(q + 1))) from range(0, floor(k)::bigint + 1) g(q)) end fit from x),
+z as (select i, j, min(case when fit >= 0.05e0 then exp(least(greatest(ll, ln(1e-300)) - dt - lu, 700)) else 0 end) bf from y group by all),
+pq as (select *, case when bf > 0 then 1 / (1 + bf) else 1e0 end pep from z), ur as (select *, avg(pep) over (order by pep, i, j rows unbounded preceding) ru from pq)
+select i, j, round(bf, 6) bayes_factor, round(pep, 6) pep, round(min(ru) over (order by pep, i, j rows between current row and unbounded following), 6) q_value from ur"""
+
 # four levels: world, regions, nations, customers
 _LEAST = "floor(log2(({0} & (-{0}))::double))::int"
 _UP = "case when bit_and({0}) <> 0 then bit_and({0}) else bit_or({0}) end"
@@ -375,6 +391,7 @@ ORACLE = {
     "phenotype_vector": "with y as (select row_ord, case when regexp_matches(lower(name), 'duck|gull|swan') then 1e0 else 0e0 end y from fasta_record where name is not null) select row_ord, round((y - avg(y) over ()) / greatest(stddev_pop(y) over (), 1e-12), 6) z from y",
     "coselection_pairs": f"with {SITES}, cs as (select site, state c from (select *, row_number() over (partition by site order by n desc, state) r from (select site, state, count(*) n from v group by all)) where r = 1), dev as (select taxon, site from v join cs using (site) where state <> c), nn as (select site, count(*) n from dev group by 1), p as (select a.site a, b.site b, count(*) shared from dev a join dev b on a.taxon = b.taxon and a.site < b.site group by all), q as (select a, b, shared, shared / sqrt(x.n * y.n) sim from p join nn x on a = x.site join nn y on b = y.site) select a, b, shared, round(sim, 6) sim, round(sim * sqrt((select count(*) - 2 from embeddings) / greatest(1e-9, 1 - sim * sim)), 4) t from q where shared >= 3 and sim >= 0.3e0",
     "envelope_pairs": f"{_NEARD} select i, j, round(d, 6) d, round(dt, 6) dt from dd where dt <= 20 and d <= 1.5e0 * ({MODEL.base_distance!r}e0 + 2 * 0.002e0 * dt)",
+    "supported_transmissions": _SUPPORTED,
     "active_population": f"with {_COUNT.format('')}, dd as (select ci clade, count(*) e from n where diff / tot <= {NEAR}e0 group by 1), a as (select label clade, count(*) n from embeddings group by 1), x as (select clade, n, coalesce(e, 0) e from a left join dd using (clade)) select clade, n, e, round(2e0 * e / n, 4) theta, round(greatest(0e0, least(1e0, 2e0 * e / n / 1.5e0)), 4) rho, round(1.5e0 * n * n / (2e0 * e), 4) active, round(1.5e0 * n * n / (2e0 * e) * exp(-1.959963984540054e0 / sqrt(e)), 4) low, round(1.5e0 * n * n / (2e0 * e) * exp(1.959963984540054e0 / sqrt(e)), 4) high from x",
     "reproduction_numbers": f"with {_E}, c as (select event_type, floor(t) x, ln(count(*)) y from e group by all), g as (select event_type, regr_slope(y, x) * 365.25e0 growth from c group by 1) select event_type, round(growth, 6) growth, round(1 + growth * 0.02e0, 6) sir, round((1 + growth * 0.01e0) * (1 + growth * 0.02e0), 6) seir, round(case when 1 + growth * 0.005e0 > 0 then power(1 + growth * 0.005e0, 4) else 0e0 end, 6) gamma, round(ln(2e0) / growth, 6) doubling from g",
     "migration_flux": f"with {_COUNT.format('')}, f as (select least(ci, cj) a, greatest(ci, cj) b, sum(1 - diff / tot) w from n where diff / tot <= 0.6e0 group by all), c as (select label, count(*) n from embeddings group by 1) select a, b, round(w / (x.n * y.n), 8) flux from f join c x on a = x.label join c y on b = y.label",

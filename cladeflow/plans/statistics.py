@@ -136,7 +136,7 @@ def quantization_audit(s, d):
 
 def lrt_pvalues(s, d):
     x = table(s, d, "orthomam_site_selection").select("gene_id", "site_1idx", "lrt")
-    return x.select("gene_id", "site_1idx", st.lrt_site_p("lrt").alias("p_site"), st.lrt_gene_p("lrt").alias("p_gene"))
+    return x.select("gene_id", "site_1idx", F.round(st.lrt_site_p("lrt"), 9).alias("p_site"), F.round(st.lrt_gene_p("lrt"), 9).alias("p_gene"))
 
 
 def precision_ensemble(s, d):
@@ -191,6 +191,7 @@ ORACLE = {
     "audit_right_join": "select g.gene_id, num_codons, coalesce(n, 0) delivered from (select gene_id, count(*) n from orthomam_site_selection group by all) s right join orthomam_gene_selection g using (gene_id)",
     "anomaly_census": "select regexp_split_to_array(defline, '[ |_]')[1] kind, count(*) n from fasta_record where defline is not null group by 1",
     "quantization_audit": "with m as (select try_cast(trim(date) as double) y, loaded_at from h5n1_ha_metadata), k as (select strftime(loaded_at, '%Y-%m') \"month\", (abs(y - round(y)) < 0.005e0 or abs(y - floor(y) - 0.5e0) < 0.005e0)::int::double q from m where y >= 1900 and y < 2100 and loaded_at is not null) select \"month\", count(*) n, round(avg(q), 6) share, avg(q) > 0.8 quantized from k group by all",
+    "lrt_pvalues": "with l as (select gene_id, site_1idx, case when lrt > 0 and not isnan(lrt) then lrt end x from orthomam_site_selection), u as (select x, case when x > 80 then 0e0 else 1 - (select sum(exp((0.5e0 + j) * ln(x / 2) - x / 2 - lgamma(1.5e0 + j))) from range(0, 300) g(j)) end t from (select distinct x from l where x is not null)) select gene_id, site_1idx, round(case when l.x is null then 2 / 3e0 else 2 / 3e0 * (0.45e0 * t + 0.55e0 * exp(-l.x / 2)) end, 9) + 0e0 p_site, round(case when l.x is null then 1e0 else 0.5e0 * t end, 9) + 0e0 p_gene from l left join u on l.x = u.x",
     "quadratic_vs_line": "with e as (select event_type, ((epoch_us(ts) - 1704067200000000) / 86400e6) / 30 - 0.5e0 x, value y from events), a as (select event_type, count(*)::double n, sum(x) s1, sum(power(x, 2)) s2, sum(power(x, 3)) s3, sum(power(x, 4)) s4, sum(y) t0, sum(x * y) t1, sum(x * x * y) t2, sum(y * y) yy from e group by 1), b as (select *, n * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s3 * s2) + s2 * (s1 * s3 - s2 * s2) det from a), c as (select *, (t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - s3 * t2) + s2 * (t1 * s3 - s2 * t2)) / det c0, (n * (t1 * s4 - s3 * t2) - t0 * (s1 * s4 - s3 * s2) + s2 * (s1 * t2 - t1 * s2)) / det c1, (n * (s2 * t2 - t1 * s3) - s1 * (s1 * t2 - t1 * s2) + t0 * (s1 * s3 - s2 * s2)) / det c2, (n * t1 - s1 * t0) / (n * s2 - s1 * s1) b from b), r as (select *, yy - c0 * t0 - c1 * t1 - c2 * t2 r2, yy - t0 * t0 / n - b * (t1 - s1 * t0 / n) r1 from c) select event_type, round(r1, 3) rss_line, round(r2, 3) rss_parabola, round(c2, 4) curvature, n * ln(r2 / n) + 8 + 40 / (n - 5) < n * ln(r1 / n) + 6 + 24 / (n - 4) prefers_parabola from r",
     "precision_ensemble": f"with {_FIT} select round(sum(slope / (se_slope * se_slope)) / sum(1 / (se_slope * se_slope)), 6) slope, round(sqrt(1 / sum(1 / (se_slope * se_slope))), 6) se, count(*) models from g",
 }
