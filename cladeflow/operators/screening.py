@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cladeflow.operators.resampling import draw_key
 from cladeflow.operators.statistics import linear_percentiles
 
 
@@ -67,15 +68,15 @@ def status(m: ClockModel, t: Column, missing: Column, n_missing: Column, d: Colu
     )
 
 
-def draw_anchors(records: DataFrame, taxon: str, t: str, most: int = 1024, bins: int = 32, seed: int = 42) -> DataFrame:
-    """The dated records that calibrate a clock: an equal number from each of `bins` spans of time, by hash
-    order, at most `most` in all."""
+def draw_anchors(records: DataFrame, taxon: str, t: str, most: int = 1024, bins: int = 32) -> DataFrame:
+    """The dated records that calibrate a clock: an equal number from each of `bins` spans of time, in the order of
+    their digests, at most `most` in all."""
     x = records.where(F.col(t).isNotNull())
     ends = x.agg(F.min(t).alias("lo"), F.max(t).alias("hi"))
     span = F.col("hi") - F.col("lo")
     x = x.join(F.broadcast(ends)).withColumn("__bin", F.when(span > 0, F.least(F.floor((F.col(t) - F.col("lo")) / span * bins), F.lit(bins - 1))).otherwise(0))
     # the limit on the rank cuts every partition to its own least keys before rows move
-    w = Window.partitionBy("__bin").orderBy(F.xxhash64(F.lit(seed), F.col(taxon)), taxon)
+    w = Window.partitionBy("__bin").orderBy(draw_key(taxon), taxon)
     return x.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= max(1, most // bins)).select(*records.columns)
 
 

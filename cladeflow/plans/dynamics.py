@@ -14,7 +14,7 @@ from cladeflow.operators import transmission as tr
 from cladeflow.operators import trees as te
 from cladeflow.operators.alignments import consensus
 from cladeflow.plans.alignments import SITES, aligned, plain_base, sites
-from cladeflow.plans.networks import _COUNT, NEAR, _near, _pairs
+from cladeflow.plans.networks import NEAR, _COUNT, _D, _FLOOR, _FORM, _near, _pairs
 from cladeflow.session import spread, stored, table
 from cladeflow.streaming import screen as ss
 
@@ -287,7 +287,7 @@ def screening_model(s, d):
 
 def triage_status(s, d):
     x, m, anchors = screening_model(s, d)
-    return ss.screen(spread(x), m, anchors, "taxon", "d", "date", "seq").select("taxon", "status", F.round("predicted_date", 4).alias("predicted"), F.round("z", 4).alias("z"))
+    return ss.screen(spread(x), m, anchors, "taxon", "d", "date", "seq").select("taxon", "status", F.round("predicted_date", 4).alias("predicted"), (F.round("z", 4) + 0.0).alias("z"))
 
 
 # recombination
@@ -360,6 +360,22 @@ z as (select i, j, min(case when fit >= 0.05e0 then exp(least(greatest(ll, ln(1e
 pq as (select *, case when bf > 0 then 1 / (1 + bf) else 1e0 end pep from z), ur as (select *, avg(pep) over (order by pep, i, j rows unbounded preceding) ru from pq)
 select i, j, round(bf, 6) bayes_factor, round(pep, 6) pep, round(min(ru) over (order by pep, i, j rows between current row and unbounded following), 6) q_value from ur"""
 
+# halves of 32 sites share too few with any anchor to be scored, so no record of this alignment is a chimera
+_TRIAGE = f"""with {SITES}, f as (select label clade, arg_min(vec_id, (vec_id * 37 % 240) * 1000000000 + vec_id) t from embeddings group by 1),
+rd as (select v.taxon, count(*) filter (v.state <> r.state) / count(*) d from v join f using (clade) join v r on r.taxon = f.t and r.site = v.site group by 1),
+re as (select s.taxon, any_value(s.date) t, count(*) filter (s.state = '-') miss, count(*) len from sites s group by 1),
+rr as (select re.*, rd.d from re left join rd using (taxon)), en as (select min(t) lo, max(t) hi from rr),
+an as (select taxon, t, d from (select rr.*, row_number() over (partition by case when hi > lo then least(31, floor((t - lo) / (hi - lo) * 32)) else 0 end order by ('0x' || substr(md5(taxon::varchar), 1, 8))::bigint, taxon) r from rr, en) where r <= 32),
+cm as (select regr_slope(d, t) b, avg(t) filter (d is not null) tr, avg(d) d0, regr_syy(d, t) yy, regr_sxy(d, t) xy, count(d) n, min(t) filter (d is not null) lo, max(t) filter (d is not null) hi, median(d) med from an),
+cl as (select *, sqrt(greatest(yy - b * xy, 0) / n) sg, hi - lo sp, case when b > 1e-12 then least(tr - d0 / b, lo) else lo end og from cm),
+n as (select a.taxon i, b.taxon j, count(*) tot, count(*) filter (a.state <> b.state) diff, {", ".join(f"count(*) filter (a.state = '{x}') + count(*) filter (b.state = '{x}') n{x}" for x in "ACGT")}, count(*) filter (a.state in ('A', 'G') and b.state in ('A', 'G') and a.state <> b.state) ag, count(*) filter (a.state in ('C', 'T') and b.state in ('C', 'T') and a.state <> b.state) ct from v a join v b on a.site = b.site join an on b.taxon = an.taxon group by all), {_FORM.format(f=_FLOOR)},
+di as (select i, j, case when tot >= 50 then greatest(case when least(a1, a2, a3) <= 0 then h else {_D} end, 0) else 1 end dn from x),
+nn as (select i, j, dn from (select *, row_number() over (partition by i order by round(dn, 12), j) r from di) where r = 1),
+ev as (select rr.taxon, rr.t, rr.d, miss, miss / len missing, dn nn, an.t nt, cl.*, (rr.d - (d0 + b * (rr.t - tr))) / greatest(sg, 1e-12) z, case when b > 1e-7 then tr + (rr.d - d0) / b end pr from rr join nn on nn.i = rr.taxon join an on an.taxon = nn.j, cl),
+ex as (select *, coalesce((pr - t) * 365.25e0, 0) er, z > 2.5 and (nn > 1.25e0 * med or abs(nt - t) <= 1.5e0) exc from ev)
+select taxon, case when missing > 0.05e0 then 'SUS_LOW_QUALITY' when nn > greatest(0.08e0, 3.5e0 * med) then 'SUS_CONTAMINANT' when d <= 0.0002e0 and t >= og + 0.6e0 * sp and z <= -2.5 then 'SUS_ARCHIVAL' when exc and (miss > 10 or missing > 0.02e0) then 'SUS_LOW_QUALITY' when exc then 'SUS_HYPERMUTATED'
+ when ((abs(er) > 60 and abs(z) >= 2) or abs(er) > greatest(365.25e0, 0.75e0 * sp * 365.25e0)) and nn <= 2.5e0 * greatest(med, 0.001e0) then 'SUS_DATE_MISMATCH' else 'PASS' end status, {{}} from ex"""
+
 # four levels: world, regions, nations, customers
 _LEAST = "floor(log2(({0} & (-{0}))::double))::int"
 _UP = "case when bit_and({0}) <> 0 then bit_and({0}) else bit_or({0}) end"
@@ -406,6 +422,7 @@ ORACLE = {
     "site_attention": f"{_ATT} select taxon, channel, round(avg(attention), 6) mean, round(max(attention), 6) top from att group by all",
     "cumulative_momentum": f"{_FORCE}, m as (select taxon, channel, sum(force) over w mo, sum(force) over w - row_number() over w / count(*) over z * sum(force) over z br, sum(greatest(force, 0)) over (w rows between 49 preceding and current row) wi from fo window w as (partition by taxon, channel order by site), z as (partition by taxon, channel)) select taxon, channel, round(max(mo), 6) + 0e0 momentum, round(max(br), 6) + 0e0 bridge, round(max(wi), 6) + 0e0 \"window\" from m group by all",
     "best_tracts": f"{_FORCE}, c as (select *, sum(force) over (partition by taxon, channel order by site) c from fo), g as (select taxon, channel, c - min(c - force) over (partition by taxon, channel order by site) g from c) select taxon, channel, round(max(g), 6) gain from g group by all having max(g) >= 0.05e0",
+    "triage_status": _TRIAGE.format("round(pr, 4) predicted, round(z, 4) + 0e0 z"),
     "landmark_prior": f"with {SITES}, f as (select label clade, arg_min(vec_id, (vec_id * 37 % 240) * 1000000000 + vec_id) t from embeddings group by 1), p as (select v.taxon, count(*) n, count(*) filter (v.state <> r.state) k from v join f using (clade) join v r on r.taxon = f.t and r.site = v.site group by 1) select taxon, round(ln(0.05e0 + 0.95e0 * exp(-5 * (-0.75e0 * ln(1 - least(k / n, 0.7499e0) * 4 / 3e0)))), 6) + 0e0 log_prior from p",
     "tract_tests": f"with {SITES}, f as (select label clade, min(vec_id) t from embeddings group by 1), tt as (select vec_id child, h.t home, g.t donor from embeddings e join f h on e.label = h.clade join f g on g.clade = e.label + 1), x as (select child, donor, c.site between 16 and 31 s, c.state = o.state and c.state <> h.state don, c.state = h.state and c.state <> o.state hom from tt join v c on c.taxon = child join v h on h.taxon = home and h.site = c.site join v o on o.taxon = donor and o.site = c.site), q as (select child, donor, count(*) filter (s and don) a, count(*) filter (s and hom) b, count(*) filter (not s and don) c, count(*) filter (not s and hom) d from x group by all), k as (select *, unnest(range(a, least(a + b, a + c) + 1)) k from q) select child, donor, a, b, c, d, round(least(1e0, sum(exp(lgamma(a + b + 1) + lgamma(c + d + 1) + lgamma(a + c + 1) + lgamma(b + d + 1) - lgamma(a + b + c + d + 1) - lgamma(k + 1) - lgamma(a + b - k + 1) - lgamma(a + c - k + 1) - lgamma(d - a + k + 1)))), 6) p from k group by all",
 }

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from cladeflow.plans.dynamics import screening_model
+from cladeflow.plans.dynamics import _TRIAGE, screening_model
 from cladeflow.session import shared_dir, table
 from cladeflow.streaming import screen as ss
 
@@ -34,7 +34,7 @@ def stream_triage(s, d):
     x.write.parquet(path)
     stream = s.readStream.schema(x.schema).parquet(path)
     out = ss.run_to_table(ss.screen(stream, m, anchors, "taxon", "d", "date", "seq"), _at(s))
-    return out.select("taxon", "status", F.round("z", 4).alias("z"))
+    return out.select("taxon", "status", (F.round("z", 4) + 0.0).alias("z"))
 
 
 def stream_sessions(s, d):
@@ -47,5 +47,6 @@ def stream_sessions(s, d):
 QUERIES = {f.__name__: f for f in (stream_event_windows, stream_triage, stream_sessions)}
 ORACLE = {
     "stream_event_windows": "select strftime(time_bucket(interval 6 hours, ts, timestamp '2024-01-01'), '%Y-%m-%d %H:%M:%S') \"start\", event_type, count(*) n, round(sum(value), 4) total from events group by all",
+    "stream_triage": _TRIAGE.format("round(z, 4) + 0e0 z"),
     "stream_sessions": "with e as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 4 hours then 0 else 1 end f from events), s as (select *, sum(f) over (partition by user_id order by ts rows unbounded preceding) k from e) select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') \"start\", count(*) n from s group by user_id, k",
 }
