@@ -1,9 +1,9 @@
 import pytest
 
-from cladeflow.plans import alignments, assembly, core_problems, dynamics, inference, models, networks, statistics, streams
+from cladeflow.plans import alignments, assembly, core_problems, dynamics, files, inference, models, networks, statistics, streams
 from tests.oracle import DATA, check, needs_data
 
-MODULES = (core_problems, statistics, alignments, networks, dynamics, models, assembly, inference, streams)
+MODULES = (core_problems, statistics, alignments, networks, dynamics, models, assembly, inference, files, streams)
 SQL = {k: (m.QUERIES[k], s) for m in MODULES for k, s in m.ORACLE.items()}
 PLAIN = {k: f for m in MODULES for k, f in m.QUERIES.items() if k not in m.ORACLE}
 
