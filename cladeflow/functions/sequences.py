@@ -34,6 +34,11 @@ def base_number(letter: Column) -> Column:
     return F.when(F.length(letter) == 1, F.instr(F.lit("ACGT"), F.translate(F.upper(letter), "U", "T")) - 1).otherwise(-1)
 
 
+def base_code(letter: Column) -> Column:
+    """1 to 4 for A, C, G, T (U as T), 0 otherwise."""
+    return base_number(letter) + 1
+
+
 def distance_code(letter: Column) -> Column:
     """Number in CODE_ORDER; unknown letters count as gap."""
     n = F.instr(F.lit(CODE_ORDER), F.upper(letter))

@@ -95,6 +95,65 @@ def energy_floor(profiles: DataFrame, group: list[str], y: str, span: float, pea
     return x.where((F.col("peak") >= peak) & (F.col("area") >= floor))
 
 
+#: fixed values: decay rates of a soft root, in units of one over the span of the dates
+DECAYS = (0.5, 1.0, 2.0, 5.0, 10.0, 20.0)
+
+
+def soft_divergence(sites: DataFrame) -> DataFrame:
+    """taxon, gamma, distance: divergence of every dated taxon from a soft root, a profile of the bases at each site in which earlier samples
+    weigh exp(gamma) a year more. Of six decay rates the one with the best correlation of distance and date counts (ties: the
+    first). sites: taxon, date, site, state.
+
+    The distance is the expected Tamura-Nei one over a taxon's valid sites, the expected share of differing sites where the
+    formula fails. Profiles are (gamma, site) rows; nothing else is as wide as the sites."""
+    x = sites.where(F.col("state").isin(*"ACGT") & F.col("date").isNotNull())
+    ends = sites.where(F.col("date").isNotNull()).agg(F.min("date").alias("t0"), (F.max("date") - F.min("date")).alias("span"))
+    grid = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(c).alias("c")) for k, c in enumerate(DECAYS))))
+    weight = F.exp(-F.col("g") * (F.col("date") - F.col("t0")))
+    profile = x.join(F.broadcast(ends)).where("span > 0").select("site", "state", "date", "t0", "span", grid.alias("x")).select("site", "state", "date", "t0", F.col("x.k").alias("k"), (F.col("x.c") / F.col("span")).alias("g"))
+    profile = profile.groupBy("k", "g", "site").agg(*(F.sum(F.when(F.col("state") == b, weight).otherwise(0.0)).alias(f"w{b}") for b in "ACGT"))
+    whole = sum((F.col(f"w{b}") for b in "ACGT"), F.lit(0.0))
+    profile = profile.select("k", "g", "site", *((F.col(f"w{b}") / whole).alias(f"q{b}") for b in "ACGT"))
+    mean_q = profile.groupBy("k").agg(*(F.avg(f"q{b}").alias(f"m{b}") for b in "ACGT"))
+    near = {"A": ("G", "C", "T"), "G": ("A", "C", "T"), "C": ("T", "A", "G"), "T": ("C", "A", "G")}
+    at = lambda pick: F.coalesce(*(F.when(F.col("state") == b, pick(b)) for b in "ACGT"))
+    ts, tv = at(lambda b: F.col(f"q{near[b][0]}")), at(lambda b: F.col(f"q{near[b][1]}") + F.col(f"q{near[b][2]}"))
+    pur = F.col("state").isin("A", "G")
+    e = x.select("taxon", "date", "site", "state").join(profile, "site").groupBy("k", "g", "taxon", "date").agg(
+        F.count("*").alias("n"), F.sum(F.when(pur, ts).otherwise(0.0)).alias("p1"), F.sum(F.when(~pur, ts).otherwise(0.0)).alias("p2"), F.sum(tv).alias("q"), *(F.count_if(F.col("state") == b).alias(f"n{b}") for b in "ACGT")
+    )
+    e = e.join(F.broadcast(mean_q), "k")  # six rows
+    f = {b: F.greatest(0.5 * (F.col(f"m{b}") + F.col(f"n{b}") / F.col("n")), F.lit(1e-4)) for b in "ACGT"}
+    e = e.select("k", "g", "taxon", "date", (F.col("p1") / F.col("n")).alias("p1"), (F.col("p2") / F.col("n")).alias("p2"), (F.col("q") / F.col("n")).alias("q"), *(f[b].alias(f"f{b}") for b in "ACGT"))
+    fa, fc, fg, ft = (F.col(f"f{b}") for b in "ACGT")
+    r, y = fa + fg, fc + ft
+    k1, k2, k3 = 2 * fa * fg / r, 2 * fc * ft / y, 2 * (r * y - fa * fg * y / r - fc * ft * r / y)
+    a1, a2, a3 = 1 - F.col("p1") / k1 - F.col("q") / (2 * r), 1 - F.col("p2") / k2 - F.col("q") / (2 * y), 1 - F.col("q") / (2 * r * y)
+    plain = F.col("p1") + F.col("p2") + F.col("q")
+    ok = (a1 > 0) & (a2 > 0) & (a3 > 0)
+    d = F.when(ok, -k1 * F.log(F.when(a1 > 0, a1)) - k2 * F.log(F.when(a2 > 0, a2)) - k3 * F.log(F.when(a3 > 0, a3)))
+    e = e.select("k", F.col("g").alias("gamma"), "taxon", "date", F.when(d >= 0, d).otherwise(plain).alias("distance"))
+    fit = e.groupBy("k").agg(F.coalesce(F.corr("date", "distance"), F.lit(-1.0)).alias("r")).agg(F.min_by("k", F.struct(-F.col("r"), "k")).alias("best"))
+    return e.join(F.broadcast(fit), F.col("k") == F.col("best")).select("taxon", "gamma", "distance")
+
+
+def domain_of(positions: DataFrame, position: str, domains: DataFrame, default: str = "outside") -> DataFrame:
+    """positions plus domain: the name of the first interval (domains: name, first, last) that holds the position, by first and name;
+    `default` outside of all. Domains are looked up by cells of a hundred positions, so it is an equi-join whatever their number."""
+    cell = lambda c: F.floor(c / 100)
+    d = domains.where("first <= last").select(F.col("name").alias("__d"), F.col("first").alias("__a"), F.col("last").alias("__z"), F.explode(F.sequence(cell(F.col("first")), cell(F.col("last")))).alias("__c"))
+    hit = positions.select(position).distinct().join(d, (cell(F.col(position)) == F.col("__c")) & F.col(position).between(F.col("__a"), F.col("__z")))
+    named = hit.groupBy(F.col(position).alias("__p")).agg(F.min(F.struct("__a", "__d")).alias("b")).select("__p", F.col("b.__d").alias("__name"))
+    return positions.join(named, F.col(position) == F.col("__p"), "left").select(*positions.columns, F.coalesce("__name", F.lit(default)).alias("domain"))
+
+
+def canonical_columns(sites: DataFrame, taxon: str) -> DataFrame:
+    """position, site: which column of an alignment holds the n-th letter (from 1) of the reference taxon. sites: taxon, site, state. The
+    window is as long as the alignment."""
+    w = Window.orderBy("site")
+    return sites.where((F.col("taxon") == taxon) & (F.col("state") != "-")).select(F.row_number().over(w).alias("position"), "site")
+
+
 #: fixed values: how much a Bayes factor supports a route
 SUPPORT = ((100.0, "Decisive (BF >= 100)"), (10.0, "Strong (10 <= BF < 100)"), (3.0, "Substantial (3 <= BF < 10)"), (-math.inf, "Unsupported (BF < 3)"))
 

@@ -7,6 +7,8 @@ taxa are an error rather than a task that cannot end.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 from cladeflow.operators import distances as ds
 from cladeflow.operators import kernels as kn
 from cladeflow.operators.prefix_sums import running_sums
+from cladeflow.session import stored
 
 MOST = 5000
 
@@ -122,6 +125,113 @@ def joined_tree(f: pd.DataFrame, d: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame([{"newick": kn.newick_text(nodes), "tips": len(depth), "height": float(y.max()) if len(y) else None, "rate": rate}])
 
 
+@dataclass(frozen=True)
+class SplitRules:
+    """When a community of taxa is split no further."""
+
+    min_leaf: int = 8
+    max_depth: int = 4
+    max_k: int = 6
+    min_span: float = 1.0
+    min_gain: float = 4.0
+    min_gap: float = 0.005
+    max_rate_spread: float = 0.25
+
+
+def _line(t: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
+    """(rate, residual sum, share explained) of the line of y on t; a flat one without spread of t."""
+    y, t = y[np.isfinite(y)], t[np.isfinite(y)]
+    tss = float(((y - y.mean()) ** 2).sum()) if len(y) else 0.0
+    stt = float(((t - t.mean()) ** 2).sum()) if len(t) else 0.0
+    if stt < 1e-12:
+        return 0.0, tss, 0.0
+    b = float(((t - t.mean()) * (y - y.mean())).sum() / stt)
+    return b, max(tss - b * b * stt, 0.0), b * b * stt / tss if tss > 0 else 0.0
+
+
+def split_community(t: np.ndarray, d: np.ndarray, depth: int, parent: tuple[float, float] | None, rules: SplitRules) -> tuple[np.ndarray, str]:
+    """(labels, why): the clusters of one community, -1 for taxa of clusters under min_leaf, or all 0 and the rule that stopped it.
+
+    Clusters are those of the affinity's leading vectors, as many as give the least AICc of one clock per cluster.
+    Rules in order: depth, size, span of the dates, gain in AICc over a single clock, gap in the spectrum, fewer than two clusters
+    of min_leaf, and clusters that tick alike though the parent's clock was a good one (r2 over 0.2)."""
+    n = len(t)
+    whole = np.zeros(n, int)
+    if depth >= rules.max_depth:
+        return whole, "max_depth"
+    if n < 2 * rules.min_leaf:
+        return whole, "min_leaf"
+    if np.ptp(t) < rules.min_span:
+        return whole, "min_span"
+    full = filled(d)
+    w = np.exp(-(full**2) / (2 * kn.adaptive_sigma(full) ** 2))
+    most = min(rules.max_k, max(2, n // rules.min_leaf))
+
+    def clocks(label: np.ndarray) -> list[tuple[float, float, float]]:
+        out = []
+        for c in np.unique(label):
+            at = np.flatnonzero(label == c)
+            out.append(_line(t[at], d[at[t[at].argmin()], at]))
+        return out
+
+    tried = {k: kn.clusters_of(w, k) for k in range(1, most + 1)}
+    score = {k: kn.aicc(sum(x[1] for x in clocks(label)), n, 3 * k) for k, label in tried.items()}
+    best = min(score, key=lambda k: (score[k], k))
+    gain = score[1] - score[best]
+    if best == 1 or gain < rules.min_gain:
+        return whole, "no_gain"
+    gaps = np.diff(np.linalg.eigvalsh(kn.normalised_laplacian(w))[: most + 1])
+    if gaps.max(initial=0.0) < rules.min_gap and gain < 100:
+        return whole, "no_gap"
+    label = tried[best].copy()
+    names, size = np.unique(label, return_counts=True)
+    kept = names[size >= rules.min_leaf]
+    if len(kept) < 2:
+        return whole, "small_clusters"
+    rates = [_line(t[label == c], d[np.flatnonzero(label == c)[t[label == c].argmin()], label == c])[0] for c in kept]
+    if parent is not None and parent[1] > 0.2 and min(rates) > 0 and (max(rates) - min(rates)) / max(rates) < rules.max_rate_spread:
+        return whole, "alike"
+    label[~np.isin(label, kept)] = -1
+    return label, "split"
+
+
+def deconvolve(df: DataFrame, group: str, rules: SplitRules | None = None, most: int = MOST) -> DataFrame:
+    """taxon, path, why for every taxon with a sequence and a date: the community it ends in (the group, then the numbers of the clusters
+    from level to level) and what stopped there; taxa set aside as outliers of a split have the path of the community split and why
+    `outlier`.
+
+    A level is one grouped kernel over the communities still open; levels end with the rules' depth at the latest. A community is one
+    task's matrix, so groups over `most` taxa are an error, as in per_group."""
+    rules = rules or SplitRules()
+    kind = dict(df.dtypes)["taxon"]
+    now = stored(df.where(F.col("seq").isNotNull() & F.col("date").isNotNull()).select("taxon", "date", "seq", F.col(group).cast("string").alias("path"), F.lit(None).cast("double").alias("rate"), F.lit(None).cast("double").alias("r2")))
+    done: list[DataFrame] = []
+
+    def at(depth: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+        def level(f: pd.DataFrame) -> pd.DataFrame:
+            if len(f) > most:
+                raise ValueError(f"a community has more than {most} taxa")
+            f = f.sort_values("taxon").reset_index(drop=True)
+            t, d = f["date"].to_numpy(float), distance_matrix(f["seq"].tolist())
+            up = None if np.isnan(f["rate"].iloc[0] if f["rate"].iloc[0] is not None else np.nan) else (f["rate"].iloc[0], f["r2"].iloc[0])
+            label, why = split_community(t, d, depth, up, rules)
+            rate, _, r2 = _line(t, d[int(t.argmin())])
+            path = f["path"].iloc[0]
+            f["why"] = [why if why != "split" else "outlier" if x < 0 else "split" for x in label]
+            f["path"] = [f"{path}/{x}" if why == "split" and x >= 0 else path for x in label]
+            return f.assign(rate=rate, r2=r2)[["taxon", "date", "seq", "path", "rate", "r2", "why"]]
+
+        return level
+
+    for depth in range(rules.max_depth + 1):
+        got = stored(now.groupBy("path").applyInPandas(at(depth), f"taxon {kind}, date double, seq string, path string, rate double, r2 double, why string"))
+        done.append(got.where("why <> 'split'").select("taxon", "path", "why"))
+        now = got.where("why = 'split'").drop("why")
+        if now.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, done)
+
+
 SCHEMAS = {
     clock_models: "model string, rss double, aicc double, rate double, origin double, detail double",
     bootstrap_origin: "low double, high double",

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cladeflow.operators.kernels import modularity_cut
 from cladeflow.session import stored
 
 
@@ -43,11 +44,12 @@ def cluster_summary(edges: DataFrame, label: DataFrame, weight: str) -> DataFram
 
 
 def spectral_bisection(edges: DataFrame, label: DataFrame, weight: str, min_size: int = 3, max_depth: int = 3, max_conductance: float = 0.65, max_nodes: int = 4096) -> DataFrame:
-    """node, path: each component split by the sign of its Fiedler vector, level by level, as long
-    as both parts have min_size nodes and the cut's conductance is at most max_conductance.
+    """node, path: each component split along its Fiedler vector, level by level, as long
+    as both parts have min_size nodes and the cut's conductance is at most max_conductance. Of the cuts along the vector the one
+    with the best modularity is taken.
 
-    A level is one grouped kernel keyed by path. Parts over max_nodes are split by the same rule on
-    the edge table (fiedler_signs), as a dense eigenproblem of that size belongs in no task."""
+    A level is one grouped kernel keyed by path. Parts over max_nodes are split on
+    the edge table (fiedler_signs) by the vector's sign, as a dense eigenproblem of that size belongs in no task."""
     now = stored(label.select("node", F.concat(F.col("component").cast("string"), F.lit(":")).alias("path"), F.lit(False).alias("stopped")))
 
     def split(f: pd.DataFrame) -> pd.DataFrame:
@@ -66,7 +68,12 @@ def spectral_bisection(edges: DataFrame, label: DataFrame, weight: str, min_size
         vals, vecs = np.linalg.eigh(np.eye(len(nodes)) - s[:, None] * a * s[None, :])
         v = vecs[:, 1] * s
         v = v * (1 if v[np.abs(v).argmax()] > 0 else -1)
-        side = v > 0
+        order = np.argsort(v, kind="stable")
+        k, _ = modularity_cut(a, order, min_size)
+        if not k:
+            return stop
+        side = np.ones(len(nodes), bool)
+        side[order[:k]] = False
         cut = a[side][:, ~side].sum()
         low = min(deg[side].sum(), deg[~side].sum())
         if min(side.sum(), (~side).sum()) < min_size or low <= 0 or cut / low > max_conductance:

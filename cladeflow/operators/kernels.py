@@ -95,6 +95,32 @@ def spectral_clusters(w: np.ndarray, most: int = 6, gap: float = 0.02) -> tuple[
     return kmeans(u, k)[0], k
 
 
+def clusters_of(w: np.ndarray, k: int) -> np.ndarray:
+    """Labels of k clusters in the leading vectors of the normalised affinity."""
+    if k <= 1:
+        return np.zeros(len(w), int)
+    u = np.linalg.eigh(normalised_laplacian(w))[1][:, :k]
+    return kmeans(u / np.maximum(np.linalg.norm(u, axis=1, keepdims=True), 1e-12), k)[0]
+
+
+def modularity_cut(w: np.ndarray, order: np.ndarray, min_size: int) -> tuple[int, float]:
+    """(k, modularity) of the best cut of the nodes in that order into the first k and the rest, both with min_size nodes; (0, 0)
+    if there is none. One pass over running sums of the ordered weights."""
+    n = len(order)
+    whole = w.sum()
+    if n < 2 * min_size or whole <= 1e-12:
+        return 0, 0.0
+    a = w[np.ix_(order, order)]
+    deg = a.sum(axis=1)
+    k0 = np.cumsum(deg)
+    inside = np.cumsum(2 * np.tril(a, -1).sum(axis=1) + np.diag(a))
+    rest = whole - 2 * k0 + inside
+    q = (inside - k0**2 / whole + rest - (whole - k0) ** 2 / whole) / whole
+    q = q[min_size - 1 : n - min_size]
+    best = int(q.argmax())
+    return best + min_size, float(q[best])
+
+
 def farthest_points(d: np.ndarray, k: int) -> list[int]:
     """Greedy picks, each the farthest from those before; starts at the row with the largest sum; ties to the first."""
     if not len(d):

@@ -98,7 +98,7 @@ def letter_codes(s, d):
     """Masks, numbers and distance codes of all letters in the records."""
     x = table(s, d, "fasta_record").where("length(seq) > 0").select(F.explode(F.split("seq", "")).alias("c"))
     x = x.groupBy("c").agg(F.count("*").alias("n"))
-    return x.select("c", "n", sq.base_mask(F.col("c")).alias("mask"), sq.base_number(F.col("c")).alias("number"), sq.distance_code(F.col("c")).alias("code"))
+    return x.select("c", "n", sq.base_mask(F.col("c")).alias("mask"), sq.base_number(F.col("c")).alias("number"), sq.base_code(F.col("c")).alias("one_based"), sq.distance_code(F.col("c")).alias("code"))
 
 
 def _codon_rows(s, d):
@@ -224,7 +224,7 @@ ORACLE = {
     "effective_length": "select floor(median(length(replace(seq, '-', ''))))::bigint effective_length, max(length(seq))::int width from fasta_record where seq is not null",
     "missing_ratio": "select row_ord, round(length(regexp_replace(upper(seq), '[ACGTU]', '', 'g')) / length(seq), 6) ratio from fasta_record where length(seq) > 0",
     "completeness_filter": "select row_ord from fasta_record where length(seq) > 0 and length(regexp_replace(upper(seq), '[ACGTU]', '', 'g')) / length(seq) <= 0.05e0",
-    "letter_codes": f"select x.c, count(*) n, coalesce(any_value(mask), 0)::int mask, instr('ACGT', replace(upper(x.c), 'U', 'T'))::int - 1 \"number\", case when instr('{sq.CODE_ORDER}', upper(x.c)) > 0 then instr('{sq.CODE_ORDER}', upper(x.c))::int - 1 else {len(sq.CODE_ORDER) - 1} end code from (select unnest(string_split(seq, '')) c from fasta_record where length(seq) > 0) x left join {_AMBIG} on upper(x.c) = t.c group by x.c",
+    "letter_codes": f"select x.c, count(*) n, coalesce(any_value(mask), 0)::int mask, instr('ACGT', replace(upper(x.c), 'U', 'T'))::int - 1 \"number\", instr('ACGT', replace(upper(x.c), 'U', 'T'))::int one_based, case when instr('{sq.CODE_ORDER}', upper(x.c)) > 0 then instr('{sq.CODE_ORDER}', upper(x.c))::int - 1 else {len(sq.CODE_ORDER) - 1} end code from (select unnest(string_split(seq, '')) c from fasta_record where length(seq) > 0) x left join {_AMBIG} on upper(x.c) = t.c group by x.c",
     "codon_usage": f"select x.codon, count(*) n, coalesce(any_value(a), 64)::int codon_tok, coalesce(any_value(b), 20)::int aa_tok from (select substr(s, (3 * i + 1)::int, 3) codon from {_SPLIT}) x left join {_CODONS} using (codon) group by x.codon",
     "internal_stops": f"select row_ord, count(*)::int stops from {_SPLIT} where i < length(s) // 3 - 1 and substr(s, (3 * i + 1)::int, 3) in ('TAA', 'TAG', 'TGA') group by row_ord",
     "reverse_complements": "select row_ord, md5(reverse(translate(upper(seq), 'ACGTURYSWKMBDHVN', 'TGCAAYRSWMKVHDBN'))) digest from fasta_record where seq is not null",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cladeflow.operators import alignments as al
 from cladeflow.operators import association as asn
+from cladeflow.operators import dating as dg
 from cladeflow.operators import distances as ds
 from cladeflow.operators import dyads as dy
 from cladeflow.operators import matching as mt
@@ -187,7 +188,43 @@ def checked_predictions(s, d):
     return reports.read_predictions(s, path)
 
 
-QUERIES = {f.__name__: f for f in (contemporaneous_dyads, boxed_dyads, reported_pairs, leaf_attributions, trait_association, trait_energy, mutation_effects, root_residues, energy_floor, route_support, shuffled_dates, site_subsets, bootstrap_counts, stratified_taxa, strided_records, matched_taxa, upserted_sites, preset_intervals, clock_choices, channel_statistics, screened_taxa, matched_windows, reported_edges, checked_predictions)}
+def soft_divergence(s, d):
+    return asn.soft_divergence(sites(s, d)).select("taxon", *r6("gamma", "distance"))
+
+
+def site_domains(s, d):
+    """Site tests by domain: five overlapping intervals of positions."""
+    x = table(s, d, "orthomam_site_selection").where("gene_id is not null and site_1idx is not null").groupBy("gene_id", "site_1idx").agg(F.max("lrt").alias("lrt"))
+    domains = s.createDataFrame([("head", 1, 90), ("binding", 60, 240), ("core", 200, 700), ("loop", 350, 360), ("tail", 701, 2000)], "name string, first int, last int")
+    x = asn.domain_of(x, "site_1idx", domains)
+    return x.groupBy("domain").agg(F.count("*").alias("sites"), F.count_if((F.col("lrt") > 10) & ~F.isnan("lrt")).alias("strong"))
+
+
+def canonical_columns(s, d):
+    """Columns of the letters of the taxon with the most gaps."""
+    x = sites(s, d)
+    ref = x.groupBy("taxon").agg(F.count_if(F.col("state") == "-").alias("gaps")).agg(F.min_by("taxon", F.struct(-F.col("gaps"), "taxon")).alias("t")).first()["t"]
+    return asn.canonical_columns(x, ref)
+
+
+def site_evaluation(s, d):
+    """First runs of the sites as predictions against their latest runs as truth, by gene: sites on either side only and in both,
+    calls, and the correlation of the statistics."""
+    x = table(s, d, "orthomam_site_selection").where("gene_id is not null and site_1idx is not null and lrt is not null and not isnan(lrt)")
+    run = lambda c, name: x.where(c).groupBy("gene_id", "site_1idx").agg(F.max("lrt").alias(name))
+    p, t = run("loaded_at < timestamp_ntz'2022-01-01 00:00:00'", "predicted"), run("loaded_at >= timestamp_ntz'2022-01-01 00:00:00'", "truth")
+    both = p.join(t, ["gene_id", "site_1idx"], "full")
+    seen = F.col("predicted").isNotNull() & F.col("truth").isNotNull()
+    return both.groupBy("gene_id").agg(F.count_if(seen).alias("matched"), F.count_if(F.col("truth").isNull()).alias("predicted_only"), F.count_if(F.col("predicted").isNull()).alias("truth_only"), F.count_if(seen & (F.col("predicted") > 4) & (F.col("truth") > 4)).alias("agreed"), F.round(F.sum(F.when(seen, F.abs(F.col("predicted") - F.col("truth")))), 4).alias("gap"))
+
+
+def deconvolved_communities(s, d):
+    """Communities of each clade by spectral splits that improve the clocks."""
+    x = dg.deconvolve(aligned(s, d), "clade")
+    return x.groupBy("path", "why").agg(F.count("*").alias("taxa"))
+
+
+QUERIES = {f.__name__: f for f in (contemporaneous_dyads, boxed_dyads, reported_pairs, leaf_attributions, trait_association, trait_energy, mutation_effects, root_residues, energy_floor, route_support, shuffled_dates, site_subsets, bootstrap_counts, stratified_taxa, strided_records, matched_taxa, upserted_sites, preset_intervals, clock_choices, channel_statistics, screened_taxa, matched_windows, reported_edges, checked_predictions, soft_divergence, site_domains, canonical_columns, site_evaluation, deconvolved_communities)}
 
 _DATED = "(2000 + ({} * 37 % 240) / 12e0)"
 _DYADS = f"""with recursive {_COUNT.format('')}, pd as (select i, j, diff / tot h, abs({_DATED.format('i')} - {_DATED.format('j')}) * 365.25e0 dd from n where diff / tot <= {NEAR}e0), e as (select i, j, h from pd where {{}}),
@@ -241,6 +278,10 @@ ORACLE = {
     "channel_statistics": f"{_STATS} select taxon, channel, sites, round(variance, 6) variance, round(pulse, 6) pulse, round(energy, 6) energy, round(coherence, 6) coherence from cst",
     "screened_taxa": f"{_SCREEN} select taxon, round(vc, 6) v_cont, round(vr, 6) v_root, round(rr, 6) r_root, case when burst then 'rate burst' when gh then 'ghost' when vc > greatest(vl + 2 * sv, va + 1.5e0 * sv) or pc > greatest(t6.pl + 2 * sp, pa + 1.5e0 * sp) or (greatest(vmean, va) >= 3 * clone and (vc >= clone or pc >= 1.5e0 * clone)) then 'candidate' else 'backbone' end verdict from t6",
     "matched_windows": f"{_FORCE}, cu as (select taxon, channel, site, sum(force) over w c, row_number() over w k, count(*) over (partition by taxon, channel) n from fo window w as (partition by taxon, channel order by site)), ta as (select * from (values (8), (16)) t(scale)), bx as (select taxon, channel, scale, n, c - coalesce(lag(c, scale) over (partition by taxon, channel, scale order by site), 0) total, k from cu, ta) select taxon, channel, scale, round(max(total), 6) total from bx where k >= scale and n > scale and total >= case (scale || ':' || n) {_POINTS} end group by all",
+    "soft_divergence": f"with {SITES}, g(k, c) as (values (0, 0.5e0), (1, 1e0), (2, 2e0), (3, 5e0), (4, 10e0), (5, 20e0)), sp as (select min(date) t0, max(date) - min(date) span from sites), pw as (select k, c / span g, site, " + ", ".join(f"sum(case when state = '{b}' then exp(-c / span * (date - t0)) else 0e0 end) w{b}" for b in "ACGT") + " from v, sp, g group by 1, 2, 3), pq as (select k, g, site, " + ", ".join(f"w{b} / (wA + wC + wG + wT) q{b}" for b in "ACGT") + " from pw), mq as (select k, " + ", ".join(f"avg(q{b}) m{b}" for b in "ACGT") + " from pq group by 1), e as (select k, g, taxon, date, count(*) n, sum(case state when 'A' then qG when 'G' then qA else 0 end) / count(*) p1, sum(case state when 'C' then qT when 'T' then qC else 0 end) / count(*) p2, sum(case when state in ('A', 'G') then qC + qT else qA + qG end) / count(*) q, " + ", ".join(f"count(*) filter (state = '{b}') n{b}" for b in "ACGT") + " from v join pq using (site) group by 1, 2, 3, 4), f as (select e.*, " + ", ".join(f"greatest(0.5e0 * (m{b} + n{b} / n), 1e-4) f{b}" for b in "ACGT") + " from e join mq using (k)), h as (select *, fA + fG fr, fC + fT fy from f), i as (select *, 2 * fA * fG / fr k1, 2 * fC * fT / fy k2, 2 * (fr * fy - fA * fG * fy / fr - fC * fT * fr / fy) k3 from h), j as (select *, 1 - p1 / k1 - q / (2 * fr) a1, 1 - p2 / k2 - q / (2 * fy) a2, 1 - q / (2 * fr * fy) a3 from i), dd as (select k, g, taxon, date, case when least(a1, a2, a3) > 0 then -k1 * ln(case when a1 > 0 then a1 end) - k2 * ln(case when a2 > 0 then a2 end) - k3 * ln(case when a3 > 0 then a3 end) end d, p1 + p2 + q ham from j), z as (select k, g, taxon, date, case when d >= 0 then d else ham end d from dd), r as (select k, corr(date, d) r from z group by 1) select taxon, round(g, 6) gamma, round(d, 6) distance from z where k = (select k from r order by r desc, k limit 1)",
+    "site_domains": "with x as (select gene_id, site_1idx p, max(lrt) lrt from orthomam_site_selection where gene_id is not null and site_1idx is not null group by all), k as (select *, case when p between 1 and 90 then 'head' when p between 60 and 240 then 'binding' when p between 200 and 700 then 'core' when p between 701 and 2000 then 'tail' else 'outside' end \"domain\" from x) select \"domain\", count(*) sites, count(*) filter (lrt > 10 and not isnan(lrt)) strong from k group by 1",
+    "canonical_columns": f"with {SITES} select (row_number() over (order by site))::int \"position\", site from sites where state <> '-' and taxon = (select taxon from (select taxon, count(*) filter (state = '-') g from sites group by 1) order by g desc, taxon limit 1)",
+    "site_evaluation": "with x as (select * from orthomam_site_selection where gene_id is not null and site_1idx is not null and not isnan(lrt)), p as (select gene_id, site_1idx, max(lrt) predicted from x where loaded_at < timestamp '2022-01-01' group by all), t as (select gene_id, site_1idx, max(lrt) truth from x where loaded_at >= timestamp '2022-01-01' group by all) select gene_id, count(*) filter (predicted is not null and truth is not null) matched, count(*) filter (truth is null) predicted_only, count(*) filter (predicted is null) truth_only, count(*) filter (predicted > 4 and truth > 4) agreed, round(sum(abs(predicted - truth)), 4) gap from p full join t using (gene_id, site_1idx) group by 1",
     "clock_choices": "with c as (select distinct (c_custkey % 128)::int n from customer), f as (select n, n & 1 > 0 o, n & 2 > 0 g, n & 4 > 0 s, n & 8 > 0 ob, n & 16 > 0 gb, n & 32 > 0 att, n & 64 > 0 nl from c), k as (select *, case when s and nl then 'spline' when g and not gb and ob then 'ols' when g and att then 'ols' when g and gb then 'gls' when o and ob then 'ols' when g then 'gls' when o then 'ols' else 'gls' end auto from f) select n, auto, case when g and not att and (gb or not ob) then 'gls' when o then 'ols' else 'gls' end linear, case when s then 'spline' else auto end spline from k",
     "reported_edges": "select id1, count(*) edges, round(sum(round(distance, 6)), 4) total from supported_edges where q_value <= 0.05e0 and id1 is not null and id2 is not null and distance is not null and delta_t is not null and bayes_factor >= 3 and bayes_factor < 1e6 group by 1",
     "checked_predictions": "select site_1idx site, max(lrt) lrt, min(p_value) p_value, max(is_sig_p05) = 0 is_invariable from orthomam_site_selection where gene_id = (select min(gene_id) from orthomam_site_selection where lrt is not null and not isnan(lrt) and lrt >= 0 and p_value is not null and site_1idx >= 1) and lrt is not null and not isnan(lrt) and lrt >= 0 and p_value is not null and site_1idx >= 1 group by 1",

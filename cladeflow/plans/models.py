@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from cladeflow.operators import dating as dg
 from cladeflow.operators import kernels as kn
+from cladeflow.operators.association import support_label
 from cladeflow.operators.sites import codon_threads, mutant_scan, patches, site_scores
+from cladeflow.operators.statistics import bh_qvalues
 from cladeflow.plans.alignments import SITES, aligned, plain_base, sites
 from cladeflow.plans.networks import _near
 from cladeflow.session import spread, stored, table
@@ -25,7 +27,8 @@ def _run(kernel):
 
 def permuted_migration(s, d):
     a = aligned(s, d).select(F.col("taxon").alias("node"), F.col("clade").alias("label"))
-    return dg.permutation_excess(stored(_near(s, d)), a, SHUFFLES)
+    x = dg.permutation_excess(stored(_near(s, d)), a, SHUFFLES)
+    return bh_qvalues(x.withColumn("route", F.concat_ws("-", "a", "b")), "p", "route", "fdr_q").drop("route").withColumn("support", support_label(F.col("bayes_factor")))
 
 
 def active_population_draws(s, d):

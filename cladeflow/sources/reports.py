@@ -13,7 +13,7 @@ def write_json(df: DataFrame, path: str) -> None:
 
 def write_csv(df: DataFrame, path: str, decimals: int | None = None) -> None:
     """CSV with a header; doubles with a fixed number of decimals, if given; null as empty."""
-    shown = [F.format_string(f"%.{decimals}f", c).alias(c) if decimals is not None and t == "double" else F.col(c) for c, t in df.dtypes]
+    shown = [F.when(F.col(c).isNotNull(), F.format_string(f"%.{decimals}f", c)).alias(c) if decimals is not None and t == "double" else F.col(c) for c, t in df.dtypes]
     df.select(*shown).write.mode("errorifexists").csv(path, header=True)
 
 
