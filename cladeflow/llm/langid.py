@@ -226,26 +226,31 @@ def decide(scores: Column, prior: Column, weight: float) -> Column:
     return F.struct(F.element_at(F.array(*(F.lit(x) for x in LANGUAGES)), at.cast("int")).alias("lang"), conf.alias("confidence"))
 
 
-def languages(docs: DataFrame, doc_id: str, text: str, label: str, source: str, host: str, weight: float = 0.5) -> DataFrame:
+def languages(docs: DataFrame, doc_id: str, text: str, label: str, source: str, host: str, weight: float = 0.5, least_confidence: float = 0.0) -> DataFrame:
     """doc_id, declared, words, lang, confidence and lines (line_no, words, lang, confidence).
 
     Naive Bayes likelihoods of the words are fused with the declared label and with
     smoothed priors of the document's source and host. Lines count from 0 over all newlines;
     only lines with natural words are listed. A document without words (null, empty,
-    data only) has null lang and confidence and no lines. The label's evidence bears on
+    data only) has null lang and confidence and no lines. The languages told apart are LANGUAGES; a text in another one
+    gets the nearest of them, unless its confidence is under least_confidence: then lang is null.
+    The label's evidence bears on
     the document; for a line it is weighed down by its text soon."""
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(label).cast("string").alias("label"), F.lower(F.trim(source)).alias("source"), F.col(host).cast("string").alias("host"))
     table = fit(d, "doc_id", "text", "label")
     scored = with_priors(stored(score(d.withColumn("label", declared_language(F.col("label"))), table)))
-    line = lambda x: F.struct(x["line_no"].alias("line_no"), x["words"].alias("words"), decide(x["scores"], F.col("prior"), weight).alias("d"))
-    whole = F.when(F.col("words") > 0, decide(F.col("scores"), F.col("prior"), weight))
+    def sure(d: Column) -> Column:
+        return F.struct(F.when(d["confidence"] >= least_confidence, d["lang"]).alias("lang"), d["confidence"].alias("confidence")) if least_confidence > 0 else d
+
+    line = lambda x: F.struct(x["line_no"].alias("line_no"), x["words"].alias("words"), sure(decide(x["scores"], F.col("prior"), weight)).alias("d"))
+    whole = F.when(F.col("words") > 0, sure(decide(F.col("scores"), F.col("prior"), weight)))
     return scored.select("doc_id", F.col("label").alias("declared"), "words", whole["lang"].alias("lang"), whole["confidence"].alias("confidence"), F.transform("lines", line).alias("lines"))
 
 
 def foreign_lines(found: DataFrame) -> DataFrame:
     """doc_id, line_no, lang: lines whose language is not the declared one, or none is."""
     each = found.select("doc_id", "declared", F.explode("lines").alias("x")).select("doc_id", "declared", "x.line_no", "x.d.lang")
-    return each.where("declared is null or declared <> lang").select("doc_id", "line_no", "lang")
+    return each.where("lang is not null and (declared is null or declared <> lang)").select("doc_id", "line_no", "lang")
 
 
 def segments(found: DataFrame) -> DataFrame:

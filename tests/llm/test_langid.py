@@ -78,3 +78,14 @@ def test_labels(spark, label, want):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "k long, body string, lab string, src string, hst string")
     assert li.languages(df, "k", "body", "lab", "src", "hst").count() == 0
+
+
+def test_unsure_texts_can_stay_open(spark):
+    words = {"en": "the and with results were found in samples from", "de": "und die mit ergebnisse wurden in proben aus der gefunden"}
+    docs = [(i, words[lang], lang, "a", "h") for i, lang in enumerate(["en", "de"] * 40)] + [(100, "zzyx qwv", None, "a", "h")]
+    df = spark.createDataFrame(docs, "k long, body string, lab string, src string, hst string")
+    run = lambda least: {r["doc_id"]: r for r in li.languages(df, "k", "body", "lab", "src", "hst", least_confidence=least).collect()}
+    plain, strict = run(0.0), run(0.97)
+    assert plain[100]["lang"] is not None and plain[100]["confidence"] < 0.97
+    assert strict[100]["lang"] is None and strict[100]["confidence"] == plain[100]["confidence"] and strict[100]["lines"][0]["d"]["lang"] is None
+    assert {r["lang"] for k, r in strict.items() if k < 100} == {"en", "de"}
