@@ -265,6 +265,16 @@ def coalescent(s, d):
     return x.select("o_orderpriority", "tau1", "tau2", "k", "events")
 
 
+def growth_rates(s, d):
+    """Growth of the coalescent rate per order priority, by the likelihood of the intervals: orders as tips, four fifths of
+    them joining 400 days earlier."""
+    o = table(s, d, "orders").select("o_orderpriority", (F.lit(12000) - F.datediff(F.to_date("o_orderdate"), F.lit("1970-01-01"))).alias("tau"), "o_totalprice")
+    steps = o.select("o_orderpriority", "tau", F.lit(1).alias("step")).unionByName(o.where("o_totalprice > 60000").select("o_orderpriority", (F.col("tau") + 400).alias("tau"), F.lit(-1).alias("step")))
+    x = te.coalescent_intervals(steps, ["o_orderpriority"]).where("k > 1 and events > 0")
+    x = x.select("o_orderpriority", "k", (F.col("tau1") / 365.25).alias("tau1"), (F.col("tau2") / 365.25).alias("tau2"), "events")
+    return tr.growth_rate(x, ["o_orderpriority"])
+
+
 # screening
 
 
@@ -334,7 +344,7 @@ def landmark_prior(s, d):
     return x.where("d is not null").select("taxon", (F.round(rc.prior(F.col("d")), 6) + 0.0).alias("log_prior"))
 
 
-QUERIES = {f.__name__: f for f in (metadata_cascade, evaluation_join, names_without_metadata, edge_union, edge_status_report, top_genes, sliding_windows, gradient_profile, kernel_regression, stratified_anchors, landmark_dates, event_properties, ordinal_decode, phenotype_vector, coselection_pairs, envelope_pairs, supported_transmissions, active_population, reproduction_numbers, migration_flux, source_sink, centroids, tree_depths, patristic_nations, fitch_states, root_states, transitions, coalescent, triage_status, site_attention, cumulative_momentum, best_tracts, tract_tests, landmark_prior)}
+QUERIES = {f.__name__: f for f in (metadata_cascade, evaluation_join, names_without_metadata, edge_union, edge_status_report, top_genes, sliding_windows, gradient_profile, kernel_regression, stratified_anchors, landmark_dates, event_properties, ordinal_decode, phenotype_vector, coselection_pairs, envelope_pairs, supported_transmissions, active_population, reproduction_numbers, migration_flux, source_sink, centroids, tree_depths, patristic_nations, fitch_states, root_states, transitions, coalescent, growth_rates, triage_status, site_attention, cumulative_momentum, best_tracts, tract_tests, landmark_prior)}
 
 _E = "e as (select *, epoch_us(ts) / 86400e6 - 19723 t from events)"
 _NODES = "nodes as (select 0::bigint node, null::bigint parent, 0e0 length union all select r_regionkey + 1, 0, 1 + r_regionkey / 10e0 from region union all select n_nationkey + 100, n_regionkey + 1, 0.5e0 + n_nationkey / 100e0 from nation union all select c_custkey + 1000, c_nationkey + 100, abs(c_acctbal) / 10000e0 from customer)"
