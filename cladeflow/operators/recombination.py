@@ -110,7 +110,7 @@ def screen_taxa(stats: DataFrame, taxon: str, channel: str, root: int, isolated:
     `rate burst`: it evolves faster, it does not mix. One that stands out with a strong pulse is a `ghost`. Of the others
     those are candidates whose landmark variance or pulse lies above the lower half of the pool by 2 MADs (and the
     median by 1.5), and all ghosts; where the whole pool varies far beyond a clone's, all that do. The rest is `backbone`.
-    All medians are exact and come from counted values; they are one row each."""
+    Medians are exact, from counted values; of each a number comes to the driver."""
     from cladeflow.operators.statistics import linear_percentiles
 
     is_root = F.col(channel) == root
@@ -122,42 +122,40 @@ def screen_taxa(stats: DataFrame, taxon: str, channel: str, root: int, isolated:
     held = F.greatest(F.lit(1e-4), F.least(F.lit(1 - 1e-4), r(F.col("v_cont"))))
     x = x.withColumns({"r_root": r(F.col("v_cont")), "r_dim": r(F.col("v_cont") / F.greatest("k", F.lit(1))), "logit": F.log(held / (1 - held)), "root_stat": F.col("root_pulse") / (F.sqrt("sites") * F.greatest(F.sqrt("root_energy"), F.lit(1e-6)))})
 
-    def spread(d: DataFrame, c: str, name: str) -> DataFrame:
-        """d with the median and the median deviation of c."""
-        d = d.join(F.broadcast(linear_percentiles(d, [], c, {f"{name}_med": 0.5})))  # one row
-        dev = d.select(F.abs(F.col(c) - F.col(f"{name}_med")).alias("dev"))
-        return d.join(F.broadcast(linear_percentiles(dev, [], "dev", {f"{name}_mad": 0.5})))
+    def medians(d: DataFrame, **cols: Column) -> dict[str, float]:
+        """The exact medians of a few columns: one pass over them all, a number each comes to the driver."""
+        each = d.select(F.explode(F.array(*(F.struct(F.lit(n).alias("n"), c.cast("double").alias("v")) for n, c in cols.items()))).alias("x")).select("x.n", "x.v")
+        return dict.fromkeys(cols, 0.0) | {r["n"]: r["m"] for r in linear_percentiles(each, ["n"], "v", {"m": 0.5}).collect()}
 
-    n = F.broadcast(x.agg(F.count("*").alias("n")))
-    x = stored(spread(spread(x.join(n), "logit", "l"), "v_root", "r"))
+    x = stored(x)
+    n = x.count()
+    mid = medians(x, l=F.col("logit"), r=F.col("v_root"))
+    dev = medians(x, l=F.abs(F.col("logit") - mid["l"]), r=F.abs(F.col("v_root") - mid["r"]))
     step = 1 / F.sqrt("sites")
-    z_r = (F.col("logit") - F.col("l_med")) / F.greatest(1.4826 * F.col("l_mad"), step)
-    z_v = (F.col("v_root") - F.col("r_med")) / F.greatest(1.4826 * F.col("r_mad"), F.lit(0.05))
+    z_r = (F.col("logit") - mid["l"]) / F.greatest(F.lit(1.4826 * dev["l"]), step)
+    z_v = (F.col("v_root") - mid["r"]) / max(1.4826 * dev["r"], 0.05)
     alone = isolated.select(F.col(taxon).alias("__t"), F.col("isolated").alias("__alone"))
     x = x.join(alone, F.col(taxon) == F.col("__t"), "left").withColumn("alone", F.coalesce("__alone", F.lit(True)))
     burst = (z_r > Z95) & (F.col("r_root") >= ROOT_SHARE) & (F.col("coherence") <= COHERENCE) & F.col("alone")
-    strong = (F.col("root_stat") >= F.greatest(F.sqrt(-0.5 * F.log(F.lit(alpha) / (2.0 * F.col("n")))), F.lit(Z95))) | (F.col("root_pulse") >= 3)
+    strong = (F.col("root_stat") >= max((-0.5 * math.log(alpha / (2.0 * max(n, 1)))) ** 0.5, Z95)) | (F.col("root_pulse") >= 3)
     ghost = ((z_r > Z95) | (F.col("r_dim") > ROOT_SHARE) | (z_v > 2)) & strong & (~F.col("alone") | (F.col("coherence") > COHERENCE))
     x = stored(x.withColumn("burst", burst).withColumn("ghost", ~burst & ghost))
     pool = x.where(~F.col("burst"))
     pool = x if pool.isEmpty() else pool
-    limits = pool.agg(F.avg("v_cont").alias("v_mean"))
-    for c, name in (("v_cont", "v"), ("cont_pulse", "p")):
-        med = linear_percentiles(pool, [], c, {f"{name}_all": 0.5})
-        low = pool.join(F.broadcast(med)).where(F.col(c) <= F.col(f"{name}_all"))
-        low = spread(low.select(c), c, f"{name}_low").select(f"{name}_low_med", f"{name}_low_mad").distinct()
-        limits = limits.join(F.broadcast(med)).join(F.broadcast(low))
-    x = x.join(F.broadcast(limits))
+    v_mean = pool.agg(F.avg("v_cont")).first()[0] or 0.0
+    all_ = medians(pool, v_cont=F.col("v_cont"), cont_pulse=F.col("cont_pulse"))
+    lower = {c: F.when(F.col(c) <= all_[c], F.col(c)) for c in all_}
+    low = medians(pool, **lower)
+    spread = medians(pool, **{c: F.abs(lower[c] - low[c]) for c in all_})
     s2 = max(stringency, 0.1)
 
-    def over(c: str, name: str) -> Column:
-        low, all_ = F.col(f"{name}_low_med"), F.col(f"{name}_all")
-        scale = F.greatest(1.4826 * F.col(f"{name}_low_mad"), low * step, step)
-        return F.col(c) > F.greatest(low + 2 * s2 * scale, all_ + 1.5 * s2 * scale)
+    def over(c: str) -> Column:
+        scale = F.greatest(F.lit(1.4826 * spread[c]), low[c] * step, step)
+        return F.col(c) > F.greatest(low[c] + 2 * s2 * scale, all_[c] + 1.5 * s2 * scale)
 
     clone = 10 * F.greatest(F.sqrt(F.col("sites") / 1000), F.lit(1.0))
-    pervasive = (F.greatest("v_mean", "v_all") >= 3 * clone) & ((F.col("v_cont") >= clone) | (F.col("cont_pulse") >= 1.5 * clone))
-    candidate = over("v_cont", "v") | over("cont_pulse", "p") | F.col("ghost") | pervasive | F.lit(s2 <= 0.65)
+    pervasive = (F.lit(max(v_mean, all_["v_cont"])) >= 3 * clone) & ((F.col("v_cont") >= clone) | (F.col("cont_pulse") >= 1.5 * clone))
+    candidate = over("v_cont") | over("cont_pulse") | F.col("ghost") | pervasive | F.lit(s2 <= 0.65)
     verdict = F.when(F.col("burst"), "rate burst").when(F.col("ghost"), "ghost").when(candidate, "candidate").otherwise("backbone")
     return x.select(taxon, "v_cont", "v_root", "r_root", "coherence", verdict.alias("verdict"))
 
