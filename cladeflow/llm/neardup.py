@@ -354,16 +354,17 @@ def _verifier(least: float, slack: float | None):
 
 
 def contents(records: DataFrame, row_id: str, seq: str) -> tuple[DataFrame, DataFrame]:
-    """(id, seq) of the records that hold a usable substring, and (id, rep) of those delivered
+    """(id, seq) of the records that may hold a usable substring, and (id, rep) of those that do and were delivered
     more than once - alike without gaps and in any case - rep being the least id of the copies.
 
     Copies meet by a digest of 16 bytes, first within each task, so that a sequence
     delivered for a third of all records costs a row per task; the second pass joins ids with
     the repeated digests only, a join whose large side is split where it is skewed."""
     rows = records.select(F.col(row_id).cast("long").alias("id"), F.col(seq).cast("string").alias("seq")).where("id is not null and seq is not null")
+    rows = rows.where(F.length("seq") >= K)
     plain = F.upper(F.replace("seq", F.lit("-"), F.lit("")))
-    rows = rows.where(plain.rlike(f"[ACGT]{{{K}}}"))
-    digest = rows.select("id", F.unhex(F.md5(plain.cast("binary"))).alias("h"))
+    # records without a substring have no keys; only here must they be told apart
+    digest = rows.where(plain.rlike(f"[ACGT]{{{K}}}")).select("id", F.unhex(F.md5(plain.cast("binary"))).alias("h"))
     again = stored(digest.groupBy("h").agg(F.min("id").alias("rep"), F.count("id").alias("n")).where("n > 1").select("h", "rep"))
     return rows, stored(digest.join(again, "h").select("id", "rep"))
 
