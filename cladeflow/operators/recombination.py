@@ -95,11 +95,11 @@ Z95, ROOT_SHARE, COHERENCE = 1.645, 0.5, 0.5
 
 def channel_statistics(force: DataFrame, taxon: str, channel: str, site: str, value: str) -> DataFrame:
     """taxon, channel, sites, variance and pulse (greatest less least) of the running sum of the force, energy (its mean
-    square) and coherence: the best share of a channel's positive force that falls in 50 sites in a row. Lanes
+    square) and coherence: the best share of a channel's positive force that falls in 50 sites in a row (0 where there is none beyond rounding). Lanes
     are as long as the alignment; they are the only windows."""
     x = momentum(force, [taxon, channel], site, value)
     up = F.sum(F.greatest(F.col(value), F.lit(0.0)))
-    return x.groupBy(taxon, channel).agg(F.count("*").alias("sites"), F.var_pop("momentum").alias("variance"), (F.max("momentum") - F.min("momentum")).alias("pulse"), F.avg(F.col(value) * F.col(value)).alias("energy"), F.coalesce(F.try_divide(F.max("window"), up), F.lit(0.0)).alias("coherence"))
+    return x.groupBy(taxon, channel).agg(F.count("*").alias("sites"), F.var_pop("momentum").alias("variance"), (F.max("momentum") - F.min("momentum")).alias("pulse"), F.avg(F.col(value) * F.col(value)).alias("energy"), F.when(up > 1e-9, F.max("window") / up).otherwise(0.0).alias("coherence"))
 
 
 def screen_taxa(stats: DataFrame, taxon: str, channel: str, root: int, isolated: DataFrame, alpha: float = 0.05, stringency: float = 1.0) -> DataFrame:

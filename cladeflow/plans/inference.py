@@ -240,7 +240,7 @@ _Y = "case when clade < 3 then 1e0 else -1e0 end"
 _RHO = f"{_ATTR}, q as (select site, count(*) filter (valid) n_valid, sum(a * {_Y}) ay, sum(a * a) aa, (select sqrt(count(*)) from embeddings) ny from atr group by site), rr as (select *, case when aa > 0 and n_valid >= 4 then ay / (sqrt(aa) * ny + 1e-15) else 0e0 end rho from q)"
 _HASH = "('0x' || substr(md5({}), 1, 8))::bigint"
 _A = "a as (select vec_id taxon, label clade, 2000 + (vec_id * 37 % 240) / 12e0 date, row_number() over (order by vec_id) pos, count(*) over () n from embeddings)"
-_STATS = f"{_FORCE}, mo as (select *, sum(force) over w m, sum(greatest(force, 0)) over (w rows between 49 preceding and current row) wi from fo window w as (partition by taxon, channel order by site)), cst as (select taxon, channel, count(*) sites, var_pop(m) variance, max(m) - min(m) pulse, avg(force * force) energy, case when sum(greatest(force, 0)) > 0 then max(wi) / sum(greatest(force, 0)) else 0e0 end coherence from mo group by all)"
+_STATS = f"{_FORCE}, mo as (select *, sum(force) over w m, sum(greatest(force, 0)) over (w rows between 49 preceding and current row) wi from fo window w as (partition by taxon, channel order by site)), cst as (select taxon, channel, count(*) sites, var_pop(m) variance, max(m) - min(m) pulse, avg(force * force) energy, case when sum(greatest(force, 0)) > 1e-9 then max(wi) / sum(greatest(force, 0)) else 0e0 end coherence from mo group by all)"
 _SCREEN = f"""{_STATS}, near as (select i taxon from ({_COUNT.format('').replace(SITES + ', ', 'with ')} select i, j from n where diff / tot <= {NEAR}e0) union select j from ({_COUNT.format('').replace(SITES + ', ', 'with ')} select i, j from n where diff / tot <= {NEAR}e0)),
 t1 as (select taxon, max(sites) l, count(*) filter (channel <> 0) k, coalesce(max(variance) filter (channel = 0), 0) vr, coalesce(max(pulse) filter (channel = 0), 0) pr, coalesce(max(energy) filter (channel = 0), 0) er, coalesce(sum(variance) filter (channel <> 0), 0) vc, coalesce(max(pulse) filter (channel <> 0), 0) pc, coalesce(max(coherence) filter (channel = 0), 0) co from cst group by 1),
 t2 as (select *, vr / (vc + vr + 1e-9) rr, vr / (vc / greatest(k, 1) + vr + 1e-9) rd, pr / (sqrt(l) * greatest(sqrt(er), 1e-6)) rst, count(*) over () n, taxon not in (select taxon from near) alone from t1),
