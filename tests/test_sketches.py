@@ -2,11 +2,12 @@ import math
 import random
 import zlib
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from cladeflow.functions import kmers as km
 from cladeflow.functions import sequences as sq
-from cladeflow.plans.alignments import canonical_kmers, kmer_sketch, sketch_distances
+from cladeflow.plans.alignments import _six, canonical_kmers, kmer_sketch, sketch_distances
 
 
 def test_kernels_agree_with_expressions(spark):
@@ -52,3 +53,32 @@ def test_sketch_distances_against_brute_force(spark, tmp_path):
     assert all(abs(x - y) < 2e-6 for k in want for x, y in zip(got[k], want[k], strict=True))
     assert any(j < 0.05 for j, _ in want.values())
     assert {r["row_ord"]: r["size"] for r in kmer_sketch(spark, str(tmp_path)).collect()} == {n: len(h) for n, h in least.items() if h}
+
+
+def test_sketch_distances_shuffle_no_hashes(spark, tmp_path, monkeypatch):
+    """Rows of (pair, shared hash) grow with the square of the records: blocks meet where their letters lie, and many
+    small blocks and small lots give what one block gives."""
+    rnd = random.Random(4)
+    motif = "".join(rnd.choice("ACGT") for _ in range(40))
+    seqs = [*("".join(rnd.choice("ACGT") for _ in range(60)) + motif[: rnd.randrange(10, 41)] for _ in range(60)), None, "", "ACGT", "-" * 30, motif]
+    spark.createDataFrame([(7 * i % 1009, x) for i, x in enumerate(seqs)], "row_ord long, seq string").repartition(3).write.parquet(f"{tmp_path}/fasta_record.parquet")
+    got = sketch_distances(spark, str(tmp_path))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan
+    assert "Exchange" not in plan
+    rows = sorted(got.collect())
+    assert len(rows) == len({r[:2] for r in rows}) > 500
+    tb = pa.RecordBatch.from_arrays([pa.array([7 * i % 1009 for i in range(len(seqs))], pa.int64()), pa.array(seqs)], names=["key", "seq"])
+    monkeypatch.setattr(km, "_HELD", 50)
+    monkeypatch.setattr(km, "LOT_LETTERS", 300)
+    blocks = [b.columns for b in km.record_blocks(500)(iter([tb]))]
+    assert len(blocks) > 5
+    met = [pa.RecordBatch.from_arrays([*x, *y], names=list("abcdef")) for i, x in enumerate(blocks) for y in blocks[i:]]
+    small = [(r["a"], r["b"], r["inside"], r["whole"]) for b in km.sketch_pairs(1024)(iter(met)) for r in b.to_pylist()]
+    assert sorted((a, b, (2_000_000 * n + m) // (2 * m) / 1e6) for a, b, n, m in small) == [(r["a"], r["b"], r["jaccard"]) for r in rows]
+
+
+def test_six_places_as_by_round(spark):
+    x = spark.range(1, 2049, 37).select(F.col("id").alias("m"), F.explode(F.sequence(F.lit(0).cast("long"), "id")).alias("n")).select((F.col("n") / F.col("m")).alias("j"))
+    x = x.select(F.explode(F.array("j", sq.mash_distance(F.col("j"), 15))).alias("x")).unionByName(spark.createDataFrame([(0.0640625,), (0.5046875,), (0.5203125,)], "x double"))
+    assert x.where(_six(F.col("x")) != F.round("x", 6)).count() == 0
