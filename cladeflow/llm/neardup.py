@@ -22,6 +22,8 @@ BINS, BANDS, ROWS, BITS = 128, 30, 2, 256
 RARE, HOT = 16, 2048
 #: how far an estimate may lie below the threshold: over four standard errors (0.08 at 0.5)
 SLACK = 0.35
+#: pairs of a task that are summed before they are shuffled
+_PAIRS = 2_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xC2B2AE3D27D4EB4F)
 _CODE = np.full(256, 4, np.uint8)
@@ -233,30 +235,46 @@ def _prefix_rows(least: float):
 
 
 def _pairer(rare: int, hot: int):
-    """key, id in the order of keys -> the pairs of each key's records and what the key counts: 2
+    """key, id in the order of keys -> the pairs of each key's records and what the keys count: 2
     if rare, else 1. Keys held by more than `hot` records are passed over; at most `hot` rows of a
-    key and a batch are held."""
+    key and a batch are held. Lots of about _PAIRS pairs are summed and put in order, in which their
+    numbers compress to less."""
     names = ["row_a", "row_b", "weight"]
 
-    def pairs(key: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def summed(out: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        a, b, weight = (np.concatenate(c) for c in zip(*out, strict=True))
+        order = np.lexsort((b, a))
+        a, b, weight = a[order], b[order], weight[order]
+        first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(a)])
+        total = np.diff(np.r_[0, np.cumsum(weight)][np.r_[first, len(a)]]).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(total)], names=names)
+
+    def pairs(key: np.ndarray, ids: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         n = np.diff(np.r_[first, len(key)])
         later = np.repeat(first + n, n) - np.arange(len(key)) - 1
         size = np.repeat(n, n)
         at = np.flatnonzero((later > 0) & (size <= hot))
-        d, out, held = 1, [], 0
+        d = 1
         while len(at):
             a, b = ids[at], ids[at + d]
             ok = a != b
-            out.append((np.minimum(a, b)[ok], np.maximum(a, b)[ok], np.where(size[at][ok] <= rare, 2, 1).astype(np.int32)))
-            held += len(a)
+            yield np.minimum(a, b)[ok], np.maximum(a, b)[ok], np.where(size[at][ok] <= rare, 2, 1).astype(np.int32)
             d += 1
             at = at[later[at] >= d]
-            if held > 500_000 or not len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=names)
-                out, held = [], 0
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, held = [], 0
+        for made in groups(batches):
+            out.append(made)
+            held += len(made[0])
+            if held > _PAIRS:
+                yield summed(out)
+                out, held = [], 0
+        if out:
+            yield summed(out)
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         key, ids, passed = np.empty(0, np.int64), np.empty(0, np.int64), None
         for b in batches:
             k, i = (c.to_numpy(zero_copy_only=False) for c in b.columns)
@@ -281,7 +299,7 @@ def _pairer(rare: int, hot: int):
 def candidates(keys: DataFrame, least_weight: int, rare: int = RARE, hot: int = HOT) -> DataFrame:
     """row_a, row_b of the records that share a rare key or `least_weight` common ones (key, id).
 
-    The keys are shuffled once. A key's pairs are made where its rows lie; those of a key that
+    The keys are shuffled once, and the pairs once, by row_a. A key's pairs are made where its rows lie; those of a key that
     more than `hot` records hold are made in cells of two blocks of at most about `hot`
     records each, spread over the tasks, so that no group is paired in one task."""
     # the filters that the joins infer are stated here, so that all readers share one shuffle
@@ -292,7 +310,9 @@ def candidates(keys: DataFrame, least_weight: int, rare: int = RARE, hot: int =
     cell = crowd.select("key", "id", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j")).select("key", "id", "block", F.least("block", "j").alias("lo"), F.greatest("block", "j").alias("hi"))
     a, b = cell.withColumnsRenamed({"id": "row_a", "block": "block_a"}), cell.withColumnsRenamed({"id": "row_b", "block": "block_b"})
     met = a.join(b, ["key", "lo", "hi"]).where("row_a < row_b and (lo = hi or block_a <> block_b)").select("row_a", "row_b", F.lit(1).alias("weight"))
-    return cold.unionByName(met).groupBy("row_a", "row_b").agg(F.sum("weight").alias("w")).where(F.col("w") >= least_weight).select("row_a", "row_b")
+    # summed where row_a lies, so that a join on it needs no shuffle of its own
+    pairs = cold.unionByName(met).repartition("row_a")
+    return pairs.groupBy("row_a", "row_b").agg(F.sum("weight").alias("w")).where(F.col("w") >= least_weight).select("row_a", "row_b")
 
 
 _SLOTS = 20

@@ -66,6 +66,21 @@ def test_hot_keys_are_paired_in_cells(spark):
     assert {tuple(r) for r in nd.candidates(keys, 2, rare=2, hot=5).collect()} == {(0, 10), (0, 20), (10, 20), (50, 51)}
 
 
+def test_pairs_leave_a_task_once_and_are_shuffled_once(spark):
+    """A pair that shares several keys is summed before the shuffle, and its sum lies where row_a's body does."""
+    key = np.repeat(np.arange(6), 4)
+    ids = np.tile([5, 3, 9, 3], 6)
+    b = pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids)], names=["key", "id"])
+    got = [tuple(r.values()) for x in nd._pairer(16, 2048)(iter([b, b[:0]])) for r in x.to_pylist()]
+    assert got == [(3, 5, 24), (3, 9, 24), (5, 9, 12)]
+    keys = spark.createDataFrame(list(zip(key.tolist(), ids.tolist(), strict=True)), "key long, id long")
+    pairs = nd.candidates(keys, 2)
+    join = pairs.join(spark.range(10).withColumnRenamed("id", "row_a").repartition("row_a").hint("merge"), "row_a")
+    plan = join._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(row_a") == 2
+    assert sorted(tuple(r) for r in join.collect()) == [(3, 5), (3, 9), (5, 9)]
+
+
 def test_kmers_and_packing_round_trip():
     rnd = random.Random(2)
     seqs = ["".join(rnd.choice("ACGTacgtN-RY") for _ in range(rnd.randrange(0, 200))) for _ in range(60)] + ["", "A" * 40]
