@@ -3,10 +3,11 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from cladeflow.operators import timestamps
 from cladeflow.operators.orphans import ForeignKey, References, loose_name, orphan_cascade, references_at_load
 from cladeflow.operators.prefix_sums import known_around, running_sums, suffix_min
 from cladeflow.operators.timestamps import estimate_offsets, normalise_times, read_times
-from cladeflow.plans.core_problems import p4_cascade
+from cladeflow.plans.core_problems import p4_cascade, p6_estimated, p6_found
 
 T0 = datetime(2024, 1, 1)
 
@@ -175,3 +176,21 @@ def test_p4_cascade_judges_at_load_time(spark, tmp_path):
         ("supported_edges", "2024-01", "inherited", 1, None, 1),
         ("supported_edges", "2024-02", "inherited", 1, None, 3),
     }
+
+
+def test_p6_found_estimates_nothing(spark, tmp_path, monkeypatch):
+    """Estimates cannot add a row to p6_found, so it makes none; p6_estimated does, and both agree on what is certain."""
+    rows = [(1, "2020-01-01 10:00", "Asia/Tokyo"), (2, "2020-01-01 10:00", None), (3, "2020-01-01", None), (4, "x", None), (5, "2018-03-11 02:30:00", "America/New_York"), (6, "2020-01-01 10:00", "No/Where"), (7, None, "UTC")]
+    for name, kind in (("date_oracle", "oracle_row long, input string, zone_name string, kind string"), ("meta", "meta_row long, date string, zone_name string, id string"), ("h5n1_ha_metadata", "h5_row long, date string, zone_name string, location string")):
+        spark.createDataFrame([(*r, "meta") for r in rows], kind).withColumn("loaded_at", F.lit(T0)).write.parquet(f"{tmp_path}/{name}.parquet")
+    called = []
+    estimate = timestamps.estimate_offsets
+    monkeypatch.setattr(timestamps, "estimate_offsets", lambda *a: called.append(a) or estimate(*a))
+    day = 1577836800000000
+    found = {tuple(r) for r in p6_found(spark, str(tmp_path)).collect()}
+    assert found == {(t, *r) for t in ("date_oracle", "meta", "h5n1_ha_metadata") for r in ((1, day + 3600_000_000), (3, day))}
+    assert not called
+    full = p6_estimated(spark, str(tmp_path))
+    assert called
+    assert {(r["tab"], r["row_id"], r["utc_us"]) for r in full.collect() if r["utc_us"] is not None} == found
+    assert full.where("how = 'estimated'").count() == 6
