@@ -78,6 +78,30 @@ def test_sketch_distances_shuffle_no_hashes(spark, tmp_path, monkeypatch):
     assert sorted((a, b, (2_000_000 * n + m) // (2 * m) / 1e6) for a, b, n, m in small) == [(r["a"], r["b"], r["jaccard"]) for r in rows]
 
 
+def test_sketch_pairs_of_one_similarity_stand_together(monkeypatch):
+    """The result grows with the square of the records: a column file keeps runs of equal values once. The pairs of
+    several blocks are ordered together, in lots that are bounded."""
+    rnd = random.Random(5)
+    motif = "".join(rnd.choice("ACGT") for _ in range(40))
+    seqs = ["".join(rnd.choice("ACGT") for _ in range(60)) + motif[: rnd.randrange(18, 22)] for _ in range(80)]
+    keys = rnd.sample(range(1000), len(seqs))
+    monkeypatch.setattr(km, "LOT_LETTERS", 500)
+    blocks = [b.columns for b in km.record_blocks(2_000)(iter([pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(seqs)], names=["key", "seq"])]))]
+    assert len(blocks) > 2
+    met = [pa.RecordBatch.from_arrays([*x, *y], names=list("abcdef")) for i, x in enumerate(blocks) for y in blocks[i:]]
+    (got,) = km.sketch_pairs(1024)(iter(met))
+    rows = [tuple(r.values()) for r in got.to_pylist()]
+    assert len({r[:2] for r in rows}) == len(rows) == 80 * 79 // 2
+    assert all(a < b for a, b, _, _ in rows)
+    kinds = [(n, m) if n else (0, 0) for _, _, n, m in rows]
+    runs = 1 + sum(x != y for x, y in zip(kinds, kinds[1:], strict=False))
+    assert runs == len({*kinds}) < len(rows) / 20
+    monkeypatch.setattr(km, "_HELD", 300)
+    lots = list(km.sketch_pairs(1024)(iter(met)))
+    assert len(lots) > 5
+    assert {tuple(r.values()) for b in lots for r in b.to_pylist()} == {*rows}
+
+
 def test_six_places_as_by_round(spark):
     x = spark.range(1, 2049, 37).select(F.col("id").alias("m"), F.explode(F.sequence(F.lit(0).cast("long"), "id")).alias("n")).select((F.col("n") / F.col("m")).alias("j"))
     x = x.select(F.explode(F.array("j", sq.mash_distance(F.col("j"), 15))).alias("x")).unionByName(spark.createDataFrame([(0.0640625,), (0.5046875,), (0.5203125,)], "x double"))
